@@ -4,6 +4,7 @@ from evalspark.plans import catalog  # noqa: F401
 from evalspark.plans import scoring_plans  # noqa: F401
 from evalspark.plans import collect_plans  # noqa: F401
 from evalspark.plans import analysis_plans  # noqa: F401
+from evalspark.plans import text_plans  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLE = catalog.ORACLE
