@@ -28,8 +28,8 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 
 def _read_whole(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(root))
+    df = (spark.read.option("recursiveFileLookup", True)
+          .option("pathGlobFilter", glob).text(root, wholetext=True))
     return df.select(F.col("_metadata.file_path").alias("path"),
                      F.col("_metadata.file_modification_time").alias("mtime"),
                      F.col("value").alias("text"))

@@ -11,7 +11,7 @@ def write(root, rel, obj, mtime=None, raw=None):
     p = os.path.join(root, rel)
     os.makedirs(os.path.dirname(p), exist_ok=True)
     with open(p, "w") as f:
-        f.write(raw if raw is not None else json.dumps(obj))
+        f.write(raw if raw is not None else json.dumps(obj, indent=2))
     if mtime is not None:
         os.utime(p, (mtime, mtime))
     return p
