@@ -27,9 +27,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_ws(c) -> Column:
-    """Trim leading/trailing whitespace (spaces, tabs, newlines)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Trim leading/trailing ASCII whitespace (spaces, tabs, newlines)."""
+    return F.btrim(_c(c), F.lit(_WHITESPACE))
 
 
 def boxed_answers(text) -> Column:
@@ -80,9 +83,12 @@ def _close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-4) * F.greatest(F.abs(a), F.abs(b))
 
 
-def _equal_tiers(pred: Column, gold: Column, allow_tuple: bool) -> Column:
-    p_trim, g_trim = strip_ws(pred), strip_ws(gold)
-    pn, gn = parse_digits(pred), parse_digits(gold)
+def _equal_tiers(pred: Column, gold: Column, allow_tuple: bool, p_trim: Column | None = None,
+                 g_trim: Column | None = None, pn: Column | None = None, gn: Column | None = None) -> Column:
+    p_trim = strip_ws(pred) if p_trim is None else p_trim
+    g_trim = strip_ws(gold) if g_trim is None else g_trim
+    pn = parse_digits(pred) if pn is None else pn
+    gn = parse_digits(gold) if gn is None else gn
     numeric_eq = _close(pn, gn / 100) | _close(pn, gn) | _close(pn, gn * 100)
     # bracket-stripped comparison
     bracketed = ((p_trim.startswith("[") & p_trim.endswith("]") & ~g_trim.startswith("(")) |
@@ -123,6 +129,16 @@ def answers_equal(pred, gold) -> Column:
     return _equal_tiers(_c(pred), _c(gold), True)
 
 
+def answer_match(df, pred: str, gold: str, out: str = "exact_match"):
+    """SC-5 on a DataFrame: like :func:`answers_equal`, but the trimmed texts and
+    parsed numbers are projected once as columns, so the tier cascade reads
+    them instead of re-running the regexes in every branch."""
+    staged = df.select("*", strip_ws(F.col(pred)).alias("_pt"), strip_ws(F.col(gold)).alias("_gt"),
+                       parse_digits(F.col(pred)).alias("_pn"), parse_digits(F.col(gold)).alias("_gn"))
+    eq = _equal_tiers(F.col(pred), F.col(gold), True, F.col("_pt"), F.col("_gt"), F.col("_pn"), F.col("_gn"))
+    return staged.select(*[F.col(c) for c in df.columns], eq.alias(out))
+
+
 def extract_answer(text) -> Column:
     """SC-7: free-text answer fallback chain, then light clean-up."""
     s = F.regexp_replace(_c(text), "ки", "")

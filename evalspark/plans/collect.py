@@ -212,6 +212,15 @@ def collect_results(spark: SparkSession, root: str, policy=None, parsers=DEFAULT
     ``policy``: headline metric per task (dict or ``(task, metric)`` table).
     """
     files = scan_result_files(spark, root)
+    return collect_from_files(files, policy, parsers, scales, overrides,
+                              provenance=scan_provenance(spark, root))
+
+
+def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, scales=None,
+                       overrides=None, provenance: DataFrame | None = None) -> Collected:
+    """The collect job over an already-scanned ``(path, mtime, text)`` table
+    (a directory scan, a compacted file table, or one streaming micro-batch)."""
+    spark = files.sparkSession
     ok, rejects = parse_results(files)
     # Parse once: every later branch reads this reliable checkpoint (shared
     # folder named by spark.checkpoint.dir) instead of re-parsing the JSON.
@@ -241,8 +250,10 @@ def collect_results(spark: SparkSession, root: str, policy=None, parsers=DEFAULT
     rows = cut_lineage(rows)
     facts = newest_wins(rows.select(*FACT_COLUMNS, "src_path", "src_mtime", "src_pos"))
     completed = rows.select(F.col("model_name").alias("model"), "task", "n_shot")
+    if provenance is None:
+        provenance = spark.createDataFrame([], "_path string, raw string, record map<string,string>")
     return Collected(facts=facts, rows=rows, completed=completed, rejects=rejects,
-                     provenance=scan_provenance(spark, root), placeholder_audit=audit)
+                     provenance=provenance, placeholder_audit=audit)
 
 
 def check_missing(collected: Collected, jobs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from evalspark.functions.answers import (
     BOXED_PATTERN,
     FLEXIBLE_NUMBER_PATTERN,
     STRICT_LETTER_PATTERN,
-    answers_equal,
+    answer_match,
     first_boxed,
     flexible_extract,
     strict_letter,
@@ -65,10 +65,9 @@ s AS (
 
 
 def _graded(spark, sf):
-    r = _responses(spark, sf)
-    pred = first_boxed("response")
-    return r.select("*", pred.alias("pred"),
-                    answers_equal(pred, F.col("gold")).cast("int").alias("exact_match"))
+    r = _responses(spark, sf).select("*", first_boxed("response").alias("pred"))
+    graded = answer_match(r, "pred", "gold", out="_eq")
+    return graded.withColumn("exact_match", F.col("_eq").cast("int")).drop("_eq")
 
 
 @query("boxed_answers", "WITH" + _RESP_SQL + """
@@ -273,19 +272,30 @@ def q_corpus_bleu(spark, sf):
 
 def _chrf_sql() -> str:
     return "WITH" + _PAIRS_SQL + """,
-cs AS (SELECT pair_id, lang, regexp_replace(hyp, '\\s+', '', 'g') AS hc, regexp_replace(ref, '\\s+', '', 'g') AS rc, h, r FROM tok),
-grams AS (
-  SELECT lang, pair_id, 'h' AS side, 'c' AS kind, n, substr(hc, i, n) AS g
-  FROM cs, range(1, 7) t(n), range(1, length(hc) - n + 2) q(i) WHERE length(hc) >= n
-  UNION ALL
-  SELECT lang, pair_id, 'r', 'c', n, substr(rc, i, n)
-  FROM cs, range(1, 7) t(n), range(1, length(rc) - n + 2) q(i) WHERE length(rc) >= n
+cs AS (SELECT pair_id, lang, string_split(regexp_replace(hyp, '\\s+', '', 'g'), '') AS hc,
+                  string_split(regexp_replace(ref, '\\s+', '', 'g'), '') AS rc, h, r FROM tok),
+ch AS (
+  SELECT pair_id, lang, 'h' AS side, unnest(hc) AS x, generate_subscripts(hc, 1) AS i FROM cs
   UNION ALL
-  SELECT lang, pair_id, 'h', 'w', n, array_to_string(h[i:i + n - 1], ' ')
-  FROM cs, range(1, 3) t(n), range(1, len(h) - n + 2) q(i) WHERE len(h) >= n
+  SELECT pair_id, lang, 'r', unnest(rc), generate_subscripts(rc, 1) FROM cs),
+cl AS (
+  SELECT pair_id, lang, side, x, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2, lead(x, 3) OVER w AS x3,
+         lead(x, 4) OVER w AS x4, lead(x, 5) OVER w AS x5
+  FROM ch WINDOW w AS (PARTITION BY pair_id, side ORDER BY i)),
+wd AS (
+  SELECT pair_id, lang, 'h' AS side, unnest(h) AS x, generate_subscripts(h, 1) AS i FROM cs
   UNION ALL
-  SELECT lang, pair_id, 'r', 'w', n, array_to_string(r[i:i + n - 1], ' ')
-  FROM cs, range(1, 3) t(n), range(1, len(r) - n + 2) q(i) WHERE len(r) >= n),
+  SELECT pair_id, lang, 'r', unnest(r), generate_subscripts(r, 1) FROM cs),
+wl AS (SELECT pair_id, lang, side, x, lead(x, 1) OVER (PARTITION BY pair_id, side ORDER BY i) AS x1 FROM wd),
+grams AS (
+  SELECT * FROM (
+    SELECT lang, pair_id, side, 'c' AS kind, unnest([1, 2, 3, 4, 5, 6]) AS n,
+           unnest([x, x || x1, x || x1 || x2, x || x1 || x2 || x3, x || x1 || x2 || x3 || x4,
+                   x || x1 || x2 || x3 || x4 || x5]) AS g
+    FROM cl
+    UNION ALL
+    SELECT lang, pair_id, side, 'w', unnest([1, 2]), unnest([x, x || ' ' || x1]) FROM wl)
+  WHERE g IS NOT NULL),
 c AS (SELECT lang, pair_id, side, kind, n, g, count(*) AS c FROM grams GROUP BY ALL),
 hh AS (SELECT * FROM c WHERE side = 'h'), rr AS (SELECT * FROM c WHERE side = 'r'),
 m AS (SELECT lang, kind, n, sum(least(hh.c, rr.c)) AS matches FROM hh JOIN rr USING (lang, pair_id, kind, n, g) GROUP BY ALL),
