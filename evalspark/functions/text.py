@@ -177,3 +177,40 @@ def decontam_tokens(text) -> Column:
 def infer_language_columns(columns: Sequence[str], meta: Sequence[str]) -> list[str]:
     """SC-14 (wide form): every column except the meta columns, sorted."""
     return sorted(c for c in columns if c not in set(meta))
+
+
+def sentence_pairs(df, src: str, tgt: str, translation_col: str = "translation"):
+    """SC-13: ``(id, movie_id, segment_id, src_lang, tgt_lang, src, tgt)`` from a
+    parallel corpus stored as a ``translation`` map or as one column per
+    language. ``movie_id`` falls back to ``doc_id``; ``segment_id`` to
+    ``line_number``; a non-integer segment id becomes -1. A language that is
+    not present raises an error (schema check for wide tables, ``raise_error``
+    per row for maps)."""
+    cols = set(df.columns)
+    if translation_col in cols:
+        m = F.col(translation_col)
+
+        def pick(lang):
+            return F.when(F.map_contains_key(m, lang), m[lang]) \
+                .otherwise(F.raise_error(F.lit(f"language {lang!r} missing from {translation_col}")))
+        s, t = pick(src), pick(tgt)
+    else:
+        for lang in (src, tgt):
+            if lang not in cols:
+                raise ValueError(f"language column {lang!r} not found")
+        s, t = F.col(src), F.col(tgt)
+
+    def first_of(*names):
+        present = [F.col(n).cast("string") for n in names if n in cols]
+        return F.coalesce(*present, F.lit(None).cast("string")) if present else F.lit(None).cast("string")
+
+    seg_txt = first_of("segment_id", "line_number")
+    seg = F.when(seg_txt.rlike(r"^\s*-?[0-9]+\s*$"), F.trim(seg_txt).cast("long")).otherwise(F.lit(-1))
+    return df.select(first_of("id").alias("id"), first_of("movie_id", "doc_id").alias("movie_id"),
+                     seg.alias("segment_id"), F.lit(src).alias("src_lang"), F.lit(tgt).alias("tgt_lang"),
+                     s.alias("src"), t.alias("tgt"))
+
+
+def language_keys(df, translation_col: str = "translation"):
+    """SC-14 (map form): the sorted distinct languages of a ``translation`` map."""
+    return df.select(F.explode(F.map_keys(translation_col)).alias("lang")).distinct().orderBy("lang")

@@ -110,6 +110,12 @@ def compare_runs(a: DataFrame, b: DataFrame) -> DataFrame:
                                         F.col("b") - F.col("a")))
 
 
+def sorted_comparison(cmp: DataFrame) -> DataFrame:
+    """ST-2: comparison rows ordered by the text form of every key part
+    (mixed int / ``unknown`` shots sort safely)."""
+    return cmp.orderBy(*[F.col(c).cast("string") for c in ("model", "task", "n_shot", "metric")])
+
+
 def leaderboard_long(df: DataFrame) -> DataFrame:
     """PRJ-13 + WN-3: ``(model_name, label, value, normalized)`` cells, last input
     row wins per (model, label). Input: fact rows plus an order column ``pos``."""
@@ -120,19 +126,27 @@ def leaderboard_long(df: DataFrame) -> DataFrame:
     return last_wins(cells, ["model_name", "label"], ["pos"]).drop("pos")
 
 
-def leaderboard(df: DataFrame, average: bool = False, labels: Sequence[str] | None = None) -> DataFrame:
+def leaderboard(df: DataFrame, average: bool = False, labels: Sequence[str] | None = None,
+                average_decimals: int | None = None) -> DataFrame:
     """PV-1 (+ AG-21): rows = models, columns = labels in sorted order.
 
     The average is taken in long form over normalized cells only (labels without
-    ``, raw``), skipping missing cells, before the pivot.
+    ``, raw``), skipping missing cells, before the pivot. With
+    ``average_decimals`` the cells are rounded first and summed as decimals, so
+    the mean does not depend on summation order.
     """
     cells = leaderboard_long(df)
     if labels is None:
         labels = sorted(r[0] for r in cells.select("label").distinct().collect())
     wide = cells.groupBy("model_name").pivot("label", list(labels)).agg(F.first("value"))
     if average:
+        v = F.col("value")
+        mean = F.avg(v)
+        if average_decimals is not None:
+            d = F.round(v, average_decimals).cast(f"decimal(38,{average_decimals})")
+            mean = F.sum(d).cast("double") / F.count(v)
         avg = (cells.filter(~F.col("label").contains(", raw"))
-               .groupBy("model_name").agg(F.avg("value").alias("average (normalized cols)")))
+               .groupBy("model_name").agg(mean.alias("average (normalized cols)")))
         wide = wide.join(avg, "model_name", "left")
     return wide
 

@@ -6,6 +6,9 @@ is spread over many range partitions. Each partition numbers its sorted runs
 locally (one Arrow-batched pass), and the only cross-partition fact needed --
 how many rows of a partition's *first* key live in earlier partitions -- is a
 table with at most one row per partition, broadcast back with a proven bound.
+
+The operator is eager: it materializes the numbered rows once (reliable
+checkpoint in ``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from evalspark.session import cut_lineage
+
 _PID = "_seq_pid"
 _LRN = "_seq_lrn"
 
@@ -89,9 +94,11 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence,
     local_schema = T.StructType(df.schema.fields + [
         T.StructField(_PID, T.IntegerType(), False),
         T.StructField(_LRN, T.LongType(), False)])
-    # Both consumers below read this one range exchange (Spark reuses it), so the
-    # sampled range bounds -- and hence partition ids -- are the same for both.
-    local = ranged.mapInPandas(_local_runs(keys), local_schema)
+    # The locally numbered rows are materialized once in the shared checkpoint
+    # folder: both consumers below then see the same partition ids by
+    # construction (range bounds come from sampling, so two evaluations of the
+    # exchange could differ), the Python pass runs once, and the lineage is cut.
+    local = cut_lineage(ranged.mapInPandas(_local_runs(keys), local_schema))
 
     # rows per (partition, key); only a partition's first key can continue an
     # earlier partition, so the offsets table has at most one row per partition

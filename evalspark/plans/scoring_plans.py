@@ -10,11 +10,18 @@ from evalspark.operators.sequence import number_within
 from evalspark.plans.catalog import query, r6, t
 
 
+# a total order of lineitem rows within an order (the first four columns alone
+# repeat at the smallest scale)
+_LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+               "l_discount", "l_shipdate"]
+
+
 def lineitem_samples(spark, sf):
     """lineitem rows as region samples: intersection, union and bbox IoU by role."""
     li = t(spark, sf, "lineitem")
     return li.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+        "l_quantity", "l_extendedprice", "l_discount", "l_shipdate",
         F.greatest(F.col("l_quantity") * (1 - F.col("l_discount") * 8), F.lit(0.0)).alias("intersection"),
         F.col("l_quantity").alias("union"),
         (F.col("l_discount") * 10).alias("bbox_iou"))
@@ -51,7 +58,8 @@ def q_grounding_metrics(spark, sf):
 @query("per_round_metrics", """
 WITH r AS (
   SELECT row_number() OVER (PARTITION BY CAST(l_orderkey AS VARCHAR)
-                            ORDER BY l_linenumber, l_partkey, l_suppkey) AS round,
+                            ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                                     l_discount, l_shipdate) AS round,
          greatest(l_quantity * (1 - l_discount * 8), 0.0) AS i,
          l_quantity AS u, l_discount * 10 AS b
   FROM lineitem)
@@ -61,8 +69,7 @@ SELECT round, count(*) AS n_samples,
 FROM r GROUP BY round
 """)
 def q_per_round_metrics(spark, sf):
-    res = per_round_metrics(lineitem_samples(spark, sf), "l_orderkey",
-                            ["l_linenumber", "l_partkey", "l_suppkey"])
+    res = per_round_metrics(lineitem_samples(spark, sf), "l_orderkey", _LINE_ORDER)
     return res.select("round", "n_samples", r6(F.col("giou")).alias("giou"),
                       r6(F.col("bbox_ap")).alias("bbox_ap"))
 
@@ -97,7 +104,8 @@ def q_mean_scores(spark, sf):
 @query("mcq_scores", """
 WITH c AS (
   SELECT l_orderkey AS doc,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS idx,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+                            l_quantity, l_extendedprice, l_discount, l_shipdate) - 1 AS idx,
          -l_extendedprice AS ll, length(p_name) AS nchar, strlen(p_name) AS nbyte
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 p AS (
@@ -113,12 +121,10 @@ SELECT count(*) AS n_docs,
 FROM p
 """)
 def q_mcq_scores(spark, sf):
-    li = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey",
-                                         "l_suppkey", "l_extendedprice")
+    li = t(spark, sf, "lineitem").select("l_orderkey", *_LINE_ORDER)
     part = t(spark, sf, "part").select("p_partkey", "p_name")
     rows = li.join(part, li.l_partkey == part.p_partkey)
-    numbered = number_within(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"],
-                             out="choice")
+    numbered = number_within(rows, ["l_orderkey"], _LINE_ORDER, out="choice")
     samples = numbered.select(F.col("l_orderkey").alias("doc"),
                               (F.col("choice") - 1).alias("choice"),
                               (-F.col("l_extendedprice")).alias("loglik"),

@@ -163,3 +163,15 @@ def test_paraphrase_pair(spark):
     a, b = paraphrase_pair(F.col("a"), F.col("b"))
     r = one(df.select(a.alias("a"), b.alias("b")))
     assert (r.a, r.b) == ("He didn't go (really)", "yes, he did.")
+
+
+def test_sentence_pairs_forms(spark):
+    from evalspark.functions.text import language_keys, sentence_pairs
+    m = spark.createDataFrame([("1", "mv", "x", {"en": "Hi", "de": "Hallo"})],
+                              "id string, movie_id string, segment_id string, translation map<string,string>")
+    r = sentence_pairs(m, "en", "de").collect()[0]
+    assert (r.movie_id, r.segment_id, r.src, r.tgt) == ("mv", -1, "Hi", "Hallo")
+    assert [x.lang for x in language_keys(m).collect()] == ["de", "en"]
+    w = spark.createDataFrame([("2", "d7", 12, "Yes", "Ja")], "id string, doc_id string, line_number int, en string, de string")
+    r = sentence_pairs(w, "en", "de").collect()[0]
+    assert (r.movie_id, r.segment_id, r.src, r.tgt) == ("d7", 12, "Yes", "Ja")
