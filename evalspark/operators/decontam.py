@@ -4,11 +4,15 @@ Tasks declare ``should_decontaminate`` with a query text; the check itself
 follows Brown et al. (2020), App. C: lower-cased letter/digit tokens,
 13-grams, a document overlaps a benchmark item when they share an n-gram.
 
-Plan: distinct n-grams per document and per item (``array_distinct`` inside
-the row, no shuffle), then one equi join on the n-gram text. The benchmark
-side is small; Spark broadcasts it when its measured size is under the
-broadcast threshold and otherwise shuffles both sides (AQE splits a skewed
-n-gram partition, e.g. boilerplate repeated across many documents).
+Plan, in two phases so that no n-gram string is built for most positions:
+
+1. Candidates: every token is hashed once (``xxhash64``); an n-gram key is the
+   hash of its window of token hashes -- 8 bytes per position instead of an
+   ~80-byte string. Documents sharing a key with the benchmark (a small side;
+   Spark broadcasts it under its size threshold) are candidates.
+2. Exact: only candidate documents build their distinct n-gram strings and join
+   the benchmark's on the text itself, so a hash collision can never create or
+   change a result.
 """
 
 from __future__ import annotations
@@ -26,14 +30,26 @@ def item_ngrams(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return toks.select(F.col(id_col), F.explode(grams).alias("ngram"))
 
 
+def _ngram_keys(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    toks = df.select(F.col(id_col), decontam_tokens(F.col(text_col)).alias("_tok"))
+    hashed = toks.select(F.col(id_col), F.transform("_tok", lambda x: F.xxhash64(x)).alias("_th"))
+    size = F.size("_th")
+    keys = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1),
+                                         lambda i: F.xxhash64(F.slice("_th", i, n))))
+    return hashed.select(F.col(id_col), F.explode(F.array_distinct(keys)).alias("_key"))
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, doc_id: str = "doc_id",
                   item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Per (document, benchmark item) sharing at least one n-gram:
     ``n_overlap`` shared distinct n-grams, ``n_item_ngrams``, ``overlap`` share
     of the item's n-grams, and ``verbatim`` (every item n-gram occurs)."""
+    bench_keys = _ngram_keys(bench, item_id, text, n).select("_key").distinct()
+    candidates = (_ngram_keys(docs, doc_id, text, n).join(bench_keys, "_key", "left_semi")
+                  .select(doc_id).distinct())
     b = item_ngrams(bench, item_id, text, n)
     sizes = b.groupBy(item_id).agg(F.count(F.lit(1)).alias("n_item_ngrams"))
-    d = item_ngrams(docs, doc_id, text, n)
+    d = item_ngrams(docs.join(candidates, doc_id, "left_semi"), doc_id, text, n)
     hits = d.join(b, "ngram").groupBy(doc_id, item_id).agg(F.count(F.lit(1)).alias("n_overlap"))
     res = hits.join(sizes, item_id)
     return res.select(doc_id, item_id, "n_overlap", "n_item_ngrams",
