@@ -216,12 +216,24 @@ def q_decontaminate(spark, sf):
 
 
 def _mt_pairs(spark, sf):
-    """hypothesis = a document, reference = the next document (by id) in the same language."""
-    d = t(spark, sf, "documents").select("doc_id", "lang", "text")
-    n = number_within(d, ["lang"], ["doc_id"], out="rn")
-    nxt = n.select("lang", (F.col("rn") - 1).alias("rn"), F.col("text").alias("reference"))
-    return n.join(nxt, ["lang", "rn"]).select(F.col("doc_id").alias("pair_id"), "lang",
-                                              F.col("text").alias("hypothesis"), "reference")
+    """hypothesis = a document, reference = the next document (by id) in the same language.
+
+    Only the narrow ``(doc_id, lang)`` rows are numbered; the texts are attached
+    afterwards, so the wide text column is never range-shuffled or materialized
+    by the numbering step.
+    """
+    docs = t(spark, sf, "documents")
+    n = number_within(docs.select("doc_id", "lang"), ["lang"], ["doc_id"], out="rn")
+    nxt = n.select("lang", (F.col("rn") - 1).alias("rn"), F.col("doc_id").alias("ref_id"))
+    pairs = n.join(nxt, ["lang", "rn"]).select(F.col("doc_id").alias("pair_id"), "lang", "ref_id")
+    text = docs.select("doc_id", "text")
+    out = (pairs.join(text.withColumnRenamed("doc_id", "pair_id"), "pair_id")
+           .join(text.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("reference")), "ref_id")
+           .select("pair_id", "lang", F.col("text").alias("hypothesis"), "reference"))
+    # the per-pair statistics are CPU-heavy: spread pairs over a fixed number
+    # of tasks (an explicit count is not coalesced away by AQE, which would
+    # otherwise follow the single split of a small text file)
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair_id")
 
 
 _PAIRS_SQL = """
