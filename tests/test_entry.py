@@ -21,7 +21,8 @@ def test_entry_smoke(spark):
 
 def test_oracle_keys_subset():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == {"slices"}
+    core = E.plans
+    assert set(core.QUERIES) - set(core.ORACLE) == {"slices"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(E.plans.ORACLE))
 def test_plan_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cur = duck.execute(E.oracle_sql()[name])
