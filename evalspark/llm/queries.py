@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from evalspark.llm import simhash
+from evalspark.llm import langid, mixing, simhash, urlfilter
 
 QUERIES = {
+    "op2_url_char_models": urlfilter.query,
     "op3_simhash_anchor_cover": simhash.query,
+    "op6_pivotal_mixing": mixing.query,
+    "op7_naive_bayes_language": langid.query,
 }
 
 ORACLE: dict[str, str] = {}
