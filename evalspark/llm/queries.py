@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from evalspark.llm import langid, mixing, simhash, urlfilter
+from evalspark.llm import bpe, langid, mixing, simhash, urlfilter
 
 QUERIES = {
     "op2_url_char_models": urlfilter.query,
     "op3_simhash_anchor_cover": simhash.query,
+    "op5_bpe_segment_tree": bpe.query,
     "op6_pivotal_mixing": mixing.query,
     "op7_naive_bayes_language": langid.query,
 }
