@@ -247,7 +247,7 @@ def encode_texts(docs: DataFrame, tokens: list[bytes], pattern: str, text: str =
     """``docs`` with its ``text`` column replaced by ``ids``, an array of int; null texts give no ids."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokens))  # the vocabulary's size
     keep = [c for c in docs.columns if c != text]
-    schema = docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = T.StructType([*docs.select(*keep).schema, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab.value, pattern)
@@ -264,7 +264,7 @@ def encode_texts(docs: DataFrame, tokens: list[bytes], pattern: str, text: str =
 def decode_ids(encoded: DataFrame, tokens: list[bytes], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the binary column ``out``: the bytes of its ids, empty for null."""
     vocab = encoded.sparkSession.sparkContext.broadcast(Vocabulary(tokens))
-    schema = encoded.schema.add(out, T.BinaryType())
+    schema = T.StructType([*encoded.schema, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
