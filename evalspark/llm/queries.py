@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evalspark.llm import bpe, langid, mixing, simhash, urlfilter
+from evalspark.llm import bpe, htmltext, langid, mixing, simhash, urlfilter
 
 QUERIES = {
+    "op10_tag_path_text": htmltext.query,
     "op2_url_char_models": urlfilter.query,
     "op3_simhash_anchor_cover": simhash.query,
     "op5_bpe_segment_tree": bpe.query,
