@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evalspark.llm import bpe, htmltext, langid, mixing, simhash, urlfilter
+from evalspark.llm import bpe, htmltext, huffman, langid, mixing, simhash, urlfilter
 
 QUERIES = {
     "op10_tag_path_text": htmltext.query,
     "op2_url_char_models": urlfilter.query,
     "op3_simhash_anchor_cover": simhash.query,
+    "op4_huffman_token_files": huffman.query,
     "op5_bpe_segment_tree": bpe.query,
     "op6_pivotal_mixing": mixing.query,
     "op7_naive_bayes_language": langid.query,
