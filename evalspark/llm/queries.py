@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import bpe, htmltext, huffman, langid, mixing, simhash, urlfilter
+from evalspark.llm import bpe, htmltext, huffman, langid, mixing, simhash, urlfilter, vectorgraph
 
 QUERIES = {
     "op10_tag_path_text": htmltext.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_bpe_segment_tree": bpe.query,
     "op6_pivotal_mixing": mixing.query,
     "op7_naive_bayes_language": langid.query,
+    "op9_pruned_graph_near_dups": vectorgraph.query,
 }
 
 ORACLE: dict[str, str] = {}
