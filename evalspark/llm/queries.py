@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evalspark.llm import bpe, htmltext, huffman, langid, mixing, simhash, urlfilter, vectorgraph
+from evalspark.llm import bpe, htmltext, huffman, langid, mixing, simhash, urlfilter, vectorgraph, vptree
 
 QUERIES = {
+    "op1_vantage_point_search": vptree.query,
     "op10_tag_path_text": htmltext.query,
     "op2_url_char_models": urlfilter.query,
     "op3_simhash_anchor_cover": simhash.query,
