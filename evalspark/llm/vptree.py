@@ -136,14 +136,15 @@ def nearest(vectors: DataFrame, asked: Column, k: int = K, relax: float = RELAX,
     data = (rows.join(facts, "dim").withColumn("shard", hash_bucket(F.col("shards"), F.lit(1), F.col("vec_id")))
             .withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(*key, "vec_id", "vec", "largest"))
     asks = (queries.join(facts, "dim").withColumn("grp", hash_bucket(F.col("groups"), F.lit(2), F.col("vec_id")))
-            .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select(*key, "vec_id", "vec"))
+            .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).select(*key, "vec_id", "vec")
+            .toDF("q_dim", "q_shard", "q_grp", "query_id", "query"))
 
     def run(data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asks):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         data = data.sort_values("vec_id", ignore_index=True)
         ids, x = data["vec_id"].to_numpy(), matrix(data["vec"])
-        qid, q = asks["vec_id"].to_numpy(), matrix(asks["vec"])
+        qid, q = asks["query_id"].to_numpy(), matrix(asks["query"])
         at = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
         i, j, _ = Tree(x, float(data["largest"].iloc[0])).search(q, k, relax, np.where(ids[at] == qid, at, -1))
         score = np.concatenate([np.einsum("ij,ij->i", q[i[a:a + 65536]], x[j[a:a + 65536]]) for a in range(0, len(i), 65536)]
@@ -151,7 +152,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = K, relax: float = RELAX,
         best = best_of(i, ids[j], score, k)
         return pd.DataFrame({"query_id": qid[i[best]], "vec_id": ids[j[best]], "score": score[best]})
 
-    found = (data.groupBy(*key).cogroup(asks.groupBy(*key))
+    found = (data.groupBy(*key).cogroup(asks.groupBy("q_dim", "q_shard", "q_grp"))
              .applyInPandas(run, "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # at most k rows per shard
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
