@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evalspark.llm import bpe, htmltext, huffman, langid, mixing, simhash, urlfilter, vectorgraph, vptree
+from evalspark.llm import bpe, htmltext, huffman, langid, mixing, passages, simhash, urlfilter, vectorgraph, vptree
 
 QUERIES = {
     "op1_vantage_point_search": vptree.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_bpe_segment_tree": bpe.query,
     "op6_pivotal_mixing": mixing.query,
     "op7_naive_bayes_language": langid.query,
+    "op8_compact_windows": passages.query,
     "op9_pruned_graph_near_dups": vectorgraph.query,
 }
 
