@@ -290,7 +290,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     come back as often; doc_id, null or not, is only carried.
     """
     tokens = read_ranks(path)
-    decoded = decode_ids(encode_texts(docs, tokens, pattern), tokens)
+    decoded = decode_ids(encode_texts(docs.select("doc_id", "text"), tokens, pattern), tokens)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                           F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

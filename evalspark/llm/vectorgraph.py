@@ -288,6 +288,7 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, efforts=EFFORTS
     with nothing: n_links 0, a component of their own. Exact copies and repeated rows
     link with each other.
     """
+    df = df.select("vec_id", "embedding", "label")
     vectors = as_doubles(df)
     nodes = cut_lineage(collapse(vectors))
     for overlap, beam in efforts:

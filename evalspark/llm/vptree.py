@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = K, relax: float = RELAX,
     rows without a vec_id, take no part. Only vectors of equal length compare. Repeated
     rows of a vec_id are one row (the smallest vector). An empty table gives no rows.
     """
-    rows = cut_lineage(as_doubles(vectors).where(F.col("vec_id").isNotNull())
+    rows = cut_lineage(as_doubles(vectors.select("vec_id", "embedding")).where(F.col("vec_id").isNotNull())
                        .groupBy("vec_id", "dim").agg(F.min("vec").alias("vec")))
     queries = rows.where(asked)
     facts = rows.groupBy("dim").agg(
