@@ -16,11 +16,9 @@ STRICT_LETTER_PATTERN = (r"[Tt]he (?:[Bb]est [Aa]nswer|[Ff]inal [Aa]nswer|[Aa]ns
 INVALID = "[invalid]"
 # --- end of fixed values -------------------------------------------------------
 
-# Balanced-brace body, nested up to four levels deep.
-_BODY = r"[^{}]*"
-for _ in range(4):
-    _BODY = r"(?:[^{}]|\{" + _BODY + r"\})*"
-BOXED_PATTERN = r"boxed\{(" + _BODY + r")\}"
+# Tokens of a brace scan: a boxed start, a brace, or a run of anything else. No
+# pattern repeats a group, so long texts cost no regex stack.
+_TOKENS = r"boxed\{|[{}]|[^{}b]+|b"
 
 
 def _c(c) -> Column:
@@ -35,18 +33,56 @@ def strip_ws(c) -> Column:
     return F.btrim(_c(c), F.lit(_WHITESPACE))
 
 
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _step(token: Column) -> Column:
+    return F.when(token.endswith("{"), 1).when(token == "}", -1).otherwise(0)
+
+
+def _span_after(tokens: Column, start: Column) -> Column:
+    """Text from after token ``start`` (1-based, an opening) to the brace that closes it; NULL if none does."""
+    rest = F.slice(tokens, start + 1, F.greatest(F.size(tokens) - start, F.lit(0)))
+    scan = F.aggregate(rest, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used")),
+                       lambda acc, t: F.when(acc["depth"] == 0, acc).otherwise(
+                           F.struct((acc["depth"] + _step(t)).alias("depth"), (acc["used"] + 1).alias("used"))))
+    return _bind(scan, lambda s: F.when(s["depth"] == 0, F.array_join(F.slice(rest, F.lit(1), s["used"] - 1), "")))
+
+
+def _scan_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.replace(text, F.lit(" "), F.lit("")), F.lit(_TOKENS), 0)
+
+
 def boxed_answers(text) -> Column:
-    """SC-4: contents of every closed ``boxed{...}`` span, spaces removed.
+    """SC-4: contents of every closed ``boxed{...}`` span, spaces removed, at any nesting depth.
 
-    An unclosed span is skipped and the next closed one is found, as in the
-    brace-counting original; braces may nest four levels deep.
+    An unclosed span is skipped and later closed ones are found. Each start is one
+    linear scan; :func:`first_boxed` scans a text twice however many starts it has.
     """
-    return F.regexp_extract_all(F.regexp_replace(_c(text), " ", ""), F.lit(BOXED_PATTERN), 1)
+    def spans(tokens: Column) -> Column:
+        starts = F.filter(F.transform(tokens, lambda t, i: F.when(t == "boxed{", i + 1)), lambda i: i.isNotNull())
+        return F.filter(F.transform(starts, lambda i: _span_after(tokens, i)), lambda x: x.isNotNull())
+
+    return _bind(_scan_tokens(_c(text)), spans)
 
 
 def first_boxed(text) -> Column:
-    """The grader's prediction: the first closed boxed span, else NULL."""
-    return F.get(boxed_answers(text), 0)
+    """The grader's prediction: the first closed boxed span, else NULL.
+
+    Read from the end, a start is closed if the braces after it somewhere go below its
+    own level: one pass keeps that least level and the last closed start met. A second
+    pass takes the span.
+    """
+    def span(tokens: Column) -> Column:
+        seen = F.aggregate(
+            F.reverse(tokens), F.struct(F.lit(0).alias("least"), F.lit(0).alias("n"), F.lit(0).alias("at")),
+            lambda acc, t: F.struct((_step(t) + F.least(acc["least"], F.lit(0))).alias("least"), (acc["n"] + 1).alias("n"),
+                                    F.when((t == "boxed{") & (acc["least"] < 0), acc["n"] + 1).otherwise(acc["at"]).alias("at")))
+        return _bind(seen["at"], lambda at: F.when(at > 0, _span_after(tokens, F.size(tokens) - at + 1)))
+
+    return _bind(_scan_tokens(_c(text)), span)
 
 
 def clean_choice(pred) -> Column:
@@ -146,7 +182,8 @@ def extract_answer(text) -> Column:
     after_minerva = F.substring_index(
         F.substring(s, F.instr(s, "final answer is $") + 17, F.length(s)), "$. I hope", 1)
     last_box = F.substring_index(s, "boxed", -1)
-    boxed_body = F.regexp_extract(last_box, r"^\{(" + _BODY + r")\}", 1)
+    boxed_body = F.coalesce(_bind(F.regexp_extract_all(last_box, F.lit(_TOKENS), 0), lambda tk: _span_after(tk, F.lit(1))),
+                            F.substring(last_box, 2, F.length(last_box)))
     boxed = F.when(F.length(last_box) == 0, F.lit("")) \
         .when(last_box.startswith("{"), boxed_body) \
         .otherwise(strip_ws(F.substring_index(last_box, "$", 1)))

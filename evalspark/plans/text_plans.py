@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.functions.answers import (
-    BOXED_PATTERN,
     FLEXIBLE_NUMBER_PATTERN,
     STRICT_LETTER_PATTERN,
     answer_match,
@@ -26,12 +25,18 @@ def _sql_str(s: str) -> str:
 
 
 def _responses(spark, sf):
-    """Model responses built from lineitem numbers; gold = whole price."""
+    """Model responses built from lineitem numbers; gold = whole price.
+
+    Line 1 nests one to eight braces, line 2 has no span, line 3 leaves an outer span
+    open around a closed one, the others box the price.
+    """
     li = t(spark, sf, "lineitem")
-    resp = (F.when(F.col("l_linenumber") == 1,
-                   F.concat(F.lit("We get \\boxed{\\frac{"), F.col("l_quantity").cast("long").cast("string"),
-                            F.lit("}{2}} here.")))
+    nested = F.concat(F.expr("repeat('\\\\frac{', cast(l_orderkey % 8 + 1 as int))"), F.col("l_quantity").cast("long").cast("string"),
+                      F.expr("repeat('}', cast(l_orderkey % 8 + 1 as int))"))
+    resp = (F.when(F.col("l_linenumber") == 1, F.concat(F.lit("We get \\boxed{"), nested, F.lit("{ 2 }} here.")))
             .when(F.col("l_linenumber") == 2, F.lit("No final answer."))
+            .when(F.col("l_linenumber") == 3, F.concat(F.lit("First \\boxed{open, then \\boxed{"),
+                                                       F.floor("l_extendedprice").cast("string"), F.lit("} and more")))
             .otherwise(F.concat(F.lit("So the total is \\boxed{"),
                                 F.format_string("%.2f", "l_extendedprice"), F.lit("} dollars."))))
     gold = F.floor("l_extendedprice").cast("long").cast("string")
@@ -39,18 +44,17 @@ def _responses(spark, sf):
                      resp.alias("response"), gold.alias("gold"))
 
 
-_RESP_SQL = f"""
-r AS (
+# The expected span follows from how the response was built, not from a pattern.
+_RESP_SQL = """
+p AS (
   SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag,
-         CASE WHEN l_linenumber = 1 THEN 'We get \\boxed{{\\frac{{' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '}}{{2}}}} here.'
-              WHEN l_linenumber = 2 THEN 'No final answer.'
-              ELSE 'So the total is \\boxed{{' || printf('%.2f', l_extendedprice) || '}} dollars.' END AS response,
+         CASE WHEN l_linenumber = 1 THEN repeat('\\frac{', CAST(l_orderkey % 8 + 1 AS INTEGER))
+                || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || repeat('}', CAST(l_orderkey % 8 + 1 AS INTEGER)) || '{2}'
+              WHEN l_linenumber = 2 THEN NULL
+              WHEN l_linenumber = 3 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR)
+              ELSE printf('%.2f', l_extendedprice) END AS pred,
          CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS gold
   FROM lineitem),
-p AS (
-  SELECT *, CASE WHEN regexp_matches(replace(response, ' ', ''), {_sql_str(BOXED_PATTERN)})
-                 THEN regexp_extract(replace(response, ' ', ''), {_sql_str(BOXED_PATTERN)}, 1) END AS pred
-  FROM r),
 g AS (
   SELECT *, TRY_CAST(replace(pred, ',', '') AS DOUBLE) AS pn, TRY_CAST(gold AS DOUBLE) AS gn FROM p),
 s AS (
