@@ -1,84 +1,32 @@
 """Ordered numbering that stays balanced when one key holds a large share of rows.
 
-``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task.
-Here the rows are range-partitioned on ``(key, order)`` instead, so a hot key
-is spread over many range partitions. Each partition numbers its sorted runs
-locally (one Arrow-batched pass), and the only cross-partition fact needed --
-how many rows of a partition's *first* key live in earlier partitions -- is a
-table with at most one row per partition, broadcast back with a proven bound.
-
-The operator is eager: it materializes the numbered rows once (reliable
-checkpoint in ``spark.checkpoint.dir``).
+``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one task. Here the
+rows are range-partitioned on ``(key, order)``, so a hot key is spread over many ranges,
+and each row is tagged with its range. Rows are numbered inside (range, key); the only
+fact needed across ranges is how many rows of a range's *first* key lie in earlier ranges.
+That follows from one row per range (its first key, its last key and the last key's
+count) as a running sum. All columns stay in the JVM with their own types.
+
+The operator is eager: the tagged rows are materialized once in the shared checkpoint
+folder, so every consumer sees the same ranges (their bounds come from sampling).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark.session import cut_lineage
 
 _PID = "_seq_pid"
-_LRN = "_seq_lrn"
+_RN = "_seq_rn"
 
 
 def _as_cols(cols: Sequence) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _local_runs(key_names: list[str]):
-    """Per-partition function: running number inside each run of equal keys."""
-
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        prev_key = None
-        prev_count = 0
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            if key_names:
-                keys = pdf[key_names]
-                changed = pd.Series(False, index=pdf.index)
-                for c in key_names:
-                    s = keys[c]
-                    sh = s.shift()
-                    same = (s == sh) | (s.isna() & sh.isna())
-                    changed |= ~same
-                first = tuple(keys.iloc[0].tolist())
-                continues = prev_key is not None and _same_key(first, prev_key)
-                changed.iloc[0] = not continues
-                run_id = changed.cumsum()
-                lrn = run_id.groupby(run_id).cumcount() + 1
-                if continues:
-                    lrn[run_id == run_id.iloc[0]] += prev_count
-                last = tuple(keys.iloc[-1].tolist())
-            else:
-                lrn = pd.Series(range(1, n + 1), index=pdf.index) + prev_count
-                last = ()
-            prev_key = last
-            prev_count = int(lrn.iloc[-1])
-            out = pdf.copy()
-            out[_PID] = pid
-            out[_LRN] = lrn.astype("int64").values
-            yield out
-
-    return fn
-
-
-def _same_key(a: tuple, b: tuple) -> bool:
-    for x, y in zip(a, b):
-        if pd.isna(x) and pd.isna(y):
-            continue
-        if pd.isna(x) or pd.isna(y) or x != y:
-            return False
-    return True
-
-
 def number_within(df: DataFrame, keys: Sequence[str], order: Sequence,
                   out: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """Add ``out`` = 1-based position of each row inside its ``keys`` group,
@@ -89,35 +37,29 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence,
     keys = list(keys)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _as_cols(order)
-    sort_cols = [F.col(k) for k in keys] + order_cols
-    ranged = df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-    local_schema = T.StructType(df.schema.fields + [
-        T.StructField(_PID, T.IntegerType(), False),
-        T.StructField(_LRN, T.LongType(), False)])
-    # The locally numbered rows are materialized once in the shared checkpoint
-    # folder: both consumers below then see the same partition ids by
-    # construction (range bounds come from sampling, so two evaluations of the
-    # exchange could differ), the Python pass runs once, and the lineage is cut.
-    local = cut_lineage(ranged.mapInPandas(_local_runs(keys), local_schema))
-
-    # rows per (partition, key); only a partition's first key can continue an
-    # earlier partition, so the offsets table has at most one row per partition
-    counts = local.groupBy(_PID, *keys).agg(F.max(_LRN).alias("_cnt"))
-    if keys:
-        firsts = counts.groupBy(_PID).agg(F.min(F.struct(*keys)).alias("_k")) \
-            .select(_PID, *[F.col(f"_k.{k}").alias(k) for k in keys])
-    else:
-        firsts = counts.select(_PID)
-    earlier = counts.select(F.col(_PID).alias("_q"), *keys, "_cnt")
-    cond = [F.col("_q") < F.col(_PID)] + [firsts[k].eqNullSafe(earlier[k]) for k in keys]
-    offsets = (F.broadcast(firsts).join(earlier, cond, "inner")
-               .groupBy(firsts[_PID], *[firsts[k] for k in keys])
-               .agg(F.sum("_cnt").alias("_off")))
-
-    jcond = [local[_PID] == offsets[_PID]] + [local[k].eqNullSafe(offsets[k]) for k in keys]
-    joined = local.join(F.broadcast(offsets), jcond, "left")
-    return joined.select(*[local[c] for c in df.columns],
-                         (local[_LRN] + F.coalesce(offsets["_off"], F.lit(0))).alias(out))
+    tagged = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols)
+                         .withColumn(_PID, F.spark_partition_id()))
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    local = tagged.withColumn(_RN, F.row_number().over(Window.partitionBy(_PID, *keys).orderBy(*order_cols)).cast("long"))
+
+    # One row per range, so at most n: bounded whatever the size of the table.
+    ends = tagged.groupBy(_PID).agg(F.min(key).alias("_first"), F.max(key).alias("_last"))
+    last_count = (tagged.join(F.broadcast(ends.select(F.col(_PID).alias("_p"), "_last")),
+                              (F.col(_PID) == F.col("_p")) & key.eqNullSafe(F.col("_last")))
+                  .groupBy("_p").agg(F.count(F.lit(1)).alias("_count")))
+    by_range = Window.orderBy("_p")
+    chain = (ends.withColumnRenamed(_PID, "_p").join(last_count, "_p")
+             .withColumn("_goes_on", F.coalesce(F.col("_first").eqNullSafe(F.lag("_last").over(by_range))
+                                                & F.lag("_p").over(by_range).isNotNull(), F.lit(False)))
+             .withColumn("_before", F.when(F.col("_goes_on"), F.lag("_count").over(by_range)).otherwise(0))
+             .withColumn("_whole", F.lag(F.col("_first").eqNullSafe(F.col("_last"))).over(by_range))
+             .withColumn("_start", F.when(F.col("_goes_on") & F.col("_whole"), 0).otherwise(1))
+             .withColumn("_seg", F.sum("_start").over(by_range))
+             .withColumn("_off", F.sum("_before").over(Window.partitionBy("_seg").orderBy("_p")))
+             .select("_p", "_first", "_off"))
+    joined = local.join(F.broadcast(chain), F.col(_PID) == F.col("_p"))
+    return joined.select(*df.columns,
+                         (F.col(_RN) + F.when(key.eqNullSafe(F.col("_first")), F.col("_off")).otherwise(0)).alias(out))
 
 
 def global_index(df: DataFrame, order: Sequence, out: str = "idx",
