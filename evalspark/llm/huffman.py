@@ -22,6 +22,7 @@ import sys
 import types
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from evalspark.llm.common import table
+from evalspark.llm.passages import Shingler
 from evalspark.session import ensure_checkpoint_dir
 
 MAX_BITS = 16
 BLOCK_IDS = 1 << 16
 CHECK_IDS = 512
 #: Words that a Python worker remembers across its tasks; then it starts afresh.
-CACHE_WORDS = 700_000
-CHUNK_BYTES = 2_000_000
+CACHE_WORDS = 1_500_000
+CHUNK_BYTES = 4_000_000
 #: A control character between the words of one library call; words that hold it go alone.
 MARK = b"\x01"
 
@@ -55,7 +57,9 @@ class WordEncoder:
     """Encodes texts with a tokenizer that never joins words across ASCII white space.
 
     Equal words (ASCII letters in lower case) have equal ids, so the library encodes each
-    distinct word once: many words a call, parted by a mark whose single id is known.
+    distinct word once, many words a call. A run of ASCII signs that ends a word after a
+    letter a-z is a word of its own: the tokenizer never joins the two. Words are told
+    apart by 64-bit hashes of their bytes, for many texts at once with numpy.
     """
 
     def __init__(self, spec: str):
@@ -65,56 +69,99 @@ class WordEncoder:
         self.mark = self._ids(MARK.decode())
         if len(self.mark) != 1:
             raise ValueError("the tokenizer has no single id for the mark")
+        # Texts that spell an added token, in any case, are left to the library as a whole.
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.hasher = Shingler()
+        self.sign = np.zeros(256, bool)
+        self.sign[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[int, int] = {}
         self.ids, self.size, self.start = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        alone = [w for w in words if MARK in w]
-        many = [w for w in words if MARK not in w] if alone else words
-        part = b" " + MARK + b" "
-        calls = [part.join(many[k:k + 2000]).decode("utf-8", "replace") for k in range(0, len(many), 2000)]
-        sizes, ids = [], []
-        for got in self.tokenizer.encode_batch_fast(calls, add_special_tokens=False):
-            row = np.array(got.ids, np.int32)
-            at = np.flatnonzero(row == self.mark[0])
-            sizes.append(np.diff(np.r_[-1, at, len(row)]) - 1)
-            ids.append(np.delete(row, at))
-        for w in alone:
-            row = np.array(self._ids(w.decode("utf-8", "replace")), np.int32)
-            sizes.append(np.array([len(row)], np.int64))
-            ids.append(row)
-        self.number.update(zip(many + alone, range(len(self.number), len(self.number) + len(words))))
-        self.size = np.concatenate([self.size, *sizes])
-        self.start = np.cumsum(self.size) - self.size
-        self.ids = np.concatenate([self.ids, *ids])
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        """Ids of each text with ``end_id`` appended."""
-        words = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
-        met = set().union(*words)
-        new = list(met - self.number.keys())
-        if new and len(self.number) + len(new) > CACHE_WORDS:
+    def _parted(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids per word, ids): many words a call with a mark between; words that hold the mark go alone."""
+        mark = MARK.decode()
+        for k in range(0, len(words), 2000):
+            part = words[k:k + 2000]
+            if any(mark in w for w in part):
+                each = [np.array(self._ids(w), np.int32) for w in part]
+                yield np.array([len(x) for x in each], np.int64), np.concatenate(each)
+            else:
+                row = np.array(self.tokenizer.encode_batch_fast([f" {mark} ".join(part)], add_special_tokens=False)[0].ids, np.int32)
+                at = np.flatnonzero(row == self.mark[0])
+                yield np.diff(np.r_[-1, at, len(row)]) - 1, np.delete(row, at)
+
+    def _letters(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """As ``_parted`` for words of letters only: the tokenizer makes one piece of each, which it counts."""
+        calls = [words[k:k + 2000] for k in range(0, len(words), 2000)]
+        for part, got in zip(calls, self.tokenizer.encode_batch([" ".join(c) for c in calls], add_special_tokens=False)):
+            piece = np.array(got.word_ids, np.int64)
+            if len(piece) and piece[-1] == len(part) - 1:
+                yield np.bincount(piece, minlength=len(part)), np.array(got.ids, np.int32)
+            else:  # a letter that becomes several signs in lower case
+                yield from self._parted(part)
+
+    def learn(self, words: list[str], keys: list[int]) -> None:
+        """Add words that are not yet known, and their hashes."""
+        letters = np.array([w.isalpha() for w in words], bool)
+        order = np.r_[np.flatnonzero(letters), np.flatnonzero(~letters)].tolist()
+        cut = int(letters.sum())
+        got = [*self._letters([words[i] for i in order[:cut]]), *self._parted([words[i] for i in order[cut:]])]
+        self.number.update(zip((keys[i] for i in order), range(len(self.number), len(self.number) + len(words))))
+        size = np.concatenate([n for n, _ in got])
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, *(ids for _, ids in got)])
+
+    def words(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """(joined bytes, first byte and end byte of each word in them, words per text)."""
+        joined = b" ".join([*texts, b""])
+        buf = np.frombuffer(joined, np.uint8)
+        space = (buf == 32) | (buf >= 9) & (buf <= 13)
+        edge = np.diff(np.r_[True, space].astype(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        stem = np.maximum.accumulate(np.where(self.sign[buf], 0, np.arange(1, len(buf) + 1)))[end - 1] if len(end) else end
+        last = buf[stem - 1] if len(end) else buf[:0]
+        split = (stem > start) & (stem < end) & (last >= 97) & (last <= 122)
+        start = np.sort(np.r_[start, stem[split]])
+        end = np.sort(np.r_[end, stem[split]])
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        return joined, start, end, np.diff(np.r_[0, np.searchsorted(start, ends)])
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per text, all ids in order), with ``end_id`` at the end of each text."""
+        raw = [t.encode("utf-8", "replace").lower() if t else b"" for t in texts]
+        whole = [i for i, t in enumerate(raw) if any(a in t for a in self.added)]
+        if whole:
+            rows = {i: np.array(self._ids(texts[i]) + [end_id], np.int32) for i in whole}
+            rest = [i for i in range(len(texts)) if i not in rows]
+            n, ids = self.encode([texts[i] for i in rest], end_id)
+            rows.update(zip(rest, np.split(ids, np.cumsum(n)[:-1])))
+            return np.array([len(rows[i]) for i in range(len(texts))], np.int64), np.concatenate([rows[i] for i in range(len(texts))])
+        joined, start, end, count = self.words(raw)
+        key, first, which = np.unique(self.hasher.spans(np.frombuffer(joined, np.uint8), start, end),
+                                      return_index=True, return_inverse=True)
+        keys = key.tolist()
+        number = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(number < 0)
+        if len(new) and len(self.number) + len(new) > CACHE_WORDS:
             self.forget()
-            new = list(met)
-        if new:
-            self.learn(new)
-        out = []
-        for w in words:
-            number = np.fromiter(map(self.number.__getitem__, w), np.int64, len(w))
-            size = self.size[number]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            row = np.empty(total + 1, np.int32)
-            row[:total] = self.ids[np.arange(total) + np.repeat(self.start[number] - ends + size, size)]
-            row[total] = end_id
-            out.append(row)
-        return out
+            new = np.arange(len(keys))
+        if len(new):
+            spans = zip(start[first[new]].tolist(), end[first[new]].tolist())
+            self.learn([joined[a:b].decode("utf-8", "replace") for a, b in spans], [keys[i] for i in new.tolist()])
+            number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+        number = number[which]
+        size = self.size[number]
+        total = np.r_[0, np.cumsum(size)]
+        ids = self.ids[np.arange(total[-1]) + np.repeat(self.start[number] - total[:-1], size)]
+        ends = total[np.cumsum(count, dtype=np.int64)]
+        return np.diff(np.r_[0, ends]) + 1, np.insert(ids, ends, end_id)
 
 
 def tokenize(docs: DataFrame, spec: str, end_id: int, width: int) -> DataFrame:
@@ -132,15 +179,17 @@ def tokenize(docs: DataFrame, spec: str, end_id: int, width: int) -> DataFrame:
         text = shared.value
         encoder = _worker(hashlib.sha256(text.encode()).hexdigest(), lambda: WordEncoder(text))
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), []
+            texts = batch.column("text").to_pylist()
             start, size = 0, 0
             for i in range(len(texts) + 1):
                 if i == len(texts) or i > start and size > CHUNK_BYTES:
-                    ids += [r.astype(f"<u{width}").tobytes() for r in encoder.encode(texts[start:i], end_id)]
+                    n, ids = encoder.encode(texts[start:i], end_id)
+                    ends = np.r_[0, np.cumsum(n) * width].astype(np.int32)
+                    made = pa.Array.from_buffers(pa.binary(), i - start, [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(f"<u{width}"))])
+                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(start, i - start) for c in ("doc_id", "tie")] + [made],
+                                                     ["doc_id", "tie", "ids"])
                     start, size = i, 0
                 size += len(texts[i] or "") if i < len(texts) else 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(ids, pa.binary())],
-                                             ["doc_id", "tie", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tie"), "text")
     return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
@@ -354,10 +403,11 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     blocks = spark.read.parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
+    # One small row per written part, so its size is bounded by the number of tasks.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rows = blocks.mapInArrow(decode, "part int, doc_id long, place long, n_tokens long, ids binary")
-    return (rows.join(parts, rows["part"] == parts["p"])
+    return (rows.join(F.broadcast(parts), rows["part"] == parts["p"])
             .select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids"))
 
 
