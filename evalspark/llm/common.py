@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,6 +28,16 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more.
+
+    Spark does so when the driver's garbage is collected, which a driver with a large
+    heap and little to do may put off until the disks of the executors are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hash_bucket(buckets: Column | int, *cols: Column) -> Column:
     """Deterministic bucket in [0, buckets) of the given columns."""
     return F.pmod(F.xxhash64(*cols), F.lit(buckets) if isinstance(buckets, int) else buckets)
