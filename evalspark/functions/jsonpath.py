@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 NUMERIC_VARIANT_TYPES = ("BIGINT", "DOUBLE", "BOOLEAN")
@@ -34,34 +37,41 @@ def json_kind(text) -> Column:
             .otherwise(F.lit("unreadable")))
 
 
-def _number_at(text: Column, key: str) -> Column:
-    """Value of ``key`` in the object ``text`` when it is a number or ``{score: number}``."""
-    v = F.try_parse_json(text)
-    path = '$["' + key.replace('"', '\\"') + '"]'
-    direct = F.try_variant_get(v, path, "variant")
-    score = F.try_variant_get(v, path + '["score"]', "variant")
-    return (F.when(is_variant_number(direct), F.try_variant_get(v, path, "double"))
-            .when(is_variant_number(score), F.try_variant_get(v, path + '["score"]', "double")))
-
-
-def find_metric(text, key: str, max_depth: int = 4) -> Column:
-    """SC-20: depth-first search for ``key`` in a JSON document.
-
-    At each level: ``key`` here (a number, or ``{score: number}``); otherwise
-    each child value in document order, through objects and arrays; the first
-    hit wins. Children are taken from ``from_json`` maps/arrays, which keep
-    document order (a VARIANT object sorts its keys). Bounded by ``max_depth``.
+def _metric_number(value) -> float | None:
+    """``value`` as a float when it is a JSON number or boolean, or ``{score: number}``."""
+    if isinstance(value, dict):
+        value = value.get("score")
+    return float(value) if isinstance(value, (int, float)) else None
+
+
+def _search(text: str | None, key: str) -> float | None:
+    try:
+        todo = [json.loads(text)] if text else []
+    except (ValueError, RecursionError):
+        return None
+    while todo:
+        body = todo.pop()
+        if isinstance(body, dict):
+            found = _metric_number(body.get(key))
+            if found is not None:
+                return found
+            todo.extend(reversed(body.values()))
+        elif isinstance(body, list):
+            todo.extend(reversed(body))
+    return None
+
+
+def find_metric(text, key: str) -> Column:
+    """SC-20: depth-first search for ``key`` in a JSON document, at any depth.
+
+    At each object: ``key`` here (a number, or ``{score: number}``); otherwise each
+    child value in document order, through objects and arrays; the first hit wins.
+    Unreadable text gives NULL. SQL has no recursion over a value, so the search runs
+    on Arrow batches with its own stack.
     """
 
-    def rec(t: Column, depth: int) -> Column:
-        here = _number_at(t, key)
-        if depth == 0:
-            return here
-        as_map = F.map_values(F.from_json(t, "map<string,string>"))
-        as_arr = F.from_json(t, "array<string>")
-        children = F.coalesce(as_map, as_arr)
-        found = F.filter(F.transform(children, lambda ch: rec(ch, depth - 1)),
-                         lambda x: x.isNotNull())
-        return F.coalesce(here, F.get(found, 0))
-
-    return rec(_c(text), max_depth)
+    @F.pandas_udf("double")
+    def search(texts: pd.Series) -> pd.Series:
+        return pd.Series([_search(t, key) for t in texts], dtype="float64" if len(texts) == 0 else object)
+
+    return search(_c(text))

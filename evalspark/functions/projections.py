@@ -151,11 +151,12 @@ def lower_suite_only(c) -> Column:
 
 
 def route_model(c, rules: Sequence[tuple[Sequence[str], str]] | None = None,
-                basename_only: bool = False, default: str | None = None) -> Column:
+                basename_only: bool = False, default: str | None = None, strict: bool = False) -> Column:
     """PRJ-11: first rule whose substrings occur in the lower-cased path wins.
 
     The rule table is small configuration, so it becomes one ``CASE WHEN``
-    chain evaluated in generated code. No match -> ``default`` (NULL).
+    chain evaluated in generated code. No match -> ``default`` (NULL), or an error
+    that names the model if ``strict`` (the audio suite has no generic loader).
     """
     rules = MODEL_FAMILY_RULES if rules is None else rules
     name = F.lower(_c(c).cast("string"))
@@ -168,6 +169,7 @@ def route_model(c, rules: Sequence[tuple[Sequence[str], str]] | None = None,
             t = name.contains(p.lower())
             cond = t if cond is None else (cond | t)
         expr = F.when(cond, F.lit(family)) if expr is None else expr.when(cond, F.lit(family))
-    if expr is None:
-        return F.lit(default).cast("string")
-    return expr.otherwise(F.lit(default).cast("string"))
+    last = F.lit(default).cast("string")
+    if strict:
+        last = F.raise_error(F.concat(F.lit("no routing rule matches model "), F.coalesce(name, F.lit("NULL")))).cast("string")
+    return last if expr is None else expr.otherwise(last)

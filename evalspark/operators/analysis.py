@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark.functions.projections import score_label, score_value
 from evalspark.operators.dedup import last_wins
 from evalspark.operators.sequence import number_within
+from evalspark.session import cut_lineage
 
 
 def result_summary(rows: DataFrame) -> DataFrame:
@@ -136,9 +137,8 @@ def leaderboard(df: DataFrame, average: bool = False, labels: Sequence[str] | No
     the mean does not depend on summation order.
     """
     cells = leaderboard_long(df)
-    if labels is None:
-        labels = sorted(r[0] for r in cells.select("label").distinct().collect())
-    wide = cells.groupBy("model_name").pivot("label", list(labels)).agg(F.first("value"))
+    # Without given labels Spark finds and sorts them, under its own limit for columns.
+    wide = cells.groupBy("model_name").pivot("label", None if labels is None else list(labels)).agg(F.first("value"))
     if average:
         v = F.col("value")
         mean = F.avg(v)
@@ -153,5 +153,16 @@ def leaderboard(df: DataFrame, average: bool = False, labels: Sequence[str] | No
 
 def top_k(df: DataFrame, order: Sequence, k: int = 5) -> DataFrame:
     """ST-4: first ``k`` rows by ``order`` plus the total count of ``df``."""
+    df = cut_lineage(df)  # counted and sorted from one evaluation
     total = df.agg(F.count(F.lit(1)).alias("n_total"))
     return df.orderBy(*order).limit(k).crossJoin(total)
+
+
+def cap_per_task(df: DataFrame, task: str, order: Sequence[str], n: int, out: str = "rn") -> DataFrame:
+    """ST-3: the first ``n`` rows of every task by ``order``, numbered from 1 in ``out``.
+
+    Spark plans a partial ``WindowGroupLimit`` before the shuffle, so a hot task ships
+    at most ``n`` rows per map task.
+    """
+    w = Window.partitionBy(task).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w).cast("long")).where(F.col(out) <= n)

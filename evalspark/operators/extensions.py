@@ -56,10 +56,13 @@ class TaskSpec:
     aux_repos: list[str] = field(default_factory=list)
 
 
-def task_spec_rows(spark: SparkSession, specs: Sequence[TaskSpec]) -> tuple[DataFrame, DataFrame]:
-    """Registry rows ``(tasks, task_metrics)`` for custom tasks."""
+def task_spec_rows(spark: SparkSession, specs: Sequence[TaskSpec],
+                   registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Registry rows ``(tasks, task_metrics)`` for custom tasks, placed after every group of ``registry``."""
+    last = registry.agg(F.max("group_pos")).first()[0] if registry is not None else None
+    after = 0 if last is None else last + 1
     tasks = spark.createDataFrame(
-        [(s.group, 10_000 + i, s.engine_task or s.name, 0, s.suite, s.n_shots, s.dataset, s.subset,
+        [(s.group, after + i, s.engine_task or s.name, 0, s.suite, s.n_shots, s.dataset, s.subset,
           ["main"], s.aux_repos, None) for i, s in enumerate(specs)],
         "group string, group_pos int, task string, task_pos int, suite string, n_shots array<int>, "
         "dataset string, subset string, revisions array<string>, hf_models array<string>, description string")

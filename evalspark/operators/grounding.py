@@ -119,6 +119,13 @@ def expected_turns(items: DataFrame, turns_col: str = "conversational_turns") ->
     return F.coalesce(F.sum(F.when(c.isNull(), 0).otherwise(F.size(c))), F.lit(0)).cast("long")
 
 
+def completeness(samples: DataFrame, expected: DataFrame, by: Sequence[str]) -> DataFrame:
+    """AG-9 per group: ``(*by, expected_turns, n_records, complete)``; a group without samples has 0."""
+    counted = samples.groupBy(*by).agg(F.count(F.lit(1)).alias("n_records"))
+    return (expected.join(counted, list(by), "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)).cast("long"))
+            .withColumn("complete", F.col("expected_turns") == F.col("n_records")))
+
+
 def assert_complete(samples: DataFrame, expected: int) -> DataFrame:
     """AG-9: refuse to score unless the sample count equals the expected turns.
 
@@ -126,9 +133,8 @@ def assert_complete(samples: DataFrame, expected: int) -> DataFrame:
     """
     n = samples.count()
     if n == 0:
-        raise RuntimeError("No samples found across shard files.")
+        raise RuntimeError("nothing to score: the sample table is empty")
     if n != expected:
         raise RuntimeError(
-            f"Shard outputs contain {n} samples but the input had {expected} turns; "
-            "refusing to report metrics over a subset of the benchmark.")
+            f"{n} scored samples for {expected} expected turns: an incomplete run is not scored")
     return samples

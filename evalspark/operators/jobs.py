@@ -28,11 +28,13 @@ def job_grid(models: DataFrame, tasks: DataFrame, shots: Sequence[int] | None =
 
 def attach_suite(jobs: DataFrame, suite_map: DataFrame, task_col: str = "task_path",
                  default: str = "lm_eval") -> DataFrame:
-    """JN-2: engine per task from the registry map ``(task, suite)``; missing ->
-    ``lm_eval``. The map is registry-sized, so it is broadcast."""
-    m = suite_map.select(F.col(suite_map.columns[0]).alias("_st"),
-                         F.col(suite_map.columns[1]).alias("_ss"))
-    out = jobs.join(F.broadcast(m), F.col(task_col) == F.col("_st"), "left")
+    """JN-2: engine per task from the registry map ``(task, suite[, position])``;
+    missing -> ``lm_eval``. A task registered twice keeps its first engine: the one of
+    least position, or, in a two-column map, the first by name."""
+    order = F.col(suite_map.columns[2 if len(suite_map.columns) > 2 else 1])
+    m = (suite_map.groupBy(F.col(suite_map.columns[0]).alias("_st"))
+         .agg(F.min_by(F.col(suite_map.columns[1]), order).alias("_ss")))
+    out = jobs.join(m, F.col(task_col) == F.col("_st"), "left")
     return out.withColumn("eval_suite", F.coalesce("_ss", F.lit(default))).drop("_st", "_ss")
 
 
@@ -67,7 +69,7 @@ def unmapped_tasks(jobs: DataFrame, policy: DataFrame, task_col: str = "task_pat
     (sorted) plus the total count, as ``(task, n_unmapped)``."""
     p = policy.select(F.col(policy.columns[0]).alias("task"))
     missing = (jobs.select(F.col(task_col).alias("task")).distinct()
-               .join(F.broadcast(p), "task", "left_anti"))
+               .join(p, "task", "left_anti"))
     total = missing.agg(F.count(F.lit(1)).alias("n_unmapped"))
     return missing.orderBy("task").limit(show).crossJoin(total)
 
@@ -90,12 +92,12 @@ def assign_slices(jobs: DataFrame, key: Sequence[str], capacity: int, seed: int
     """WN-6: deterministic shuffle, then equal contiguous slices.
 
     ``slices = max(1, min(capacity, n))``, ``per = max(1, ceil(n / slices))``,
-    slice of row ``i`` = ``i // per``. The shuffle order is ``xxhash64(key, seed)``
-    (ties by key); the global index comes from range partitions plus
+    slice of row ``i`` = ``i // per``. The shuffle order is the MD5 of
+    ``key1:key2:...:seed`` (ties by key), which any SQL engine can repeat; the global index comes from range partitions plus
     per-partition offsets, never a single-partition window.
     """
     k = [F.col(c) for c in key]
-    shuffled = jobs.withColumn("_h", F.xxhash64(*k, F.lit(seed)))
+    shuffled = jobs.withColumn("_h", F.md5(F.concat_ws(":", *[c.cast("string") for c in k], F.lit(str(seed)))))
     idx = global_index(shuffled, ["_h", *key], out="_i")
     n = jobs.count()
     slices = max(1, min(capacity, n))

@@ -29,10 +29,10 @@ def attach_runs(rows: DataFrame, provenance: DataFrame, path_col: str = "src_pat
     the nearest ancestor directory of the result file. Ancestors are exploded
     so the match is an equi join; the nearest one wins (``max_by`` depth)."""
     prov = provenance.select(_dirname(F.col("_path")).alias("_dir"), "_path")
-    r = rows.withColumn("_rid", F.monotonically_increasing_id())
-    anc = r.select("_rid", F.posexplode(ancestors(F.col(path_col))).alias("_depth", "_dir"))
-    hit = anc.join(prov, "_dir").groupBy("_rid").agg(F.min_by("_path", "_depth").alias("run_path"))
-    return r.join(hit, "_rid", "left").drop("_rid")
+    files = rows.select(F.col(path_col).alias("_src")).distinct()
+    anc = files.select("_src", F.posexplode(ancestors(F.col("_src"))).alias("_depth", "_dir"))
+    hit = anc.join(prov, "_dir").groupBy("_src").agg(F.min_by("_path", "_depth").alias("run_path"))
+    return rows.join(hit, F.col(path_col) == F.col("_src"), "left").drop("_src")
 
 
 def pin_violations(run_groups: DataFrame, runs: DataFrame, pins: dict | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from evalspark.constants import SNAPSHOT_SUITES
-from evalspark.functions.language import canonical_language
+from evalspark.functions.language import canonical_language, flores_subsets
 
 
 def ordered_distinct(df: DataFrame, key: Sequence[str], value: str, pos: str,
@@ -142,3 +142,68 @@ def merge_file_patterns(files: DataFrame) -> DataFrame:
 def first_seen(df: DataFrame, value: str, pos: str) -> DataFrame:
     """AG-19: distinct values in first-seen order, with that order as ``pos``."""
     return df.groupBy(value).agg(F.min(pos).alias("pos")).orderBy("pos")
+
+
+def language_matches(selection: DataFrame, available: DataFrame) -> DataFrame:
+    """SO-4: ``(language, matched)`` per requested code; ``available`` holds the codes that data exist for."""
+    have = available.select(F.col(available.columns[0]).alias("language")).distinct().withColumn("_have", F.lit(True))
+    wanted = selection.select(F.col(selection.columns[0]).alias("language")).distinct()
+    return wanted.join(have, "language", "left").select("language", F.coalesce("_have", F.lit(False)).alias("matched"))
+
+
+def expand_selection(requested: DataFrame, tasks: DataFrame, supers: DataFrame | None = None) -> DataFrame:
+    """JN-6: ``(name, group, languages)`` for requested ``(name, languages)``: groups, super groups, and ``all``.
+
+    ``all`` stands for every group unless the registry defines it. Unknown names raise.
+    The request is configuration; it is the only side that is looked at on the driver.
+    """
+    groups = tasks.select("group").distinct()
+    members = groups.select(F.col("group").alias("name"), "group")
+    if supers is not None:
+        members = members.unionByName(supers.select(F.col("super").alias("name"), "group").distinct())
+    if members.where(F.col("name") == "all").isEmpty():
+        members = members.unionByName(groups.select(F.lit("all").alias("name"), "group"))
+    out = requested.join(members, "name", "left").select("name", "group", "languages")
+    unknown = sorted(r["name"] for r in out.where(F.col("group").isNull()).select("name").distinct().collect())
+    if unknown:
+        raise ValueError(f"not in the registry: {', '.join(unknown)}")
+    return out
+
+
+def unmatched_languages(tasks: DataFrame, expanded: DataFrame) -> DataFrame:
+    """JN-6: ``(name, language)`` asked for that no task of the name has; a name left without any task raises."""
+    want = expanded.where(F.col("languages").isNotNull()).select("name", "group", F.explode("languages").alias("language"))
+    have = tasks.select("group", F.explode("languages").alias("language")).distinct()
+    hit = want.join(have, ["group", "language"], "left_semi").select("name", "language").distinct()
+    empty = want.select("name").distinct().join(hit.select("name").distinct(), "name", "left_anti")
+    names = sorted(r["name"] for r in empty.collect())  # at most the requested names
+    if names:
+        raise ValueError(f"no task of the requested languages in: {', '.join(names)}")
+    return want.select("name", "language").distinct().join(hit, ["name", "language"], "left_anti")
+
+
+def aux_requirements(task_names: DataFrame, aux: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JN-7: auxiliary models ``(repo_id, pos)`` and files ``(repo_id, revision, patterns)`` of scheduled tasks.
+
+    ``task_names``: ``(task, pos)``, trimmed here; ``aux``: ``(task, reg_pos, hf_models
+    ARRAY<STRING>, files ARRAY<STRUCT<repo_id, revision, patterns ARRAY<STRING>>>)``. The
+    first registration that lists any counts. Repeats keep their first position.
+    """
+    names = task_names.select(F.trim(F.col("task")).alias("task"), "pos").groupBy("task").agg(F.min("pos").alias("pos"))
+    some = (F.coalesce(F.size("hf_models"), F.lit(0)) > 0) | (F.coalesce(F.size("files"), F.lit(0)) > 0)
+    first = aux.where(some).groupBy("task").agg(F.min_by(F.struct("hf_models", "files"), "reg_pos").alias("a"))
+    need = names.join(first, "task").select("pos", "a.*")
+    models = first_seen(need.select(F.posexplode("hf_models").alias("k", "repo_id"), "pos")
+                        .select("repo_id", F.struct("pos", "k").alias("pos")), "repo_id", "pos")
+    files = (need.select("pos", F.posexplode("files").alias("k", "f"))
+             .select("pos", "k", "f.repo_id", "f.revision", F.posexplode("f.patterns").alias("j", "pattern"))
+             .select("repo_id", "revision", "pattern", F.struct("pos", "k", "j").alias("pos")))
+    return models, merge_file_patterns(files)
+
+
+def fan_out_pairs(reqs: DataFrame, repo: str, name: str = "task") -> DataFrame:
+    """AG-17: requirements on ``repo`` without a subset become one row per translation pair and language of the task name."""
+    pairs = flores_subsets(F.col(name))
+    bare = (F.col("repo_id") == repo) & F.coalesce(F.length("subset") == 0, F.lit(True))
+    return (reqs.withColumn("_s", F.when(bare, pairs).otherwise(F.array("subset")))
+            .withColumn("subset", F.explode("_s")).drop("_s"))

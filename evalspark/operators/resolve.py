@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.constants import METRIC_FALLBACK_KEYS, PLACEHOLDER_KEYS
 from evalspark.functions.projections import literal_map, unscope_key
+from evalspark.session import cut_lineage
 
 _INF_TIER = 1_000_000
 
@@ -55,7 +56,7 @@ def attach_policy(df: DataFrame, name_col: str, policy) -> DataFrame:
     """Add ``_pref`` = configured headline metric for ``name_col``.
 
     ``policy`` is a dict (-> map literal) or a two-column DataFrame
-    ``(task, metric)``; the latter is registry-sized and broadcast.
+    ``(task, metric)``.
     """
     if policy is None:
         return df.withColumn("_pref", F.lit(None).cast("string"))
@@ -64,7 +65,7 @@ def attach_policy(df: DataFrame, name_col: str, policy) -> DataFrame:
                              if policy else F.lit(None).cast("string"))
     p = policy.select(F.col(policy.columns[0]).alias("_ptask"),
                       F.col(policy.columns[1]).alias("_pref"))
-    return df.join(F.broadcast(p), F.col(name_col) == F.col("_ptask"), "left").drop("_ptask")
+    return df.join(p, F.col(name_col) == F.col("_ptask"), "left").drop("_ptask")
 
 
 def resolve_metric(metrics: DataFrame, by: Sequence[str], name_col: str, policy=None,
@@ -117,7 +118,7 @@ def prefix_candidates(name: Column, min_prefix: str) -> Column:
 
 
 def drop_prefix_subtasks(tasks: DataFrame, file_col: str, task_col: str,
-                         aggregates: DataFrame | None = None) -> DataFrame:
+                         aggregates: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """FLT-2 and FLT-3 within one file.
 
     * ``mmlu_*`` is dropped when the same file has ``mmlu`` among its tasks or
@@ -125,8 +126,11 @@ def drop_prefix_subtasks(tasks: DataFrame, file_col: str, task_col: str,
     * ``global_mmlu_X`` is dropped when another ``global_mmlu_Y`` of the same
       file satisfies ``X startswith Y_``. Candidate prefixes are generated per
       name, so this is an equi semi join on (file, prefix), not a theta join.
+
+    Both rules look in ``known``, all results of the file (default: ``tasks``), so a
+    prefix counts even if another rule has already dropped its own row.
     """
-    names = tasks.select(F.col(file_col).alias("_f"), F.col(task_col).alias("_t"))
+    names = (tasks if known is None else known).select(F.col(file_col).alias("_f"), F.col(task_col).alias("_t"))
     has_mmlu = names.filter(F.col("_t") == "mmlu").select("_f")
     if aggregates is not None:
         has_mmlu = has_mmlu.unionByName(
@@ -145,7 +149,7 @@ def drop_prefix_subtasks(tasks: DataFrame, file_col: str, task_col: str,
     return out.join(hit, (F.col(file_col) == F.col("_f")) & (t == F.col("_t")), "left_anti")
 
 
-def descend_groups(groups: DataFrame, edges: DataFrame, max_levels: int = 64) -> DataFrame:
+def descend_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """AG-1: which groups of a file emit a headline row.
 
     ``groups``: ``(file_id, group, group_pos, has_metric)``;
@@ -154,27 +158,31 @@ def descend_groups(groups: DataFrame, edges: DataFrame, max_levels: int = 64) ->
     i.e. cyclic metadata); a group with a metric is emitted; a metric-less group
     is replaced by its child *groups*; each group is visited once. Returns
     ``(file_id, group, level, group_pos)`` of emitted groups. The frontier loop
-    runs once per hierarchy level (a handful), never per row.
+    runs once per hierarchy level, never per row, until no group is left to
+    visit. Each level's rows are cut in the shared checkpoint folder, so a level
+    costs the same at any depth.
     """
+    groups, edges = cut_lineage(groups), cut_lineage(edges)
     g = groups.select("file_id", "group", "group_pos", "has_metric")
     child_names = edges.select("file_id", F.col("child").alias("group")).distinct()
     non_sub = g.join(child_names, ["file_id", "group"], "left_anti")
     files_with_roots = non_sub.select("file_id").distinct()
     roots = non_sub.unionByName(g.join(files_with_roots, "file_id", "left_anti"))
-    frontier = roots.withColumn("level", F.lit(0))
-    reached = frontier
-    for level in range(1, max_levels + 1):
-        nxt = (frontier.filter(~F.col("has_metric"))
+    frontier = cut_lineage(roots.withColumn("level", F.lit(0)))
+    reached, level = frontier, 0
+    while True:
+        level += 1
+        nxt = cut_lineage(frontier.filter(~F.col("has_metric"))
                .select("file_id", F.col("group").alias("parent"))
                .join(edges, ["file_id", "parent"])
                .select("file_id", F.col("child").alias("group"))
                .join(g, ["file_id", "group"])
-               .join(reached.select("file_id", "group"), ["file_id", "group"], "left_anti")
                .distinct()
+               .join(reached.select("file_id", "group"), ["file_id", "group"], "left_anti")
                .withColumn("level", F.lit(level)))
         if nxt.isEmpty():
             break
-        reached = reached.unionByName(nxt)
+        reached = cut_lineage(reached.unionByName(nxt))
         frontier = nxt
     return reached.filter(F.col("has_metric")).select("file_id", "group", "level", "group_pos")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from evalspark.functions.answers import answer_match, first_boxed
+
 
 def mean_score(df: DataFrame, by: Sequence[str], score: str, prefix: str = "") -> DataFrame:
     """``aggregation: mean`` of per-sample scores with count and standard error.
@@ -47,3 +49,16 @@ def mcq_scores(picks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_docs"), F.avg("acc").alias("acc"),
             F.avg("acc_norm").alias("acc_norm"), F.avg("acc_bytes").alias("acc_bytes")]
     return picks.groupBy(*by).agg(*aggs) if by else picks.agg(*aggs)
+
+
+def grade_answers(predictions: DataFrame, gold: DataFrame, extractor: Callable = first_boxed, keys: Sequence[str] = ("task", "doc"),
+                  response: str = "response", answer: str = "answer") -> DataFrame:
+    """SC-8: ``(*keys, pred, answer, exact_match)`` for every gold answer.
+
+    ``extractor`` maps the response column to the prediction. A gold row without a
+    response, or a response without an extractable answer, scores 0.
+    """
+    pred = predictions.select(*keys, extractor(F.col(response)).alias("pred"))
+    both = gold.select(*keys, F.col(answer).alias("answer")).join(pred, list(keys), "left")
+    graded = answer_match(both, "pred", "answer", out="_eq")
+    return graded.select(*keys, "pred", "answer", F.col("_eq").cast("int").alias("exact_match"))

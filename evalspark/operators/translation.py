@@ -2,8 +2,8 @@
 
 Corpus metrics are not means of sentence scores: clipped n-gram matches and
 totals are summed over all pairs first (T17). Clipping happens *within* a pair,
-so each pair's statistics are computed in its own row -- a small Arrow-batched
-helper intersects two n-gram counters -- and only a fixed-length vector of
+so each pair's statistics are computed in its own row -- an Arrow-batched helper
+numbers the n-grams of many pairs with numpy -- and only a fixed-length vector of
 counts per pair reaches Spark's aggregate. No n-gram is ever shuffled: the
 work is embarrassingly parallel over pairs and the only exchange is the final
 partial-aggregated sum.
@@ -16,41 +16,80 @@ tokens; chrF uses characters with whitespace removed and, for chrF++, word
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+#: Characters of both sides that are numbered together.
+_RUN_CHARS = 200_000
 _WS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-def _stats(hyp: str, ref: str, word_orders: int, char_orders: int) -> list[int]:
-    """[matches, hyp_total, ref_total] per order (char orders first, then words)."""
-    out: list[int] = []
+def _overlaps(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> np.ndarray:
+    """[matches, hyp_total, ref_total] per order for every pair of symbol sequences, as [pairs, 3 * orders].
+
+    N-grams of all pairs are numbered together: an n-gram's number follows from the
+    number of its first n - 1 symbols and its last symbol.
+    """
+    pairs, sequences = len(hyp), [*hyp, *ref]
+    size = np.array([len(x) for x in sequences], np.int64)
+    symbol = np.concatenate(sequences) if size.sum() else np.zeros(0, np.int64)
+    symbol = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
+    where = np.repeat(np.arange(2 * pairs), size)
+    out = np.zeros((pairs, 3 * orders), np.int64)
+    number, kinds = symbol, int(symbol.max(initial=0)) + 1
+    for n in range(1, orders + 1):
+        if n > 1:
+            if len(symbol) < n:
+                break
+            key = number[:len(symbol) - n + 1] * kinds + symbol[n - 1:]
+            number = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        whole = where[:len(symbol) - n + 1] == where[n - 1:]
+        at, gram = where[:len(symbol) - n + 1][whole], number[whole]
+        total = np.bincount(at, minlength=2 * pairs)
+        most = int(gram.max(initial=0)) + 1
+        mine, theirs = at < pairs, at >= pairs
+        h, hc = np.unique(at[mine] * most + gram[mine], return_counts=True)
+        r, rc = np.unique((at[theirs] - pairs) * most + gram[theirs], return_counts=True)
+        both, i, j = np.intersect1d(h, r, assume_unique=True, return_indices=True)
+        out[:, 3 * n - 3] = np.bincount(both // most, weights=np.minimum(hc[i], rc[j]), minlength=pairs)
+        out[:, 3 * n - 2], out[:, 3 * n - 1] = total[:pairs], total[pairs:]
+    return out
+
+
+def _stats(hyp: list[str], ref: list[str], word_orders: int, char_orders: int) -> np.ndarray:
+    """Counts per pair: character orders first, then word orders, then the word lengths."""
+    out = []
     if char_orders:
-        hc, rc = _WS.sub("", hyp), _WS.sub("", ref)
-        for n in range(1, char_orders + 1):
-            ch = Counter(hc[i:i + n] for i in range(len(hc) - n + 1))
-            cr = Counter(rc[i:i + n] for i in range(len(rc) - n + 1))
-            out += [sum((ch & cr).values()), max(len(hc) - n + 1, 0), max(len(rc) - n + 1, 0)]
+        def points(t: str) -> np.ndarray:
+            return np.frombuffer(_WS.sub("", t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+
+        out.append(_overlaps([points(t) for t in hyp], [points(t) for t in ref], char_orders))
     if word_orders:
-        hw = [w for w in _WS.split(hyp) if w]
-        rw = [w for w in _WS.split(ref) if w]
-        for n in range(1, word_orders + 1):
-            ch = Counter(tuple(hw[i:i + n]) for i in range(len(hw) - n + 1))
-            cr = Counter(tuple(rw[i:i + n]) for i in range(len(rw) - n + 1))
-            out += [sum((ch & cr).values()), max(len(hw) - n + 1, 0), max(len(rw) - n + 1, 0)]
-        out += [len(hw), len(rw)]
-    return out
+        words = [[w for w in _WS.split(t) if w] for t in (*hyp, *ref)]
+        ids: dict[str, int] = {}
+        coded = [np.array([ids.setdefault(w, len(ids)) for w in row], np.int64) for row in words]
+        out.append(_overlaps(coded[:len(hyp)], coded[len(hyp):], word_orders))
+        size = np.array([len(w) for w in words], np.int64)
+        out.append(np.stack([size[:len(hyp)], size[len(hyp):]], axis=1))
+    return np.concatenate(out, axis=1)
 
 
 def pair_stats(hyp: Column, ref: Column, word_orders: int, char_orders: int) -> Column:
-    """Per-pair count vector (see :func:`_stats`) as ``ARRAY<BIGINT>``."""
+    """Per-pair count vector (see :func:`_stats`) as ``ARRAY<BIGINT>``; a batch is counted in runs of bounded size."""
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def stats(h: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([_stats(a or "", b or "", word_orders, char_orders) for a, b in zip(h, r)])
+        rows, start, size = [], 0, 0
+        h, r = h.tolist(), r.tolist()
+        for i in range(len(h) + 1):
+            if i == len(h) or i > start and size > _RUN_CHARS:
+                rows += list(_stats(h[start:i], r[start:i], word_orders, char_orders)) if i > start else []
+                start, size = i, 0
+            size += len(h[i]) + len(r[i]) if i < len(h) else 0
+        return pd.Series(rows, dtype=object)
 
     return stats(F.coalesce(hyp, F.lit("")), F.coalesce(ref, F.lit("")))
 
@@ -65,7 +104,7 @@ def _summed(pairs: DataFrame, hyp: str, ref: str, by: Sequence[str], word_orders
 
 
 def corpus_bleu(pairs: DataFrame, hyp: str = "hypothesis", ref: str = "reference",
-                pair_id: str = "pair_id", by: Sequence[str] = (), max_n: int = 4) -> DataFrame:
+                by: Sequence[str] = (), max_n: int = 4) -> DataFrame:
     """BLEU (Papineni et al. 2002), 0-100, one row per ``by`` group.
 
     Columns: ``bleu, bp, p1..p{max_n}, sys_len, ref_len``.
@@ -89,7 +128,7 @@ def corpus_bleu(pairs: DataFrame, hyp: str = "hypothesis", ref: str = "reference
 
 
 def corpus_chrf(pairs: DataFrame, hyp: str = "hypothesis", ref: str = "reference",
-                pair_id: str = "pair_id", by: Sequence[str] = (), char_order: int = 6,
+                by: Sequence[str] = (), char_order: int = 6,
                 word_order: int = 2, beta: float = 2.0) -> DataFrame:
     """chrF and chrF++ (Popovic 2015, 2017), 0-100, one row per ``by`` group.
 

@@ -6,6 +6,7 @@ from evalspark.plans import collect_plans  # noqa: F401
 from evalspark.plans import analysis_plans  # noqa: F401
 from evalspark.plans import text_plans  # noqa: F401
 from evalspark.plans import registry_plans  # noqa: F401
+from evalspark.plans import more_plans  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLE = catalog.ORACLE

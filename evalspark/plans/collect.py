@@ -42,6 +42,11 @@ from evalspark.sources.results import (
 FACT_COLUMNS = ["model_name", "task", "n_shot", "performance", "performance_normalized", "metric_name"]
 
 
+def src_pos(step: int, level: Column, pos: Column) -> Column:
+    """Order of a row in its file: groups (by level) before tasks, then document order."""
+    return F.struct(F.lit(step).alias("step"), level.cast("int").alias("level"), pos.cast("long").alias("pos")).alias("src_pos")
+
+
 @dataclass(frozen=True)
 class ResultParser:
     """UD-2: a plugin's first-chance claim on a result file.
@@ -109,7 +114,7 @@ def _plugin_rows(ok: DataFrame, tasks: DataFrame, claimed: DataFrame, policy) ->
     shot = canonical_shot(config_shot(j, F.col("task")).try_cast("double").cast("long"))
     return j.select("model_name", "task", shot.alias("n_shot"), "performance", "metric_name",
                     F.col("path").alias("src_path"), F.col("mtime").alias("src_mtime"),
-                    F.lit(0).cast("long").alias("src_pos"))
+                    src_pos(0, F.lit(0), F.lit(0)))
 
 
 def _first_child_shot(names: DataFrame, name_col: str, edges: DataFrame, shots: DataFrame) -> DataFrame:
@@ -139,7 +144,7 @@ def _group_rows(ok_g: DataFrame, shots: DataFrame, glob: DataFrame, edges: DataF
     n_shot = F.coalesce(canonical_shot(F.col("own")), canonical_shot(F.col("sub_shot")),
                         F.col("global_n_shot").cast("string"), gparsed.cast("string"), F.lit("unknown"))
     return rows.select("path", gclean.alias("task"), n_shot.alias("n_shot"), "performance", "metric_name",
-                       (F.col("level") * F.lit(1_000_000) + F.col("group_pos")).alias("src_pos"))
+                       src_pos(0, F.col("level"), F.col("group_pos")))
 
 
 def _task_rows(ok_g: DataFrame, tasks: DataFrame, shots: DataFrame, glob: DataFrame,
@@ -153,7 +158,7 @@ def _task_rows(ok_g: DataFrame, tasks: DataFrame, shots: DataFrame, glob: DataFr
     t = tasks.filter(F.col("task") != "all")
     t = t.join(agg_names.join(has_groups, "path"), ["path", "task"], "left_anti")
     t = t.join(sub_names, ["path", "task"], "left_anti")
-    t = drop_prefix_subtasks(t, "path", "task", aggregates=groups)
+    t = drop_prefix_subtasks(t, "path", "task", aggregates=groups, known=tasks)
     clean, parsed = split_task_nshot(F.col("task"))
     t = t.withColumn("clean", clean).withColumn("parsed", parsed)
 
@@ -201,7 +206,7 @@ def _task_rows(ok_g: DataFrame, tasks: DataFrame, shots: DataFrame, glob: DataFr
                         F.col("global_n_shot").cast("string"), canonical_shot(F.col("mmlu_shot")),
                         canonical_shot(F.col("gm_shot")), F.col("parsed").cast("string"), F.lit("unknown"))
     out = rows.select("path", F.col("clean").alias("task"), n_shot.alias("n_shot"), "performance",
-                      "metric_name", (F.lit(10 ** 12) + F.col("task_pos")).alias("src_pos"))
+                      "metric_name", src_pos(1, F.lit(0), F.col("task_pos")))
     return out, audit
 
 
@@ -241,7 +246,7 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
     meta = ok_g.select("path", F.col("model").alias("model_name"), F.col("mtime").alias("src_mtime"))
     generic = grows.unionByName(trows).join(meta, "path").select(
         "model_name", "task", "n_shot", "performance", "metric_name",
-        F.col("path").alias("src_path"), "src_mtime", F.col("src_pos").cast("long"))
+        F.col("path").alias("src_path"), "src_mtime", "src_pos")
     rows = plugin.unionByName(generic)
     rows = rows.withColumn("metric_name", F.coalesce("metric_name", F.lit(""))) \
         .withColumn("performance_normalized",
@@ -260,7 +265,3 @@ def check_missing(collected: Collected, jobs: DataFrame) -> DataFrame:
     """JN-4 over the collected (pre-dedup) completed set."""
     from evalspark.operators.analysis import missing_jobs
     return missing_jobs(jobs, collected.completed)
-
-
-def shot_text(c: Column) -> Column:
-    return canonical_shot(c)

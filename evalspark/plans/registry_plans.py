@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from evalspark.functions.language import canonical_language
 from evalspark.functions.projections import canonical_suite, route_model
 from evalspark.operators.jobs import reject_unsafe, unknown_names, unmapped_tasks
-from evalspark.operators.registry import ordered_distinct, registry_summary
+from evalspark.constants import SNAPSHOT_SUITES
+from evalspark.operators.registry import language_matches, merge_dataset_specs, registry_summary
 from evalspark.plans.catalog import query, t
 
 
@@ -34,17 +35,19 @@ def q_registry_summary(spark, sf):
 
 
 @query("merge_specs", """
-WITH f AS (SELECT p_brand, p_type, min(p_partkey) AS pos FROM part GROUP BY ALL),
-r AS (SELECT p_brand, string_agg(p_type, ',' ORDER BY pos) AS revisions FROM f GROUP BY p_brand),
-b AS (SELECT p_brand, bool_or(p_size > 25) AS needs_snapshot FROM part GROUP BY p_brand)
-SELECT p_brand, revisions, needs_snapshot FROM r JOIN b USING (p_brand)
+WITH q AS (SELECT p_brand AS repo_id, CASE WHEN p_size % 2 = 0 THEN 'even' END AS subset,
+                  CASE WHEN p_size % 7 = 0 THEN 'main' ELSE p_type END AS revision, p_partkey AS pos, p_size > 25 AS snap FROM part),
+f AS (SELECT repo_id, subset, revision, min(pos) AS pos FROM q GROUP BY ALL),
+r AS (SELECT repo_id, subset, string_agg(revision, ',' ORDER BY pos) AS revisions FROM f GROUP BY ALL),
+b AS (SELECT repo_id, subset, bool_or(snap) AS needs_snapshot FROM q GROUP BY ALL)
+SELECT r.repo_id, r.subset, revisions, needs_snapshot FROM r JOIN b ON r.repo_id = b.repo_id AND r.subset IS NOT DISTINCT FROM b.subset
 """)
 def q_merge_specs(spark, sf):
-    part = t(spark, sf, "part")
-    revs = ordered_distinct(part, ["p_brand"], "p_type", "p_partkey", out="revs")
-    flag = part.groupBy("p_brand").agg(F.bool_or(F.col("p_size") > 25).alias("needs_snapshot"))
-    return revs.join(flag, "p_brand").select("p_brand", F.array_join("revs", ",").alias("revisions"),
-                                             "needs_snapshot")
+    p = t(spark, sf, "part")
+    reqs = p.select(F.col("p_brand").alias("repo_id"), F.when(F.col("p_size") % 2 == 0, "even").alias("subset"),
+                    F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("revision"), F.col("p_partkey").alias("pos"),
+                    F.when(F.col("p_size") > 25, sorted(SNAPSHOT_SUITES)[0]).otherwise("another").alias("suite"))
+    return merge_dataset_specs(reqs).select("repo_id", "subset", F.array_join("revisions", ",").alias("revisions"), "needs_snapshot")
 
 
 _SELECTION = ["deu_Latn", "fra_Latn", "ita_Latn"]
@@ -71,11 +74,8 @@ SELECT language, language IN (SELECT language FROM avail) AS matched FROM sel
 """)
 def q_language_matches(spark, sf):
     # SO-4: requested codes split into matched and unmatched by the corpus' languages
-    avail = (t(spark, sf, "documents").select(canonical_language("lang").alias("language"))
-             .distinct().withColumn("matched", F.lit(True)))
-    sel = spark.createDataFrame([(c,) for c in _SELECTION], "language string")
-    return sel.join(avail, "language", "left").select(
-        "language", F.coalesce("matched", F.lit(False)).alias("matched"))
+    avail = t(spark, sf, "documents").select(canonical_language("lang").alias("language"))
+    return language_matches(spark.createDataFrame([(c,) for c in _SELECTION], "language string"), avail)
 
 
 _RULES = [(["widget", "gadget"], "tools"), (["red", "blue"], "colors"), (["ring", "bolt"], "hardware")]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.operators.grounding import grounding_metrics, per_round_metrics
+from evalspark.operators.grounding import completeness, expected_turns, grounding_metrics, per_round_metrics
 from evalspark.operators.scoring import mcq_picks, mcq_scores, mean_score
 from evalspark.operators.sequence import number_within
 from evalspark.plans.catalog import query, r6, t
@@ -81,9 +81,11 @@ FROM conversations GROUP BY conv_id
 """)
 def q_completeness_guard(spark, sf):
     conv = t(spark, sf, "conversations")
-    g = conv.groupBy("conv_id").agg((F.max("turn") + 1).alias("expected_turns"),
-                                    F.count(F.lit(1)).alias("n_records"))
-    return g.withColumn("complete", F.col("expected_turns") == F.col("n_records"))
+    # the items are conversations with one expected turn list each
+    items = conv.groupBy("conv_id").agg((F.max("turn") + 1).alias("n")).select(
+        "conv_id", F.array_repeat(F.lit("t"), F.col("n").cast("int")).alias("conversational_turns"))
+    expected = items.groupBy("conv_id").agg(expected_turns(items).alias("expected_turns"))
+    return completeness(conv, expected, ["conv_id"])
 
 
 @query("mean_scores", """

@@ -14,7 +14,7 @@ from evalspark.functions.answers import (
 )
 from evalspark.functions.text import format_series, paraphrase_pair, pipe_table, render_prompt, valid_pair
 from evalspark.operators.decontam import decontaminate
-from evalspark.operators.scoring import mean_score
+from evalspark.operators.scoring import grade_answers, mean_score
 from evalspark.operators.sequence import number_within
 from evalspark.operators.translation import corpus_bleu, corpus_chrf
 from evalspark.plans.catalog import query, r6, t
@@ -81,14 +81,24 @@ def q_boxed_answers(spark, sf):
                                      "pred", "exact_match")
 
 
-@query("grade_answers", "WITH" + _RESP_SQL + """
-SELECT l_returnflag, count(*) AS n, round(avg(exact_match), 6) AS mean,
-       round(stddev_samp(exact_match) / sqrt(count(*)), 6) AS stderr
-FROM s GROUP BY l_returnflag""")
+@query("grade_answers", """
+WITH o AS (
+  SELECT o_orderpriority AS task, o_orderkey % 4 AS kind, o_totalprice AS p, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS answer FROM orders),
+s AS (
+  SELECT task, CASE WHEN kind = 0 THEN 1 WHEN kind = 1 THEN
+                 CASE WHEN abs(p - floor(p)) <= 1e-4 * greatest(abs(p), floor(p)) THEN 1 ELSE 0 END ELSE 0 END AS ok FROM o)
+SELECT task, count(*) AS n, round(avg(ok), 6) AS mean, round(stddev_samp(ok) / sqrt(count(*)), 6) AS stderr FROM s GROUP BY task
+""")
 def q_grade_answers(spark, sf):
-    res = mean_score(_graded(spark, sf), ["l_returnflag"], "exact_match")
-    return res.select("l_returnflag", "n", r6(F.col("mean")).alias("mean"),
-                      r6(F.col("stderr")).alias("stderr"))
+    # by order key: boxed right answer, boxed price, no box, no response at all
+    o = t(spark, sf, "orders").select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("doc"), "o_totalprice")
+    kind, whole = F.col("doc") % 4, F.floor("o_totalprice").cast("long").cast("string")
+    said = (F.when(kind == 0, F.concat(F.lit("so \\boxed{ "), whole, F.lit("}")))
+            .when(kind == 1, F.concat(F.lit("\\boxed{"), F.format_string("%.2f", "o_totalprice"), F.lit("}")))
+            .otherwise("no idea"))
+    predictions = o.where(kind != 3).select("task", "doc", said.alias("response"))
+    res = mean_score(grade_answers(predictions, o.select("task", "doc", whole.alias("answer"))), ["task"], "exact_match")
+    return res.select("task", "n", r6(F.col("mean")).alias("mean"), r6(F.col("stderr")).alias("stderr"))
 
 
 @query("answer_extraction", f"""
@@ -162,18 +172,19 @@ def q_pipe_table(spark, sf):
 
 
 @query("subsample", """
-SELECT vec_id, len(embedding) AS n_points,
+WITH s AS (SELECT vec_id, list_concat(embedding, list_concat(embedding, embedding)) AS x FROM embeddings)
+SELECT vec_id, len(x) AS n_points,
        array_to_string(list_transform(
-         CASE WHEN len(embedding) > 16
-              THEN list_transform(range(0, 16), lambda i: embedding[CAST(floor(i * (len(embedding) / 16.0)) AS INTEGER) + 1])
-              ELSE embedding END,
+         CASE WHEN len(x) > 128
+              THEN list_transform(range(0, 128), lambda i: x[CAST(floor(i * (len(x) / 128.0)) AS INTEGER) + 1])
+              ELSE x END,
          lambda v: printf('%.4g', CAST(v AS DOUBLE))), ', ') AS series
-FROM embeddings
+FROM s
 """)
 def q_subsample(spark, sf):
-    e = t(spark, sf, "embeddings")
-    return e.select("vec_id", F.size("embedding").alias("n_points"),
-                    format_series("embedding", 16).alias("series"))
+    # a vector three times over is a series longer than the cap
+    e = t(spark, sf, "embeddings").select("vec_id", F.concat("embedding", "embedding", "embedding").alias("x"))
+    return e.select("vec_id", F.size("x").alias("n_points"), format_series("x", 128).alias("series"))
 
 
 @query("fewshot_prompts", """
@@ -182,7 +193,7 @@ WITH shots AS (
   FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 3))
 SELECT conv_id, turn,
        block || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS prompt
-FROM conversations, shots WHERE role = 'user'
+FROM conversations, shots
 """)
 def q_fewshot_prompts(spark, sf):
     bench = t(spark, sf, "benchmark").select("item_id", "text")
@@ -190,7 +201,7 @@ def q_fewshot_prompts(spark, sf):
     block = first.agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("item_id", "text"))),
         lambda x: F.concat(F.lit("Example: "), x["text"])), "\n\n").alias("block"))
-    conv = t(spark, sf, "conversations").filter(F.col("role") == "user")
+    conv = t(spark, sf, "conversations")
     return conv.crossJoin(block).select(
         "conv_id", "turn",
         render_prompt("{b}\n\nQuestion: {q}\nAnswer:", b="block", q="text").alias("prompt"))

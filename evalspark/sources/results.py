@@ -20,6 +20,9 @@ from evalspark.functions.jsonpath import is_variant_number, json_kind
 from evalspark.functions.projections import model_identity
 
 
+_NONFINITE = "non-finite:"
+
+
 def _is_dir(spark: SparkSession, path: str) -> bool:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -57,6 +60,15 @@ def scan_provenance(spark: SparkSession, root: str) -> DataFrame:
                      F.from_json("text", "map<string,string>").alias("record")).orderBy("_path")
 
 
+def name_nonfinite(text: Column) -> Column:
+    """Bare ``NaN`` and ``Infinity`` values as marked strings, which JSON parsers keep (T5).
+
+    A value follows an unescaped quote and a colon, so text inside strings never matches.
+    """
+    marked = F.regexp_replace(text, r'(?<!\\)("\s*:\s*)(NaN|-?Infinity)(?=\s*[,}])', f'$1"{_NONFINITE}$2"')
+    return F.when(text.contains("NaN") | text.contains("Infinity"), marked).otherwise(text)
+
+
 def parse_results(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-2: ``(ok, rejects)``.
 
@@ -65,6 +77,7 @@ def parse_results(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     with ``unreadable``, ``not_object`` (e.g. a bare per-sample array) or
     ``results_not_object`` (e.g. this engine's own envelope).
     """
+    files = files.withColumn("text", name_nonfinite(F.col("text")))
     kind = json_kind(F.col("text"))
     top = F.from_json(F.col("text"), "map<string,string>")
     with_kind = files.select("path", "mtime", kind.alias("kind"), top.alias("top"))
@@ -105,12 +118,14 @@ def metric_rows(entries: DataFrame, name: str) -> DataFrame:
     """Explode each entry's metric bag: ``(path, name, key, pos, value, numeric)``.
 
     A value is numeric when it is a JSON number or boolean; numeric strings
-    are not (T3). Booleans count as 1.0 / 0.0.
+    are not (T3). Booleans count as 1.0 / 0.0; NaN and infinities are numeric (T5).
     """
     bag = F.from_json(F.col(f"{name}_json"), "map<string,variant>")
     e = entries.select("path", name, F.posexplode(bag).alias("pos", "key", "v"))
-    numeric = F.coalesce(is_variant_number(F.col("v")), F.lit(False))
-    value = F.when(numeric, F.coalesce(F.try_variant_get("v", "$", "double"),
+    text = F.try_variant_get("v", "$", "string")
+    nonfinite = F.when(text.startswith(_NONFINITE), F.substring(text, len(_NONFINITE) + 1, 9).cast("double"))
+    numeric = F.coalesce(is_variant_number(F.col("v")), F.lit(False)) | nonfinite.isNotNull()
+    value = F.when(numeric, F.coalesce(nonfinite, F.try_variant_get("v", "$", "double"),
                                        F.try_variant_get("v", "$", "boolean").cast("double")))
     return e.select("path", name, "key", F.col("pos").cast("long").alias("pos"),
                     value.alias("value"), numeric.alias("numeric"))

@@ -28,11 +28,24 @@ def read_jobs_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_jobs(spark: SparkSession, root: str) -> DataFrame:
     """SRC-3 + WN-2: every ``jobs.csv`` below ``root``; on duplicate
-    (model_path, task_path, n_shot) the later-sorted file / later row wins."""
-    df = (spark.read.option("header", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "jobs.csv").csv(root)
-          .withColumn("_file", F.col("_metadata.file_path"))
-          .withColumn("_row", F.monotonically_increasing_id()))
+    (model_path, task_path, n_shot) the later-sorted file / later row wins. Columns
+    go by each file's own header; a tree without a file gives an empty table."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "jobs.csv").text(root)
+             .select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), "value"))
+    heads = lines.groupBy("_file").agg(F.min_by("value", "_row").alias("head"), F.min("_row").alias("first"))
+    frames = []
+    # Files of one header are read together by that header, so columns go by name.
+    for (head,) in heads.select("head").distinct().collect():  # distinct headers, not files
+        names = [n.strip().strip('"') for n in head.lstrip("\ufeff").split(",")]
+        own = heads.where(F.col("head") == head).select("_file", "first")
+        row = F.from_csv(F.col("value"), F.lit(", ".join(f"`{n}` string" for n in names)))
+        frames.append(lines.join(own, "_file").where(F.col("_row") > F.col("first")).where(F.trim("value") != "")
+                      .select(row.alias("r"), "_file", "_row").select("r.*", "_file", "_row"))
+    if not frames:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in (*JOB_COLUMNS, "eval_suite")))
+    df = frames[0]
+    for f in frames[1:]:
+        df = df.unionByName(f, allowMissingColumns=True)
     key = [c for c in JOB_COLUMNS if c in df.columns]
     out = last_wins(df, key, ["_file", "_row"]) if key else df
     return out.drop("_file", "_row")
@@ -60,10 +73,13 @@ def load_registry(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFr
             task_rows.append((gname, gpos, tk.get("task"), tpos, tk.get("suite") or g.get("suite"),
                               tk.get("n_shots") or g.get("n_shots") or [], tk.get("dataset") or g.get("dataset"),
                               tk.get("subset"), tk.get("revisions") or ["main"], tk.get("hf_models") or [],
-                              g.get("description")))
+                              g.get("description"),
+                              [(f.get("repo_id"), f.get("revision"), f.get("patterns") or [])
+                               for f in tk.get("hf_dataset_files") or []]))
     tasks = spark.createDataFrame(task_rows, "group string, group_pos int, task string, task_pos int, "
                                              "suite string, n_shots array<int>, dataset string, subset string, "
-                                             "revisions array<string>, hf_models array<string>, description string")
+                                             "revisions array<string>, hf_models array<string>, description string, "
+                                             "hf_dataset_files array<struct<repo_id:string,revision:string,patterns:array<string>>>")
     langs = spark.createDataFrame(lang_rows, "group string, lang string, lang_pos int")
     tasks = expand_lang_templates(tasks, langs)
     from evalspark.functions.language import task_languages
@@ -72,11 +88,19 @@ def load_registry(spark: SparkSession, paths: Sequence[str]) -> dict[str, DataFr
         [(s, g_["task"], i, sd.get("description")) for s, sd in merged["super_groups"].items()
          for i, g_ in enumerate(sd.get("task_groups") or [])],
         "super string, group string, pos int, description string")
+    if "all" not in merged["super_groups"] and "all" not in merged["task_groups"]:  # spans every group
+        supers = supers.unionByName(groups_of(group_rows, spark))
     metrics = spark.createDataFrame(list(merged["task_metrics"].items()), "task string, metric string")
     groups = spark.createDataFrame(group_rows, "group string, group_pos int, suite string, description string")
     return {"tasks": tasks, "groups": groups, "supers": supers, "task_metrics": metrics}
 
 
+def groups_of(group_rows: list[tuple], spark: SparkSession) -> DataFrame:
+    """The generated super group ``all``."""
+    return spark.createDataFrame([("all", r[0], r[1], "Every task group") for r in group_rows],
+                                 "super string, group string, pos int, description string")
+
+
 SAMPLE_SCHEMA = ("array<struct<image_id:string,intersection:double,union:double,bbox_iou:double>>")
 
 
@@ -84,7 +108,10 @@ def read_sample_shards(spark: SparkSession, root: str, schema: str = SAMPLE_SCHE
     """SRC-7: every ``output_*.json`` below ``root`` (a JSON array of per-turn
     records per file), with ``(shard_path, pos)`` as the output order (T14). A
     record that is not an object stays a row with a NULL ``record`` (failed
-    sample). Raises when there is no file."""
+    sample). Raises when there is no file. A shard is one value of one task; use
+    :func:`read_sample_lines` for shards of many gigabytes."""
+    if not _any_file(spark, root, "output_*.json"):
+        raise FileNotFoundError(f"no output_*.json below {root}")
     files = (spark.read.option("recursiveFileLookup", True)
              .option("pathGlobFilter", "output_*.json").text(root, wholetext=True)
              .select(F.col("_metadata.file_path").alias("shard_path"), "value"))
@@ -94,16 +121,43 @@ def read_sample_shards(spark: SparkSession, root: str, schema: str = SAMPLE_SCHE
     return items.select("shard_path", F.col("pos").cast("long").alias("pos"), rec.alias("record"))
 
 
+def read_sample_lines(spark: SparkSession, root: str, schema: str = SAMPLE_SCHEMA, glob: str = "output_*.jsonl") -> DataFrame:
+    """SRC-7 at scale: one record per line, splittable within a file; the same columns.
+
+    ``pos`` rises along a file (line order) but may have gaps.
+    """
+    if not _any_file(spark, root, glob):
+        raise FileNotFoundError(f"no {glob} below {root}")
+    elem = schema[len("array<"):-1]
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+    rec = F.when(F.from_json("value", "map<string,string>").isNotNull(), F.from_json("value", elem))
+    return (lines.select(F.col("_metadata.file_path").alias("shard_path"), F.col("_metadata.file_block_start").alias("_at"),
+                         F.monotonically_increasing_id().alias("_row"), "value").where(F.trim("value") != "")
+            .select("shard_path", F.struct("_at", "_row").alias("pos"), rec.alias("record")))
+
+
+def _in_parts(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder that Spark wrote, whose parts are its content."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/part-*")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
+def _any_file(spark: SparkSession, root: str, glob: str) -> bool:
+    """Whether a file of that name pattern lies below ``root``; a listing, no data is read."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("binaryFile").load(root)
+    return not files.select("path").isEmpty()
+
+
 ENVELOPE_ROW = ("struct<model:string,task:string,n_shot:string,metric:string,"
                 "performance:double,performance_normalized:double>")
 
 
 def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-8: result rows of an envelope file, or of ``eval_results.json`` (else
+    """SRC-8: result rows of an envelope file (or folder of parts, see SNK-2), or of ``eval_results.json`` (else
     legacy ``results.json``) in a directory; missing -> FileNotFoundError.
     ``n_shot`` is text (int or ``unknown``)."""
     p = path
-    if _is_dir(spark, path):
+    if _is_dir(spark, path) and not _in_parts(spark, path):
         cand = path.rstrip("/") + "/eval_results.json"
         jvm = spark._jvm
         hp = jvm.org.apache.hadoop.fs.Path(cand)
@@ -113,6 +167,10 @@ def read_envelope(spark: SparkSession, path: str) -> DataFrame:
     hp = jvm.org.apache.hadoop.fs.Path(p)
     if not hp.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hp):
         raise FileNotFoundError(f"Results file not found: {p}")
+    if _in_parts(spark, p):  # a document in parts: every result is a line of its own
+        lines = spark.read.text(p).select(F.regexp_replace("value", "^,", "").alias("value"), F.monotonically_increasing_id().alias("pos"))
+        row = F.from_json("value", ENVELOPE_ROW)
+        return lines.where(F.col("value").startswith('{"model"')).select("pos", row.alias("r")).select("pos", "r.*")
     doc = spark.read.text(p, wholetext=True)
     rows = F.from_json(F.get_json_object("value", "$.results"), f"array<{ENVELOPE_ROW}>")
     return doc.select(F.posexplode(rows).alias("pos", "r")).select("pos", "r.*")
@@ -126,7 +184,7 @@ def read_score_tables(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     for i, p in enumerate(paths):
         try:
             df = spark.read.option("header", True).option("inferSchema", False).csv(p)
-            df.schema  # noqa: B018 -- forces the read to fail here for a bad path
+            df.isEmpty()  # reads the first rows, so an unreadable file fails here
         except Exception:  # noqa: BLE001
             continue
         frames.append(df.withColumn("input_no", F.lit(i)).withColumn("pos", F.monotonically_increasing_id()))
@@ -144,15 +202,16 @@ def read_score_tables(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         out = out.withColumn("performance_normalized", F.lit(None).cast("double"))
     return out.withColumn("performance", F.col("performance").cast("double")) \
         .withColumn("performance_normalized", F.col("performance_normalized").cast("double")) \
-        .withColumn("pos", F.col("input_no").cast("long") * F.lit(1 << 40) + F.col("pos"))
+        .withColumn("pos", F.struct("input_no", "pos"))
 
 
 def read_parallel_corpus(spark: SparkSession, path: str, split: str, fmt: str = "parquet") -> DataFrame:
     """SRC-10: the requested split of a corpus partitioned by ``split``; if it
     is absent and exactly one split exists, that one is used; else an error.
-    The fallback is a metadata check on the partition values."""
+    Looks at one row per distinct split; over a partitioned layout that is a
+    listing of folders, no data file is opened."""
     df = spark.read.format(fmt).load(path)
-    splits = [r[0] for r in df.select("split").distinct().collect()]
+    splits = [r[0] for r in df.select("split").distinct().limit(1000).collect()]
     if split in splits:
         chosen = split
     elif len(splits) == 1:

@@ -4,14 +4,13 @@ Result files arriving in a directory are read as a file stream (one row per
 whole file). Each micro-batch runs the same collect job as the batch path and
 is merged into the fact table with the WN-1 rule (newest file mtime, then
 path, then row position wins). The table is written as a new version folder
-per batch id, so a re-run of the same batch after a failure rewrites the same
-folder (idempotent), and readers always see a complete version.
+per batch id, on top of the newest complete version of an earlier batch: a re-run
+of a batch rewrites its own folder from the same base, and readers only take
+folders that Spark has finished.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalspark.operators.dedup import newest_wins
@@ -19,7 +18,7 @@ from evalspark.plans.collect import DEFAULT_PARSERS, FACT_COLUMNS, collect_from_
 
 FACT_SCHEMA = ("model_name string, task string, n_shot string, performance double, "
                "performance_normalized double, metric_name string, src_path string, "
-               "src_mtime timestamp, src_pos long")
+               "src_mtime timestamp, src_pos struct<step:int,level:int,pos:long>")
 
 
 def result_file_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:
@@ -33,11 +32,19 @@ def result_file_stream(spark: SparkSession, root: str, max_files_per_trigger: in
             .filter(~F.col("path").endswith("/provenance.json")))
 
 
-def latest_version(table_dir: str) -> str | None:
-    if not os.path.isdir(table_dir):
+def latest_version(spark: SparkSession, table_dir: str, below: int | None = None) -> str | None:
+    """The newest complete version folder (of a batch before ``below``), on any file system."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table_dir)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
         return None
-    versions = sorted((int(d.split("=")[1]), d) for d in os.listdir(table_dir) if d.startswith("batch="))
-    return os.path.join(table_dir, versions[-1][1]) if versions else None
+    versions = []
+    for status in fs.listStatus(root):
+        path = status.getPath()
+        name = path.getName()
+        if name.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+            versions.append((int(name[len("batch="):]), path.toString()))
+    return max((v for v in versions if below is None or v[0] < below), default=(0, None))[1]
 
 
 def merge_batch(table_dir: str, policy=None, parsers=DEFAULT_PARSERS):
@@ -47,11 +54,10 @@ def merge_batch(table_dir: str, policy=None, parsers=DEFAULT_PARSERS):
         spark = batch.sparkSession
         new = collect_from_files(batch, policy, parsers).facts.select(*FACT_COLUMNS, "src_path", "src_mtime",
                                                                       "src_pos")
-        prev_dir = latest_version(table_dir)
-        if prev_dir is not None and not prev_dir.endswith(f"batch={batch_id}"):
-            new = spark.read.parquet(prev_dir).unionByName(new)
-        merged = newest_wins(new)
-        merged.write.mode("overwrite").parquet(os.path.join(table_dir, f"batch={batch_id}"))
+        base = latest_version(spark, table_dir, below=batch_id)
+        if base is not None:
+            new = spark.read.parquet(base).unionByName(new)
+        newest_wins(new).write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/batch={batch_id}")
 
     return run
 

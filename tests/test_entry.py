@@ -22,7 +22,7 @@ def test_entry_smoke(spark):
 def test_oracle_keys_subset():
     assert set(E.oracle_sql()) <= set(E.queries())
     core = E.plans
-    assert set(core.QUERIES) - set(core.ORACLE) == {"slices"}
+    assert set(core.QUERIES) == set(core.ORACLE)
 
 
 @pytest.fixture(scope="module")

@@ -3,15 +3,21 @@
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from evalspark.operators.analysis import compare_runs, leaderboard
 from evalspark.operators.grounding import grounding_metrics, per_round_metrics
-from evalspark.operators.registry import registry_summary, select_tasks
+from evalspark.operators.jobs import attach_suite
+from evalspark.constants import AUDIO_MODEL_RULES
+from evalspark.functions.projections import route_model
+from evalspark.operators.registry import (
+    aux_requirements, expand_selection, fan_out_pairs, registry_summary, select_tasks, unmatched_languages)
 from evalspark.plans.collect import collect_results
 from evalspark.sinks.writers import missing_path, report_lines, write_envelope, write_missing, write_shards
 from evalspark.sources.tables import (
-    load_registry, read_envelope, read_jobs_csv, read_sample_shards, read_score_tables, scan_jobs)
+    load_registry, read_envelope, read_jobs_csv, read_sample_lines, read_sample_shards, read_score_tables, scan_jobs)
 
 
 def put(root, rel, text):
@@ -63,7 +69,7 @@ super_groups:
     assert sorted(r.task for r in tasks.collect()) == ["copa", "sib200_deu_Latn", "sib200_fra_Latn"]
     summ = {r.name: (r.suite, r.n_tasks, r.n_shots) for r in registry_summary(tasks, reg["supers"]).collect()}
     assert summ == {"sib-eu": ("lm-eval-harness", 2, "0"), "misc": ("lm-eval-harness", 1, "0, 5"),
-                    "all-eu": ("mixed", 3, "")}
+                    "all-eu": ("mixed", 3, ""), "all": ("mixed", 3, "")}
     sel = spark.createDataFrame([("sib-eu", ["deu_Latn"]), ("misc", None)], "group string, languages array<string>")
     picked = sorted((r.task, r.n_shot) for r in select_tasks(tasks, sel).collect())
     assert picked == [("copa", 0), ("copa", 5), ("sib200_deu_Latn", 0)]
@@ -91,7 +97,9 @@ def test_envelope_roundtrip_and_compare(spark, tree):
     ea, eb = os.path.join(tree, "outa", "eval_results.json"), os.path.join(tree, "outb", "eval_results.json")
     write_envelope(collect_results(spark, os.path.join(tree, "a")).facts, [], ea)
     env = write_envelope(collect_results(spark, os.path.join(tree, "b")).facts, [{"run": 1}], eb)
-    assert env["version"] == "1.2" and env["runs"] == [{"run": 1}] and env["results"][0]["metric"] == "acc,none"
+    parts = sorted(p for p in os.listdir(eb) if p.startswith("part-"))
+    doc = json.loads("".join(open(os.path.join(eb, p)).read() for p in parts))
+    assert doc["version"] == env["version"] == "1.2" and doc["runs"] == [{"run": 1}] and doc["results"][0]["metric"] == "acc,none"
     a, b = read_envelope(spark, os.path.dirname(ea)), read_envelope(spark, eb)
     cmp = compare_runs(a, b).collect()
     assert len(cmp) == 1 and round(cmp[0].delta, 4) == 0.05
@@ -108,7 +116,7 @@ def test_score_tables_leaderboard_report(spark, tree):
     got = {r.model_name: (r[1], r[2], r[3]) for r in wide.collect()}
     assert got == {"m1": (50.0, 3.0, 50.0), "m2": (70.0, None, 70.0)}
     lines = [r.line for r in report_lines(df).orderBy("part").collect()]
-    assert lines[-1] == "> `*` = raw value (metric scale not in `METRIC_NATIVE_SCALE`)."
+    assert lines[-1] == "> `*`: not scaled to 0-100, since the native scale of the metric is unknown."
 
 
 def test_missing_sink_and_shards(spark, tree):
@@ -122,3 +130,66 @@ def test_missing_sink_and_shards(spark, tree):
     assert write_shards(items, os.path.join(tree, "shards"), 2) == 6
     parts = sorted(os.listdir(os.path.join(tree, "shards")))
     assert [p for p in parts if p.startswith("shard=")] == ["shard=0", "shard=1"]
+
+
+def test_jobs_by_header_name(spark, tree):
+    put(tree, "a/jobs.csv", "model_path,task_path,n_shot\nm1,t,0\n")
+    put(tree, "b/jobs.csv", "n_shot,eval_suite,task_path,model_path\n5,LM,u,\"m,2\"\n0,X,t,m1\n")
+    got = sorted((r.model_path, r.task_path, r.n_shot, r.eval_suite) for r in scan_jobs(spark, tree).collect())
+    assert got == [("m,2", "u", "5", "LM"), ("m1", "t", "0", "X")]
+    os.makedirs(os.path.join(tree, "none"))
+    assert scan_jobs(spark, os.path.join(tree, "none")).collect() == []
+
+
+def test_shards_missing_and_lines(spark, tree):
+    os.makedirs(os.path.join(tree, "none"))
+    for read in (read_sample_shards, read_sample_lines):
+        with pytest.raises(FileNotFoundError):
+            read(spark, os.path.join(tree, "none"))
+    put(tree, "s/output_0.jsonl", '{"image_id": "1", "intersection": 1.0, "union": 2.0, "bbox_iou": 0.5}\n[1]\n\n')
+    got = read_sample_lines(spark, os.path.join(tree, "s")).orderBy("pos").collect()
+    assert [r.record and r.record.union for r in got] == [2.0, None]
+
+
+def test_first_registration_wins(spark):
+    jobs = spark.createDataFrame([("m", "t"), ("m", "u")], "model_path string, task_path string")
+    suites = spark.createDataFrame([("t", "second", 1), ("t", "first", 0)], "task string, suite string, pos int")
+    assert sorted((r.task_path, r.eval_suite) for r in attach_suite(jobs, suites).collect()) == [("t", "first"), ("u", "lm_eval")]
+
+
+def test_selection_of_groups(spark):
+    tasks = spark.createDataFrame([("g1", ["deu_Latn"]), ("g1", ["fra_Latn"]), ("g2", [])], "group string, languages array<string>")
+    supers = spark.createDataFrame([("both", "g1"), ("both", "g2")], "super string, group string")
+
+    def ask(*rows):
+        return expand_selection(spark.createDataFrame(list(rows), "name string, languages array<string>"), tasks, supers)
+
+    assert sorted((r.name, r.group) for r in ask(("all", None), ("both", None), ("g2", None)).collect()) == [
+        ("all", "g1"), ("all", "g2"), ("both", "g1"), ("both", "g2"), ("g2", "g2")]
+    with pytest.raises(ValueError, match="nope"):
+        ask(("nope", None))
+    got = unmatched_languages(tasks, ask(("both", ["deu_Latn", "ita_Latn"]), ("g2", None))).collect()
+    assert [(r.name, r.language) for r in got] == [("both", "ita_Latn")]
+    with pytest.raises(ValueError, match="g2"):
+        unmatched_languages(tasks, ask(("g2", ["deu_Latn"])))
+
+
+def test_aux_requirements_and_pairs(spark):
+    aux = spark.createDataFrame([("t", 0, [], []), ("t", 1, ["m1", "m2"], [("r", None, ["a", "b"])]), ("t", 2, ["x"], []),
+                                 ("u", 3, ["m2", "m3"], [("r", None, ["b", "c"]), ("", None, ["z"])])],
+                                "task string, reg_pos int, hf_models array<string>, "
+                                "files array<struct<repo_id:string,revision:string,patterns:array<string>>>")
+    names = spark.createDataFrame([(" u ", 0), ("t", 1), ("u", 2), ("w", 3)], "task string, pos int")
+    models, files = aux_requirements(names, aux)
+    assert [r.repo_id for r in models.orderBy("pos").collect()] == ["m2", "m3", "m1"]
+    assert [(r.repo_id, r.patterns) for r in files.collect()] == [("r", ["b", "c", "a"])]
+    reqs = spark.createDataFrame([("flores200:a-b", "fl", None), ("flores200:a-b", "fl", "s"), ("x", "o", None)], "task string, repo_id string, subset string")
+    assert sorted((r.repo_id, r.subset or "") for r in fan_out_pairs(reqs, "fl").collect()) == [
+        ("fl", "a"), ("fl", "a-b"), ("fl", "b"), ("fl", "s"), ("o", "")]
+
+
+def test_audio_routing(spark):
+    df = spark.createDataFrame([("org/Qwen2-Audio-7B-Instruct",), ("x/SALMONN-13B",)], "m string")
+    assert [r[0] for r in df.select(route_model("m", AUDIO_MODEL_RULES, strict=True)).collect()] == ["Qwen2-Audio-7B-Instruct", "SALMONN_7B"]
+    with pytest.raises(Exception, match="no routing rule matches model other"):
+        spark.createDataFrame([("other",)], "m string").select(route_model("m", AUDIO_MODEL_RULES, strict=True)).collect()
