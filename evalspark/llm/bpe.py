@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from evalspark.llm.common import table
+from evalspark.llm.common import short_batches, table
 
 #: Distinct pieces that a task remembers; then it starts afresh.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 #: Characters, and ids, that are handled at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 CHUNK_IDS = 1_000_000
 #: Below this many pieces of one size class, plain Python is faster than numpy.
 FEW = 24
@@ -246,7 +246,7 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def encode_texts(docs: DataFrame, tokens: list[bytes], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with its ``text`` column replaced by ``ids``, an array of int; null texts give no ids."""
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary(tokens))  # the vocabulary's size
-    keep = [c for c in docs.columns if c != text]
+    keep = [c for c in short_batches(docs).columns if c != text]
     schema = T.StructType([*docs.select(*keep).schema, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

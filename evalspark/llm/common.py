@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.session import cut_lineage, read_table
 
+#: Texts in one batch between the JVM and a Python worker.
+TEXT_ROWS = 1000
 # ASCII white space: the separators of a "word" everywhere in this package
 # (bytes.split() of Python splits on exactly these).
 WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
@@ -28,6 +30,18 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """``df``, with at most TEXT_ROWS texts a batch from here on in its session.
+
+    A batch of Spark's default 10,000 rows may hold a gigabyte of long texts, several
+    times over in a Python worker. A smaller setting of the session is left as it is.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
 def drop_finished_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps that nothing refers to any more.
 

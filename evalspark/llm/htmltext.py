@@ -21,7 +21,7 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm.common import table
+from evalspark.llm.common import short_batches, table
 
 #: Weight of the sibling paths in smoothing, and the threshold in standard deviations.
 SMOOTH = 0.3
@@ -229,7 +229,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def text(htmls: pd.Series) -> pd.Series:
         return pd.Series([main_text(h) for h in htmls], dtype="object")
 
-    return (pages.select("page_id", "url", text("html").alias("text"))
+    return (short_batches(pages).select("page_id", "url", text("html").alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))
 
 

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evalspark.llm.common import table
+from evalspark.llm.common import short_batches, table
 from evalspark.llm.passages import Shingler
 from evalspark.session import ensure_checkpoint_dir
 
@@ -37,8 +37,8 @@ MAX_BITS = 16
 BLOCK_IDS = 1 << 16
 CHECK_IDS = 512
 #: Words that a Python worker remembers across its tasks; then it starts afresh.
-CACHE_WORDS = 1_500_000
-CHUNK_BYTES = 4_000_000
+CACHE_WORDS = 1_000_000
+CHUNK_BYTES = 2_000_000
 #: A control character between the words of one library call; words that hold it go alone.
 MARK = b"\x01"
 
@@ -191,7 +191,7 @@ def tokenize(docs: DataFrame, spec: str, end_id: int, width: int) -> DataFrame:
                     start, size = i, 0
                 size += len(texts[i] or "") if i < len(texts) else 0
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tie"), "text")
+    rows = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tie"), "text")
     return rows.mapInArrow(run, "doc_id long, tie long, ids binary")
 
 

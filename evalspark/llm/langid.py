@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from evalspark.llm.common import table
+from evalspark.llm.common import short_batches, table
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -109,7 +109,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.nd
             at = np.flatnonzero(sums)
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": sums[at]})
 
-    counts = (labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    counts = (short_batches(labelled).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
               .mapInPandas(count, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
               .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("row")))
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, langs: list[str], matrix: np.ndarray, *keep: str |
         best, score = classify(texts.tolist(), *model.value)
         return pd.DataFrame({"lang_pred": best, "score": score})
 
-    return docs.select(*keep, predict("text").alias("p")).select("*", "p.*").drop("p")
+    return short_batches(docs).select(*keep, predict("text").alias("p")).select("*", "p.*").drop("p")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

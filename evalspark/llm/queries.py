@@ -17,4 +17,4 @@ QUERIES = {
     "op9_pruned_graph_near_dups": vectorgraph.query,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_url_char_models": urlfilter.oracle_sql()}

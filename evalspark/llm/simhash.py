@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evalspark.llm.common import connected_components, table
+from evalspark.llm.common import connected_components, short_batches, table
 from evalspark.session import cut_lineage
 
 SHINGLE_WORDS = 3
@@ -61,7 +61,7 @@ def with_fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> Da
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).astype(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"))
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"))
 
 
 # --- anchors -----------------------------------------------------------------------
@@ -164,6 +164,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> D
     """
     if max_bits not in (1, 2):
         raise ValueError("the anchor cover is laid out for 1 or 2 differing bits")
+    # Placing makes about a hundred rows of one: spread the few bytes that go in over all
+    # tasks (a stated number is not coalesced to the small input's size).
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     homes = anchor_rows(fps, 0).select("anchor", "fp")
     residents = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("residents"))
     visits = cut_lineage(

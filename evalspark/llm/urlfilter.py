@@ -67,6 +67,11 @@ def spelling(url: Column) -> Column:
     return F.regexp_replace(text, r"[^a-z0./:?=&_#%+,;@-]", "~")
 
 
+def kept_out(text: Column) -> Column:
+    """Whether a spelling is in the calibration fold, by its MD5."""
+    return F.conv(F.left(F.md5(text), F.lit(6)), 16, 10).cast("long") % FOLDS == 0
+
+
 def _grams(text: Column) -> Column:
     """Every character with its ORDER characters of context."""
     padded = F.concat(F.lit(PAD * ORDER), text)
@@ -135,7 +140,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
         F.sum((F.col("ruled") == "allow").cast("long")).alias("allow"),
         F.sum((F.col("ruled") == "block").cast("long")).alias("block"))
         .na.fill(0, ["allow", "block"])
-        .withColumn("kept_out", F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0))
+        .withColumn("kept_out", kept_out(F.col("text"))))
     trained = ~F.col("kept_out")
     grams = (texts.select(F.explode(_grams(F.col("text"))).alias("gram"),
                           F.when(trained, F.col("allow")).otherwise(0).alias("allow"),
@@ -154,6 +159,59 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
                     "score"))
 
 
+def oracle_sql(rules: list[tuple[str, str, str]] = RULES) -> str:
+    """The same filter in DuckDB SQL."""
+    up, low, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    rule = verdict = "NULL"
+    for rhost, rpath, what in sorted(rules, key=lambda r: len(r[0] + r[1])):
+        fits = f"(host = '{rhost}' OR ends_with(host, '.{rhost}')) AND starts_with(path, '{rpath}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{rhost + rpath}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
+    orders, last = [], None
+    for k in range(ORDER + 1):
+        sides = ", ".join(f"{x}, sum({x}) OVER w AS {x}_n, sum(CASE WHEN {x} > 0 THEN 1 ELSE 0 END) OVER w AS {x}_t" for x in ("allow", "block"))
+        p = ", ".join(f"CASE WHEN {x}_n > 0 THEN ({x} + {x}_t * p_{x}_low) / ({x}_n + {x}_t) ELSE p_{x}_low END::DOUBLE AS p_{x}"
+                      for x in ("allow", "block"))
+        below = (f"SELECT *, {1.0 / ALPHABET}::DOUBLE AS p_allow_low, {1.0 / ALPHABET}::DOUBLE AS p_block_low FROM w{k}" if last is None else
+                 f"SELECT w{k}.*, m.p_allow AS p_allow_low, m.p_block AS p_block_low FROM w{k} JOIN {last} m ON right(w{k}.gram, {k}) = m.gram")
+        orders += [f"c{k} AS (SELECT right(gram, {k + 1}) AS gram, sum(allow) AS allow, sum(block) AS block FROM grams GROUP BY ALL)",
+                   f"w{k} AS (SELECT gram, {sides} FROM c{k} WINDOW w AS (PARTITION BY left(gram, {k})))",
+                   f"m{k} AS (SELECT gram, {p} FROM ({below}))"]
+        last = f"m{k}"
+    models = ",\n".join(orders)
+    return f"""
+WITH raw AS (
+  SELECT page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{up}', '{low}') AS host,
+         regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
+         regexp_replace(regexp_replace(translate(translate(url, '{up}', '{low}'), '{digits}', '{"0" * 10}'), '^[a-z]*://', ''),
+                        '[^a-z0./:?=&_#%+,;@-]', '~', 'g') AS text
+  FROM raw),
+judged AS (SELECT *, {rule} AS rule, {verdict} AS ruled FROM split),
+texts AS (
+  SELECT text, sum(CASE WHEN ruled = 'allow' THEN 1 ELSE 0 END) AS allow, sum(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) AS block,
+         CAST('0x' || left(md5(text), 6) AS BIGINT) % {FOLDS} = 0 AS kept_out
+  FROM judged GROUP BY text),
+each AS (
+  SELECT text, allow, block, kept_out, substr('{PAD * ORDER}' || text, i, {ORDER + 1}) AS gram
+  FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM texts)),
+grams AS (
+  SELECT gram, sum(CASE WHEN kept_out THEN 0 ELSE allow END) AS allow, sum(CASE WHEN kept_out THEN 0 ELSE block END) AS block
+  FROM each GROUP BY gram),
+{models},
+sums AS (SELECT text, avg(ln(p_allow) - ln(p_block)) AS score FROM each JOIN {last} USING (gram) GROUP BY text),
+scored AS (SELECT t.*, round(coalesce(score, 0.0), 9) AS score FROM texts t LEFT JOIN sums USING (text)),
+bins AS (
+  SELECT floor(score * 100) AS bin, sum(allow) AS allow, sum(block) AS block FROM scored WHERE kept_out GROUP BY 1 HAVING sum(allow) + sum(block) > 0),
+gains AS (
+  SELECT bin, sum(allow) OVER up / nullif(sum(allow) OVER (), 0) - sum(block) OVER up / nullif(sum(block) OVER (), 0) AS gain
+  FROM bins WINDOW up AS (ORDER BY bin DESC)),
+best AS (SELECT coalesce((SELECT bin / 100.0 FROM gains WHERE gain IS NOT NULL ORDER BY gain DESC, bin DESC LIMIT 1), 0.0) AS threshold)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, score
+FROM judged JOIN scored USING (text), best
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: host, path, rule and verdict of every page's url."""
     return filter_urls(table(spark, sf_dir, "pages", "page_id", "url"))
