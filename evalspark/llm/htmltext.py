@@ -7,7 +7,8 @@ smoothed with the mean of the sibling paths (same parent), both are fused by the
 product, and paths reaching a share of the fused values' spread are content. The smallest
 element that holds all content nodes then gives the page's text: all its blocks outside
 menus, forms, notices and other named page furniture, so short lines and headings of the
-article stay. Where that element is the whole body, only the content nodes count.
+article stay. An element that holds most of the page's fused ratios is not furniture,
+whatever its name. Where that element is the whole body, only the content nodes count.
 
 Reading is linear in the page, whatever its nesting: paths are interned numbers.
 """
@@ -44,6 +45,12 @@ FURNITURE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted "
     "related respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
+PLACES = frozenset("area bar bottom box left links list main mobile page right section site top".split())
+#: Furniture by class or id: whole names, and two of them or one with its place, as cookie-notice and site-footer.
+FURNITURE_CLASSES = FURNITURE_NAMES | {f"{a}{mark}{b}" for a in FURNITURE_NAMES | PLACES for b in FURNITURE_NAMES | PLACES
+                                       for mark in "-_" if not PLACES.issuperset((a, b))}
+#: Tags that are furniture whatever they hold.
+NEVER_CONTENT = frozenset("head nav menu footer".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 
@@ -51,7 +58,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>]++)))?")
 PUNCTUATION = re.compile(r"[^\w\s]")
 
 
@@ -62,10 +69,10 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes or tag in ("html", "body"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), entities.unescape(a or b or c).lower().strip()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and not FURNITURE_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and not FURNITURE_CLASSES.isdisjoint(value.split()):
             return True
     return False
 
@@ -73,21 +80,24 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
 def read_blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str]], list[int]]:
     """((text, path, element) of each block outside furniture, (parent, tag) of each element, parent of each path)."""
     blocks: list[tuple[str, int, int]] = []
+    marks: list[tuple[int, bool]] = []  # innermost furniture of each block, 0 for none; whether an article holds the block
+    furnitures: list[tuple[int, str]] = [(0, "")]  # enclosing furniture element and tag of each
     elements: list[tuple[int, str]] = [(-1, "")]
     path_parent = [-1]
     path_ids: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, path, element, furniture depth
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, path, element, innermost furniture
     open_tags: dict[str, int] = defaultdict(int)
     pieces: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         pieces.clear()
-        if text and not stack[-1][3]:
+        if text:
             k = len(stack) - 1
             while stack[k][0] and stack[k][0] not in BLOCK:
                 k -= 1
             blocks.append((text, stack[k][1], stack[k][2]))
+            marks.append((stack[-1][3], open_tags["article"] > 0 or open_tags["main"] > 0))
 
     def pop() -> None:
         open_tags[stack.pop()[0]] -= 1
@@ -149,17 +159,39 @@ def read_blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int,
             path, element = child, len(elements) - 1
         else:
             in_article = True
-        furniture += furniture > 0 or is_furniture(tag, attributes, in_article)
+        if is_furniture(tag, attributes, in_article):
+            furnitures.append((furniture, tag))
+            furniture = len(furnitures) - 1
         stack.append((tag, path, element, furniture))
         open_tags[tag] += 1
     if at < len(page):
         pieces.append(entities.unescape(page[at:]))
     flush()
+    if len(furnitures) > 1:
+        blocks = without_furniture(blocks, marks, furnitures, path_parent)
     return blocks, elements, path_parent
 
 
-def content_paths(blocks: list[tuple[str, int, int]], path_parent: list[int]) -> set[int]:
-    """Paths whose smoothed, fused text and punctuation ratio reaches the threshold."""
+def without_furniture(blocks: list[tuple[str, int, int]], marks: list[tuple[int, bool]], furnitures: list[tuple[int, str]],
+                      path_parent: list[int]) -> list[tuple[str, int, int]]:
+    """``blocks`` outside furniture. What holds most of the page's fused ratios is none, unless the page has an article besides."""
+    fused = fused_ratios(blocks, path_parent)
+    mass = [0.0] * len(furnitures)
+    article = 0.0  # of articles outside furniture
+    for (_, path, _), (furniture, in_article) in zip(blocks, marks):
+        mass[furniture] += fused[path]
+        article += fused[path] if in_article and not furniture else 0.0
+    for k in range(len(furnitures) - 1, 0, -1):  # inner ones come after those that hold them
+        mass[furnitures[k][0]] += mass[k]
+    away = [False] * len(furnitures)
+    for k, (outer, tag) in enumerate(furnitures[1:], 1):
+        kept = 2 * mass[k] > mass[0] and 4 * article < mass[0] and tag not in NEVER_CONTENT
+        away[k] = away[outer] or not kept
+    return [b for b, (furniture, _) in zip(blocks, marks) if not away[furniture]]
+
+
+def fused_ratios(blocks: list[tuple[str, int, int]], path_parent: list[int]) -> dict[int, float]:
+    """Smoothed, fused text and punctuation ratio of each path."""
     length, points, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
     for text, path, _ in blocks:
         length[path] += len(text)
@@ -176,12 +208,17 @@ def content_paths(blocks: list[tuple[str, int, int]], path_parent: list[int]) ->
         return {p: (1 - SMOOTH) * ratio[p] + SMOOTH * mean[path_parent[p]] for p in paths}
 
     by_text, by_points = smooth(length), smooth(points)
-    fused = {p: by_text[p] * (1 + by_points[p]) for p in paths}
+    return {p: by_text[p] * (1 + by_points[p]) for p in paths}
+
+
+def content_paths(blocks: list[tuple[str, int, int]], path_parent: list[int]) -> set[int]:
+    """Paths whose smoothed, fused text and punctuation ratio reaches the threshold."""
+    fused = fused_ratios(blocks, path_parent)
     if not fused:
         return set()
     mean = sum(fused.values()) / len(fused)
     spread = (sum((v - mean) ** 2 for v in fused.values()) / len(fused)) ** 0.5
-    return {p for p in paths if fused[p] >= THRESHOLD * spread and fused[p] > 0} or {max(paths, key=fused.get)}
+    return {p for p in fused if fused[p] >= THRESHOLD * spread and fused[p] > 0} or {max(fused, key=fused.get)}
 
 
 def main_text(page: str | None) -> str:

@@ -45,6 +45,25 @@ def test_article_without_furniture(name):
     assert H.main_text(page) == f"Title\n{LONG}\n{LONG} Two.\nShort."
 
 
+@pytest.mark.parametrize("wrapper", [
+    '<main style="overflow:hidden">', '<div title="The hidden city">', '<div data-hidden="false" data-id="nav" data-role="form">',
+    '<div class="overflow-hidden">', '<div class="col has-sidebar">', '<div class="no-comments">', '<article class="post-related">',
+    '<div id="page" data-x=\'class="ad"\'>', '<form action="/x">', '<div class="sidebar">', '<div hidden>', '<div class="modal"><form>'])
+def test_wrappers_are_not_furniture(wrapper):
+    close = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", wrapper)))
+    page = (f"<html><body><nav><ul><li><a>Menu, one.</a><li><a>Two</a></ul></nav>{wrapper}<h1>Title</h1><p>{LONG}</p><p>{LONG} Two.</p>"
+            f"<p>Short.</p><div class='wide ad'>{LONG}</div>{close}<footer>{LONG}</footer></body></html>")
+    assert H.main_text(page) == f"Title\n{LONG}\n{LONG} Two.\nShort."
+
+
+@pytest.mark.parametrize("box", ["<div hidden>", "<div HIDDEN=''>", "<div class=\"x cookie-notice\">", "<div id=site_footer>", "<div role=navigation>",
+                                 "<div aria-hidden='true'>", "<section class='comments'>"])
+def test_furniture_beside_an_article(box):
+    close = f"</{re.findall(r'<(\w+)', box)[0]}>"
+    page = f"<body><article><h1>Title</h1><p>{LONG}</p><p>{LONG} Two.</p></article>{box}" + f"<p>{LONG}</p>" * 4 + f"{close}</body>"
+    assert H.main_text(page) == f"Title\n{LONG}\n{LONG} Two."
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), (" \n", ""), ("plain words", "plain words"), ("<p>a &lt;b&gt; &amp;amp; &eacute;&#233;&nbsp;x</p>", "a <b> &amp; éé x"),
     ("<p>one\n\t two<br>three</p><p>four", "one two three\nfour"), ("a < b <c", "a < b"), ("<script>x", ""), ("<p title='a>b'>x</p>", "x"),
