@@ -9,8 +9,10 @@ greedy beam search over the united lists from the shard's medoid and the node it
 which widens to every node within the threshold of the query and to their neighbours
 until no further one is found. Every link is verified by its cosine in double precision.
 
-A sampled recall audit compares link counts with brute force over all rows; while it
-falls short, shards overlap more and beams widen. Links are counted in the task; only
+A sampled recall audit compares each label's link counts with brute force over its rows;
+where it falls short, shards overlap more and beams widen. Labels that still fall short
+after the last effort are compared exactly: with twice the threshold distance as margin a
+node's home shard holds all its neighbours, so each node is compared with its whole shard. Links are counted in the task; only
 stars of locally linked nodes leave it, so a large group never emits its pairs. Shards
 with many queries are searched by several tasks.
 """
@@ -33,8 +35,10 @@ PER_PIVOT, MAX_PIVOTS, APART = 400, 512, 0.9
 #: Vectors that one task deals out, queries that one task searches.
 DEAL_ROWS, QUERY_ROWS = 8192, 1024
 DEGREE, CANDIDATES, ALPHA = 16, 32, 1.2
-#: (overlap as a share of the threshold distance, beam width), tried until the audit is content.
+#: (overlap as a share of the threshold distance, beam width), tried until the audit is content, and the exact way after them.
 EFFORTS = ((0.75, 32), (1.25, 64), (2.0, 128))
+EXACT = (2.0, None)
+#: Nodes that each label's audit draws, and as many of its linked nodes.
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.99
 
 GROUP = ["label", "dim"]
@@ -195,6 +199,17 @@ def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, start: int
             yield int(q[k]), np.flatnonzero(inside[k])
 
 
+def compare_all(x: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """As ``search``, by comparing every query with every row."""
+    block = max(1, min(256, (8 << 20) // max(1, len(x))))
+    for a in range(0, len(queries), block):
+        q = queries[a:a + block]
+        near = x[q] @ x.T >= threshold
+        near[np.arange(len(q)), q] = True
+        for k in range(len(q)):
+            yield int(q[k]), np.flatnonzero(near[k])
+
+
 def _roots(n: int, pairs: list[tuple[int, np.ndarray]], ids: np.ndarray) -> np.ndarray:
     """Smallest id reachable by the pairs, per row."""
     up = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # rows by rank of id
@@ -217,16 +232,23 @@ def _roots(n: int, pairs: list[tuple[int, np.ndarray]], ids: np.ndarray) -> np.n
     return by_rank[[find(int(u)) for u in up]]
 
 
-def link_nodes(nodes: DataFrame, overlap: float, beam: int, threshold: float) -> DataFrame:
-    """``(vec_id, n_links, other)``: searched nodes with their link count, and star edges with a null count."""
+def link_nodes(nodes: DataFrame, overlap: float, beam: int | None, threshold: float) -> DataFrame:
+    """``(label, dim, vec_id, n_links, other)``: searched nodes with their link count, and star edges with a null count.
+
+    Without a beam nodes are compared with all of their home shard.
+    """
     sizes = cut_lineage(nodes.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")))
     pivots = choose_pivots(nodes, sizes)
     members = cut_lineage(deal(nodes, sizes, pivots, overlap, threshold))
     shard = [*GROUP, "pivot"]
-    united = (members.select(*shard, "vec_id", "vec").groupBy(*shard).applyInPandas(shard_links, "node long, nbr long")
-              .groupBy("node").agg(F.collect_set("nbr").alias("nbrs")))  # shards x DEGREE and reverse links
+    if beam is None:
+        linked = members.withColumn("nbrs", F.lit(None).cast("array<long>"))
+    else:
+        united = (members.select(*shard, "vec_id", "vec").groupBy(*shard).applyInPandas(shard_links, "node long, nbr long")
+                  .groupBy("node").agg(F.collect_set("nbr").alias("nbrs")))  # shards x DEGREE and reverse links
+        linked = members.join(united, members["vec_id"] == united["node"], "left")
     homes = members.where("home").groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("turns"))
-    tasks = (members.join(united, members["vec_id"] == united["node"], "left").join(homes, shard)
+    tasks = (linked.join(homes, shard)
              .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
              .withColumn("asked", F.col("home") & (hash_bucket(F.col("turns"), F.lit(3), F.col("vec_id")) == F.col("turn")))
              .select(*shard, "turn", "asked", "vec_id", "vec", "copies", "nbrs"))
@@ -235,49 +257,58 @@ def link_nodes(nodes: DataFrame, overlap: float, beam: int, threshold: float) ->
         pdf = pdf.sort_values("vec_id", ignore_index=True)
         ids, copies = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy()
         x = unit(matrix(pdf["vec"]))
-        lists = [np.asarray(v if v is not None else [], np.int64) for v in pdf["nbrs"]]
-        at = [np.minimum(np.searchsorted(ids, v), len(ids) - 1) for v in lists]
-        lists = [a[ids[a] == v] for a, v in zip(at, lists)]
-        adjacency = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
-        for i, v in enumerate(lists):
-            adjacency[i, :len(v)] = v
-        medoid = int((x @ x.mean(axis=0)).argmax())
-        found = list(search(x, adjacency, np.flatnonzero(pdf["asked"].to_numpy()), medoid, beam, threshold))
+        asked = np.flatnonzero(pdf["asked"].to_numpy())
+        if beam is None:
+            found = list(compare_all(x, asked, threshold))
+        else:
+            lists = [np.asarray(v if v is not None else [], np.int64) for v in pdf["nbrs"]]
+            at = [np.minimum(np.searchsorted(ids, v), len(ids) - 1) for v in lists]
+            lists = [a[ids[a] == v] for a, v in zip(at, lists)]
+            adjacency = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
+            for i, v in enumerate(lists):
+                adjacency[i, :len(v)] = v
+            medoid = int((x @ x.mean(axis=0)).argmax())
+            found = list(search(x, adjacency, asked, medoid, beam, threshold))
         root = _roots(len(ids), found, ids)
         touched = np.unique(np.concatenate([f for _, f in found] or [np.zeros(0, np.int64)])).astype(np.int64)
         star = touched[ids[touched] != root[touched]]
         counted = pd.DataFrame({"vec_id": ids[[q for q, _ in found]],
                                 "n_links": [int(copies[f].sum()) - 1 for _, f in found], "other": None})
-        return pd.concat([counted, pd.DataFrame({"vec_id": ids[star], "n_links": None, "other": root[star]})]).astype(
+        out = pd.concat([counted, pd.DataFrame({"vec_id": ids[star], "n_links": None, "other": root[star]})]).astype(
             {"n_links": "Int64", "other": "Int64"})
+        return out.assign(label=pdf["label"].iloc[0], dim=pdf["dim"].iloc[0])[["label", "dim", "vec_id", "n_links", "other"]]
+
+    return tasks.groupBy(*shard, "turn").applyInPandas(run, "label int, dim int, vec_id long, n_links long, other long")
 
-    return tasks.groupBy(*shard, "turn").applyInPandas(run, "vec_id long, n_links long, other long")
 
+def short_labels(nodes: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """``(label, dim)`` where less than AUDIT_RECALL of the true links of hash-sampled nodes was counted.
 
-def audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """Share of the true links of about AUDIT_ROWS hash-sampled nodes that were counted; 1 if they have none."""
-    total = nodes.count()
-    if not total:
-        return 1.0
-    keep = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, AUDIT_ROWS / total) * (1 << 30)))
-    asked = nodes.where(keep).select("label", "dim", "vec_id", "vec").toPandas()  # AUDIT_ROWS on average
-    if not len(asked):
-        return 1.0
-    shared = nodes.sparkSession.sparkContext.broadcast(asked)
+    About AUDIT_ROWS nodes of every label are drawn, and as many of those that have links.
+    """
+    counts = linked.where(F.col("n_links").isNotNull()).select("vec_id", "n_links")
+    known = (nodes.join(counts, "vec_id", "left")
+             .withColumn("got", F.coalesce("n_links", F.col("copies") - 1)).withColumn("has", F.col("got") >= F.col("copies")))
+    sizes = known.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), F.count_if("has").alias("n_has"))
+    chance = F.pmod(F.xxhash64(F.lit(11), "vec_id"), F.lit(1 << 40)) / float(1 << 40)
+    salts = F.ceil(F.col("n") / DEAL_ROWS)
+    asked = cut_lineage(known.join(sizes, GROUP).withColumn("u", chance)
+                        .where((F.col("u") * F.col("n") < AUDIT_ROWS) | F.col("has") & (F.col("u") * F.col("n_has") < AUDIT_ROWS))
+                        .select(*GROUP, "vec_id", "vec", "got", salts.alias("salts")))
+    left = nodes.join(sizes, GROUP).withColumn("salt", hash_bucket(salts, F.lit(9), F.col("vec_id"))).drop("n", "n_has")
+    right = asked.toDF(*asked.columns).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts", "got")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = {k: (g["vec_id"].to_numpy(), unit(matrix(g["vec"]))) for k, g in shared.value.groupby(GROUP)}
-        for pdf in batches:
-            for k, g in pdf.groupby(GROUP):
-                if k in groups:
-                    ids, q = groups[k]
-                    hits = q @ unit(matrix(g["vec"])).T >= threshold
-                    yield pd.DataFrame({"vec_id": ids, "truth": hits @ g["copies"].to_numpy()})
+    def count(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(points) or not len(asked):
+            return pd.DataFrame({"vec_id": [], "truth": []}).astype("int64")
+        hits = unit(matrix(asked["vec"])) @ unit(matrix(points["vec"])).T >= threshold
+        return pd.DataFrame({"vec_id": asked["vec_id"].to_numpy(), "truth": hits @ points["copies"].to_numpy()})
 
-    truth = nodes.mapInPandas(count, "vec_id long, truth long").groupBy("vec_id").agg((F.sum("truth") - 1).alias("truth"))
-    got = truth.join(linked.where(F.col("n_links").isNotNull()), "vec_id", "left").agg(
-        F.sum("truth").alias("t"), F.sum(F.least("truth", F.coalesce("n_links", F.lit(0)))).alias("g")).first()
-    return got["g"] / got["t"] if got["t"] else 1.0
+    truth = (left.groupBy(*GROUP, "salt").cogroup(right.groupBy(*GROUP, "salt")).applyInPandas(count, "vec_id long, truth long")
+             .groupBy("vec_id").agg((F.sum("truth") - 1).alias("truth")))
+    return (asked.select(*GROUP, "vec_id", "got").join(truth, "vec_id").groupBy(*GROUP)
+            .agg(F.sum("truth").alias("t"), F.sum(F.least("truth", "got")).alias("g"))
+            .where(F.col("g") < AUDIT_RECALL * F.col("t")).select(*GROUP))
 
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, efforts=EFFORTS) -> DataFrame:
@@ -291,10 +322,14 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, efforts=EFFORTS
     df = df.select("vec_id", "embedding", "label")
     vectors = as_doubles(df)
     nodes = cut_lineage(collapse(vectors))
-    for overlap, beam in efforts:
-        linked = cut_lineage(link_nodes(nodes, overlap, beam, threshold))
-        if audit(nodes, linked, threshold) >= AUDIT_RECALL:
+    linked, todo = None, nodes
+    for overlap, beam in (*efforts, EXACT):
+        again = cut_lineage(link_nodes(todo, overlap, beam, threshold))
+        linked = again if linked is None else linked.unionByName(again)
+        short = cut_lineage(short_labels(todo, again, threshold)) if beam is not None else None
+        if short is None or short.isEmpty():
             break
+        linked, todo = linked.join(short, GROUP, "left_anti"), cut_lineage(todo.join(short, GROUP, "left_semi"))
     parts = connected_components(linked.where(F.col("other").isNotNull()).select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     counts = linked.where(F.col("n_links").isNotNull()).select("vec_id", "n_links")
     known = (nodes.join(counts, "vec_id", "left").join(parts, F.col("vec_id") == F.col("node"), "left")

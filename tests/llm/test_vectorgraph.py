@@ -50,6 +50,19 @@ def test_planted_groups_over_several_shards(spark, monkeypatch):
     compare(G.near_duplicates(df).collect(), np.arange(900), x, labels)
 
 
+def test_jittered_clumps(spark):
+    """Two clumps of nearly equal vectors at cosine 0.985 in one small label, beside a large label with few links."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 16))
+    a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    x[:200] = a + rng.normal(size=(200, 16)) * 1e-4
+    x[200:400] = 0.985 * a + np.sqrt(1 - 0.985 ** 2) * b + rng.normal(size=(200, 16)) * 1e-4
+    x[500:1900:2] = x[501:1901:2] + rng.normal(size=(700, 16)) * 0.01
+    labels = np.where(np.arange(2000) < 400, 1, 2).astype(np.int32)
+    df = spark.createDataFrame([(int(i), v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))], SCHEMA)
+    compare(G.near_duplicates(df).collect(), np.arange(2000), x, labels)
+
+
 def test_robust_prune_keeps_near_and_diverse():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 8))
