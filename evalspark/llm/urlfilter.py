@@ -51,10 +51,15 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return _lower(host), path
 
 
+def by_strength(rules: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Weakest first: shorter before longer, of one length the last listed first."""
+    return sorted(reversed(rules), key=lambda r: len(r[0] + r[1]))
+
+
 def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest fitting rule, both null where none fits; ties go to the first listed."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for rhost, rpath, what in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for rhost, rpath, what in by_strength(rules):
         fits = ((host == rhost) | host.endswith("." + rhost)) & path.startswith(rpath)
         rule, verdict = F.when(fits, F.lit(rhost + rpath)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
     return rule, verdict
@@ -117,8 +122,8 @@ def calibrate(scored: DataFrame) -> DataFrame:
             .where(F.col("allow") + F.col("block") > 0))
     up = Window.orderBy(F.col("bin").desc())
     every = Window.partitionBy()
-    gain = (F.sum("allow").over(up) / F.sum("allow").over(every)
-            - F.sum("block").over(up) / F.sum("block").over(every))
+    gain = (F.try_divide(F.sum("allow").over(up), F.sum("allow").over(every))
+            - F.try_divide(F.sum("block").over(up), F.sum("block").over(every)))
     best = bins.select("bin", gain.alias("gain")).agg(
         F.max(F.struct("gain", F.col("bin").alias("bin"))).alias("b"))
     return best.select(F.coalesce(F.when(F.col("b.gain").isNotNull(), F.col("b.bin") / 100.0), F.lit(0.0)).alias("threshold"))
@@ -163,7 +168,7 @@ def oracle_sql(rules: list[tuple[str, str, str]] = RULES) -> str:
     """The same filter in DuckDB SQL."""
     up, low, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
     rule = verdict = "NULL"
-    for rhost, rpath, what in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    for rhost, rpath, what in by_strength(rules):
         fits = f"(host = '{rhost}' OR ends_with(host, '.{rhost}')) AND starts_with(path, '{rpath}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{rhost + rpath}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
     orders, last = [], None

@@ -112,3 +112,26 @@ def test_matches_its_sql(spark, sf):
     got = U.query(spark, f"/root/testdata/{sf}").select("page_id", "host", "path", "rule", "verdict", "score").collect()
     assert sorted(map(str, (r[:5] for r in want))) == sorted(map(str, (tuple(r)[:5] for r in got)))
     assert {r[0]: r[5] for r in want} == pytest.approx({r["page_id"]: r["score"] for r in got}, abs=1e-8)
+
+
+def test_of_two_rules_of_one_length_the_first_listed_wins(spark):
+    import duckdb
+
+    rules = [("a.net", "/x", "block"), ("net", "/x/y", "allow"), ("b.net", "/x", "allow")]
+    urls = ["http://a.net/x/y/z", "http://b.net/x/y/z", "http://c.net/x/y/z"]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.filter_urls(frame(spark, urls), rules).collect()}
+    assert got == {0: ("a.net/x", "block"), 1: ("net/x/y", "allow"), 2: ("net/x/y", "allow")}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT * FROM (VALUES (0, 'http://a.net/x/y/z'), (1, 'http://b.net/x/y/z'), (2, 'http://c.net/x/y/z')) t(page_id, url)")
+    want = con.execute(f"SELECT page_id, rule, verdict FROM ({U.oracle_sql(rules)})").fetchall()
+    assert {i: (r, v) for i, r, v in want} == got
+
+
+@pytest.mark.parametrize("verdict", ["allow", "block"])
+def test_one_class_leaves_the_threshold_at_zero(spark, verdict):
+    host = {"allow": "a.org", "block": "a.com/de"}[verdict]
+    urls = [f"http://{host}/page{'x' * i}" for i in range(40)] + ["http://b.net/q"]
+    got = U.filter_urls(frame(spark, urls)).collect()
+    assert all(r["verdict"] == verdict for r in got[:40])
+    last = next(r for r in got if r["page_id"] == 40)
+    assert last["verdict"] == ("allow" if last["score"] >= 0 else "block")
