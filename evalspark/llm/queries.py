@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from evalspark.llm import bpe, htmltext, huffman, langid, mixing, passages, simhash, urlfilter, vectorgraph, vptree
+from evalspark.llm import bpe, centroids, filteraudit, htmltext, huffman, langid, mixing, passages, simhash, urlfilter, vectorgraph, vptree
 
 QUERIES = {
     "op1_vantage_point_search": vptree.query,
     "op10_tag_path_text": htmltext.query,
+    "op11_equal_average_clusters": centroids.query,
+    "op12_posting_list_audit": filteraudit.query,
     "op2_url_char_models": urlfilter.query,
     "op3_simhash_anchor_cover": simhash.query,
     "op4_huffman_token_files": huffman.query,
@@ -17,4 +19,8 @@ QUERIES = {
     "op9_pruned_graph_near_dups": vectorgraph.query,
 }
 
-ORACLE: dict[str, str] = {"op2_url_char_models": urlfilter.oracle_sql()}
+ORACLE: dict[str, str] = {
+    "op11_equal_average_clusters": centroids.oracle_sql(),
+    "op12_posting_list_audit": filteraudit.oracle_sql(),
+    "op2_url_char_models": urlfilter.oracle_sql(),
+}

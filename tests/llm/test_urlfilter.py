@@ -132,6 +132,6 @@ def test_one_class_leaves_the_threshold_at_zero(spark, verdict):
     host = {"allow": "a.org", "block": "a.com/de"}[verdict]
     urls = [f"http://{host}/page{'x' * i}" for i in range(40)] + ["http://b.net/q"]
     got = U.filter_urls(frame(spark, urls)).collect()
-    assert all(r["verdict"] == verdict for r in got[:40])
+    assert all(r["verdict"] == verdict for r in got if r["page_id"] < 40)
     last = next(r for r in got if r["page_id"] == 40)
     assert last["verdict"] == ("allow" if last["score"] >= 0 else "block")
