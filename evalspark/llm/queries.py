@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from evalspark.llm import bpe, centroids, filteraudit, htmltext, huffman, langid, mixing, passages, simhash, urlfilter, vectorgraph, vptree
+from evalspark.llm import bpe, centroids, filteraudit, htmltext, huffman, langid, mixing, passages, privacy, simhash, urlfilter, vectorgraph, vptree
 
 QUERIES = {
     "op1_vantage_point_search": vptree.query,
     "op10_tag_path_text": htmltext.query,
     "op11_equal_average_clusters": centroids.query,
     "op12_posting_list_audit": filteraudit.query,
+    "op13_information_sanitiser": privacy.query,
     "op2_url_char_models": urlfilter.query,
     "op3_simhash_anchor_cover": simhash.query,
     "op4_huffman_token_files": huffman.query,
