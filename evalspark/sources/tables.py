@@ -6,11 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from evalspark.operators.dedup import last_wins
 from evalspark.operators.jobs import normalize_job_suites
 from evalspark.operators.registry import expand_lang_templates
+from evalspark.session import cut_lineage
+from evalspark.sources.json_array import MOST_RANGES, read_json_array
 from evalspark.sources.results import _is_dir
 
 JOB_COLUMNS = ("model_path", "task_path", "n_shot")
@@ -109,31 +111,50 @@ def read_sample_shards(spark: SparkSession, root: str, schema: str = SAMPLE_SCHE
     records per file), with ``(shard_path, pos)`` as the output order (T14). A
     record that is not an object stays a row with a NULL ``record`` (failed
     sample). Raises when there is no file. A shard is one value of one task; use
-    :func:`read_sample_lines` for shards of many gigabytes."""
+    :func:`read_sample_array` for shards of many gigabytes."""
     if not _any_file(spark, root, "output_*.json"):
         raise FileNotFoundError(f"no output_*.json below {root}")
     files = (spark.read.option("recursiveFileLookup", True)
              .option("pathGlobFilter", "output_*.json").text(root, wholetext=True)
              .select(F.col("_metadata.file_path").alias("shard_path"), "value"))
     items = files.select("shard_path", F.posexplode(F.from_json("value", "array<string>")).alias("pos", "raw"))
-    elem = schema[len("array<"):-1]
-    rec = F.when(F.from_json("raw", "map<string,string>").isNotNull(), F.from_json("raw", elem))
-    return items.select("shard_path", F.col("pos").cast("long").alias("pos"), rec.alias("record"))
+    return items.select("shard_path", F.col("pos").cast("long").alias("pos"), _record("raw", schema).alias("record"))
+
+
+def _record(raw: str, schema: str) -> Column:
+    """A sample record of JSON text, NULL where the text is no object."""
+    return F.when(F.from_json(raw, "map<string,string>").isNotNull(), F.from_json(raw, schema[len("array<"):-1]))
+
+
+def read_sample_array(spark: SparkSession, root: str, schema: str = SAMPLE_SCHEMA, glob: str = "output_*.json") -> DataFrame:
+    """SRC-7 for arrays of any size: as :func:`read_sample_shards`, but one file is read by many tasks.
+
+    See :func:`evalspark.sources.json_array.read_json_array` for what is refused and when it is read.
+    """
+    return read_json_array(spark, root, glob).select("shard_path", "pos", _record("raw", schema).alias("record"))
 
 
 def read_sample_lines(spark: SparkSession, root: str, schema: str = SAMPLE_SCHEMA, glob: str = "output_*.jsonl") -> DataFrame:
-    """SRC-7 at scale: one record per line, splittable within a file; the same columns.
+    """SRC-7 for one record per line, splittable within a file; the same columns.
 
-    ``pos`` rises along a file (line order) but may have gaps.
+    ``pos`` is the number of the line in its file, from 0; blank lines count but give no
+    row. A byte range's lines are numbered by Spark's row ids, its offset follows from one row a range.
     """
     if not _any_file(spark, root, glob):
         raise FileNotFoundError(f"no {glob} below {root}")
-    elem = schema[len("array<"):-1]
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
-    rec = F.when(F.from_json("value", "map<string,string>").isNotNull(), F.from_json("value", elem))
-    return (lines.select(F.col("_metadata.file_path").alias("shard_path"), F.col("_metadata.file_block_start").alias("_at"),
-                         F.monotonically_increasing_id().alias("_row"), "value").where(F.trim("value") != "")
-            .select("shard_path", F.struct("_at", "_row").alias("pos"), rec.alias("record")))
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
+             .select(F.col("_metadata.file_path").alias("shard_path"), F.col("_metadata.file_block_start").alias("_at"),
+                     F.monotonically_increasing_id().alias("_row"), "value"))
+    before = Window.partitionBy("shard_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cut_lineage(lines.groupBy("shard_path", "_at").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+                         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    if ranges.count() > MOST_RANGES:  # the bound of the broadcast below
+        raise ValueError(f"more than {MOST_RANGES} byte ranges: read the files in several calls")
+    place = F.col("_row") - F.col("_first")
+    moved = F.raise_error(F.lit("the byte ranges of the files changed between two passes: set spark.sql.files.minPartitionNum"))
+    pos = F.when((place >= 0) & (place < F.col("_n")), place + F.col("_offset")).otherwise(moved.cast("long"))
+    return (lines.join(F.broadcast(ranges), ["shard_path", "_at"], "left").select("shard_path", pos.alias("pos"), "value")
+            .where(F.trim("value") != "").select("shard_path", "pos", _record("value", schema).alias("record")))
 
 
 def _in_parts(spark: SparkSession, path: str) -> bool:
