@@ -62,6 +62,7 @@ class StateMap:
     def __init__(self) -> None:
         self.turned, self.depth, self.first = 0, [0, 0], b""
         self.commas: list[dict[int, int]] = [{}, {}]
+        self.opens: list[dict[int, int]] = [{}, {}]  # opening brackets by the depth behind them
 
     def feed(self, text: bytes) -> None:
         if not self.first:
@@ -71,8 +72,9 @@ class StateMap:
             kinds = kind[parity == (start + self.turned) % 2]
             step = np.where(kinds == 2, 0, kinds).astype(np.int64)
             depth = self.depth[start] + np.cumsum(step)
-            for level, n in zip(*np.unique(depth[kinds == 2], return_counts=True)):
-                self.commas[start][int(level)] = self.commas[start].get(int(level), 0) + int(n)
+            for kept, counts in ((kinds == 2, self.commas[start]), (kinds == 1, self.opens[start])):
+                for level, n in zip(*np.unique(depth[kept], return_counts=True)):
+                    counts[int(level)] = counts.get(int(level), 0) + int(n)
             self.depth[start] += int(step.sum())
         self.turned = (self.turned + quotes) % 2
 
@@ -135,7 +137,8 @@ def _fragments(spark: SparkSession, root: str, glob: str) -> DataFrame:
                        F.col("value").cast("binary").alias("value"))
 
 
-MAP = "file long, start long, turned int, depth0 long, depth1 long, commas0 map<int,long>, commas1 map<int,long>, first string"
+MAP = ("file long, start long, turned int, depth0 long, depth1 long, commas0 map<int,long>, commas1 map<int,long>, "
+       "opens0 map<int,long>, opens1 map<int,long>, first string")
 
 
 def state_maps(fragments: DataFrame) -> DataFrame:
@@ -143,11 +146,11 @@ def state_maps(fragments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, None
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.map_(pa.int32(), pa.int64()), pa.map_(pa.int32(), pa.int64()), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.map_(pa.int32(), pa.int64())] * 4, pa.string()]
         names = [c.split()[0] for c in MAP.split(", ")]
 
         def row() -> pa.RecordBatch:
-            values = (*current, held.turned, *held.depth, *(list(c.items()) for c in held.commas), held.first.decode("latin-1"))
+            values = (*current, held.turned, *held.depth, *(list(c.items()) for c in (*held.commas, *held.opens)), held.first.decode("latin-1"))
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
         for key, text in _ranges(batches):
@@ -168,24 +171,26 @@ def start_states(maps: DataFrame) -> DataFrame:
     held = maps.withColumn("inside", F.coalesce(F.sum("turned").over(before), F.lit(0)) % 2)
     held = held.withColumn("change", F.when(F.col("inside") == 0, F.col("depth0")).otherwise(F.col("depth1")))
     held = held.withColumn("depth", F.coalesce(F.sum("change").over(before), F.lit(0)))
-    commas = F.when(F.col("inside") == 0, F.col("commas0")).otherwise(F.col("commas1"))
-    held = held.withColumn("commas", commas)
-    held = held.withColumn("here", F.coalesce(F.try_element_at("commas", (1 - F.col("depth")).cast("int")), F.lit(0)))
+    top = (1 - F.col("depth")).cast("int")
+    for name in ("commas", "opens"):
+        held = held.withColumn(name, F.when(F.col("inside") == 0, F.col(f"{name}0")).otherwise(F.col(f"{name}1")))
+    held = held.withColumn("here", F.coalesce(F.try_element_at("commas", top), F.lit(0)))
     outer = F.aggregate(F.map_entries("commas"), F.lit(0).cast("long"),
                         lambda n, e: n + F.when(e["key"] <= -F.col("depth"), e["value"]).otherwise(0))
     return (held.withColumn("element", F.coalesce(F.sum("here").over(before), F.lit(0)))
             .select("file", "start", (F.col("inside") == 1).alias("inside"), F.col("depth").cast("int").alias("depth"), "element",
                     ((F.col("inside") + F.col("turned")) % 2).alias("inside_after"), (F.col("depth") + F.col("change")).alias("depth_after"),
-                    outer.alias("outer_commas"), "first"))
+                    outer.alias("outer_commas"), F.coalesce(F.try_element_at("opens", top), F.lit(0)).alias("arrays"), "first"))
 
 
 def problems(states: DataFrame) -> DataFrame:
     """``(file, reason)`` of files that are no whole JSON array by their brackets and quotes."""
     first = F.min_by("first", F.when(F.col("first") != "", F.col("start")))
     ends = states.groupBy("file").agg(first.alias("first"), F.max_by("inside_after", "start").alias("inside"),
-                                      F.max_by("depth_after", "start").alias("depth"), F.sum("outer_commas").alias("outer"))
+                                      F.max_by("depth_after", "start").alias("depth"), F.sum("outer_commas").alias("outer"),
+                                      F.sum("arrays").alias("arrays"))
     reason = (F.when(F.col("first").isNull() | (F.col("first") != "["), "not an array").when(F.col("inside") == 1, "ends inside a string")
-              .when(F.col("depth") != 0, "brackets do not match").when(F.col("outer") > 1, "more than one value"))  # one is the file's end
+              .when(F.col("depth") != 0, "brackets do not match").when((F.col("outer") > 1) | (F.col("arrays") > 1), "more than one value"))  # one comma is the file's end
     return ends.select("file", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
@@ -227,21 +232,23 @@ def read_json_array(spark: SparkSession, root: str, glob: str = "*.json") -> Dat
     array raises ValueError with its path and the reason; an empty array has no rows. The
     state maps are computed at once (one pass); the elements lazily (a pass for whole ones and one for those
     that lie in several ranges). Elements are not parsed: white space around them goes, the rest is as in the file.
+    Text behind the closing bracket that has neither brackets nor commas is passed over.
     """
     # A listing: the content column is not selected, so no file is opened.
-    names = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("binaryFile").load(root)
-             .select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("shard_path"), F.col("length").alias("size")))
-    names = cut_lineage(names)
-    if names.isEmpty():
+    listing = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).format("binaryFile").load(root)
+    names = cut_lineage(listing.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("shard_path")))
+    listed = listing.inputFiles()
+    if not listed:
         raise FileNotFoundError(f"no {glob} below {root}")
     fragments = _fragments(spark, root, glob)
     states = cut_lineage(start_states(state_maps(fragments)))
-    if states.count() > MOST_RANGES or names.count() > MOST_RANGES:
+    if states.count() > MOST_RANGES or len(listed) > MOST_RANGES:
         raise ValueError(f"more than {MOST_RANGES} files or byte ranges: merge small files or read them in several calls")
-    bad = (problems(states).unionByName(names.where("size = 0").select("file", F.lit("empty file").alias("reason")))
-           .join(names, "file").select("shard_path", "reason").orderBy("shard_path").limit(10).collect())
+    bad = [f"{r['shard_path']}: {r['reason']}" for r in problems(states).join(names, "file").orderBy("shard_path").limit(10).collect()]
+    if names.count() < len(listed):  # readers pass over files without a byte
+        bad += sorted(f"{p}: empty file" for p in set(listed) - {r["shard_path"] for r in names.select("shard_path").collect()})[:10]
     if bad:
-        raise ValueError("; ".join(f"{r['shard_path']}: {r['reason']}" for r in bad))
+        raise ValueError("; ".join(bad))
     parts = _cut(fragments, states, False).groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
     joined = parts.select("file", "pos", F.aggregate("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["piece"])).alias("piece"))
     rows = _cut(fragments, states, True).drop("start").unionByName(joined)
