@@ -150,41 +150,48 @@ def drop_prefix_subtasks(tasks: DataFrame, file_col: str, task_col: str,
 
 
 def descend_groups(groups: DataFrame, edges: DataFrame) -> DataFrame:
-    """AG-1: which groups of a file emit a headline row.
+    """AG-1: which groups of a file emit a headline row, in breadth-first order.
 
     ``groups``: ``(file_id, group, group_pos, has_metric)``;
     ``edges``: ``(file_id, parent, child, child_pos)``.
-    Start at groups that are nobody's subtask (all groups when that set is empty,
-    i.e. cyclic metadata); a group with a metric is emitted; a metric-less group
-    is replaced by its child *groups*; each group is visited once. Returns
-    ``(file_id, group, level, group_pos)`` of emitted groups. The frontier loop
-    runs once per hierarchy level, never per row, until no group is left to
-    visit. Each level's rows are cut in the shared checkpoint folder, so a level
-    costs the same at any depth.
+    The walk starts at groups that are nobody's subtask (all groups when that set is empty,
+    i.e. cyclic metadata), in document order; a group with a metric is emitted; a
+    metric-less group is replaced by its child *groups* in their order, behind
+    everything that waits already; each group is visited once, at its first turn. Returns
+    ``(file_id, group, level, group_pos, visit)`` of emitted groups; ``visit`` counts
+    the file's visited groups from 0.
+
+    Files never interact and a file's metadata comes from one row, so the walk is a fold
+    over one file's levels inside one plan: no job and no checkpoint a level, any depth,
+    and a group that many paths lead to is still one entry (paths are never listed).
     """
-    groups, edges = cut_lineage(groups), cut_lineage(edges)
-    g = groups.select("file_id", "group", "group_pos", "has_metric")
-    child_names = edges.select("file_id", F.col("child").alias("group")).distinct()
-    non_sub = g.join(child_names, ["file_id", "group"], "left_anti")
-    files_with_roots = non_sub.select("file_id").distinct()
-    roots = non_sub.unionByName(g.join(files_with_roots, "file_id", "left_anti"))
-    frontier = cut_lineage(roots.withColumn("level", F.lit(0)))
-    reached, level = frontier, 0
-    while True:
-        level += 1
-        nxt = cut_lineage(frontier.filter(~F.col("has_metric"))
-               .select("file_id", F.col("group").alias("parent"))
-               .join(edges, ["file_id", "parent"])
-               .select("file_id", F.col("child").alias("group"))
-               .join(g, ["file_id", "group"])
-               .distinct()
-               .join(reached.select("file_id", "group"), ["file_id", "group"], "left_anti")
-               .withColumn("level", F.lit(level)))
-        if nxt.isEmpty():
-            break
-        reached = cut_lineage(reached.unionByName(nxt))
-        frontier = nxt
-    return reached.filter(F.col("has_metric")).select("file_id", "group", "level", "group_pos")
+    names = groups.select("file_id", F.col("group").alias("child"))
+    bare = groups.where(~F.col("has_metric")).select("file_id", F.col("group").alias("parent"))
+    kids = (edges.join(bare, ["file_id", "parent"], "left_semi").join(names, ["file_id", "child"], "left_semi")
+            .groupBy("file_id", "parent").agg(F.sort_array(F.collect_list(F.struct("child_pos", "child"))).alias("kids"))
+            .groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("parent", F.col("kids.child").alias("kids")))).alias("kids")))
+    under = edges.groupBy("file_id").agg(F.collect_set("child").alias("under"))
+    files = (groups.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("group_pos", "group"))).alias("g"))
+             .join(under, "file_id", "left").join(kids, "file_id", "left")
+             .withColumn("roots", F.array_except(F.col("g.group"), F.coalesce("under", F.array().cast("array<string>"))))
+             .withColumn("roots", F.when(F.size("roots") > 0, F.col("roots")).otherwise(F.array_distinct("g.group"))))
+    no_names = F.array().cast("array<string>")
+    start = F.struct(F.col("roots").alias("front"), F.col("roots").alias("seen"),
+                     F.array_repeat(F.lit(0), F.size("roots")).alias("levels"))
+
+    def level(walk: Column, n: Column) -> Column:
+        below = F.flatten(F.transform(walk["front"], lambda name: F.coalesce(F.try_element_at("kids", name), no_names)))
+        front = F.array_except(below, walk["seen"])  # keeps the first of each, in order
+        return F.struct(front.alias("front"), F.concat(walk["seen"], front).alias("seen"),
+                        F.concat(walk["levels"], F.array_repeat(n, F.size(front))).alias("levels"))
+
+    # No walk has more levels than the file has metric-less parents, and one for what is below the last.
+    steps = F.when(F.col("kids").isNotNull(), F.sequence(F.lit(1), F.size("kids"))).otherwise(F.array().cast("array<int>"))
+    walked = files.select("file_id", F.aggregate(steps, start, level).alias("w"))
+    visits = (walked.select("file_id", F.posexplode(F.arrays_zip(F.col("w.seen").alias("group"), F.col("w.levels").alias("level"))).alias("visit", "v"))
+              .select("file_id", "v.group", "v.level", "visit"))
+    return (visits.join(groups.where("has_metric").select("file_id", "group", "group_pos"), ["file_id", "group"])
+            .select("file_id", "group", "level", "group_pos", "visit"))
 
 
 def mean_of_children(parents: DataFrame, edges: DataFrame, child_metrics: DataFrame,

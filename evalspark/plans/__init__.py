@@ -7,6 +7,7 @@ from evalspark.plans import analysis_plans  # noqa: F401
 from evalspark.plans import text_plans  # noqa: F401
 from evalspark.plans import registry_plans  # noqa: F401
 from evalspark.plans import more_plans  # noqa: F401
+from evalspark.plans import collect_shapes  # noqa: F401
 from evalspark.plans import source_plans  # noqa: F401
 
 QUERIES = catalog.QUERIES

@@ -42,9 +42,9 @@ from evalspark.sources.results import (
 FACT_COLUMNS = ["model_name", "task", "n_shot", "performance", "performance_normalized", "metric_name"]
 
 
-def src_pos(step: int, level: Column, pos: Column) -> Column:
-    """Order of a row in its file: groups (by level) before tasks, then document order."""
-    return F.struct(F.lit(step).alias("step"), level.cast("int").alias("level"), pos.cast("long").alias("pos")).alias("src_pos")
+def src_pos(step: int, pos: Column) -> Column:
+    """Order of a row in its file: groups in the order of their visits, then tasks in document order."""
+    return F.struct(F.lit(step).alias("step"), pos.cast("long").alias("pos")).alias("src_pos")
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,18 @@ class Collected:
     rejects: DataFrame     # (path, reason)
     provenance: DataFrame  # (_path, raw, record)
     placeholder_audit: DataFrame  # parents with only some children present
+    zero_row_files: DataFrame     # (path): result files that gave no row (AG-22)
+    metricless_tasks: DataFrame   # (path, task): entries that should give a row but have no numeric metric (AG-22)
+
+    def findings(self) -> DataFrame:
+        """AG-22 in one table: ``(finding, path, task, n_present, n_expected)``."""
+        def rows(finding: str, found: DataFrame) -> DataFrame:
+            kept = [F.col(c) if c in found.columns else F.lit(None).cast(kind).alias(c)
+                    for c, kind in (("path", "string"), ("task", "string"), ("n_present", "long"), ("n_expected", "long"))]
+            return found.select(F.lit(finding).alias("finding"), *kept)
+
+        return (rows("zero rows", self.zero_row_files).unionByName(rows("no metric", self.metricless_tasks))
+                .unionByName(rows("children absent", self.placeholder_audit)))
 
 
 def _shot_lookup(shots: DataFrame) -> DataFrame:
@@ -103,9 +115,8 @@ def _claims(tasks: DataFrame, parsers) -> DataFrame:
     return first.select("path", "_c.task", "_c.task_pos")
 
 
-def _plugin_rows(ok: DataFrame, tasks: DataFrame, claimed: DataFrame, policy) -> DataFrame:
-    ct = tasks.join(claimed.select("path", "task", "task_pos"), ["path", "task", "task_pos"])
-    m = collapse_scoped_keys(metric_rows(ct, "task"), ["path", "task"])
+def _plugin_rows(ok: DataFrame, claimed: DataFrame, bags: DataFrame, policy) -> DataFrame:
+    m = bags.join(claimed.select("path", "task"), ["path", "task"])
     res = resolve_metric(m, ["path"], "task", policy)
     meta = ok.select("path", "mtime", "top",
                      F.coalesce(nonempty(F.col("top")["model_name_or_path"]),
@@ -114,7 +125,7 @@ def _plugin_rows(ok: DataFrame, tasks: DataFrame, claimed: DataFrame, policy) ->
     shot = canonical_shot(config_shot(j, F.col("task")).try_cast("double").cast("long"))
     return j.select("model_name", "task", shot.alias("n_shot"), "performance", "metric_name",
                     F.col("path").alias("src_path"), F.col("mtime").alias("src_mtime"),
-                    src_pos(0, F.lit(0), F.lit(0)))
+                    src_pos(0, F.lit(0)))
 
 
 def _first_child_shot(names: DataFrame, name_col: str, edges: DataFrame, shots: DataFrame) -> DataFrame:
@@ -124,8 +135,7 @@ def _first_child_shot(names: DataFrame, name_col: str, edges: DataFrame, shots:
     return e.groupBy("path", "parent").agg(F.min_by("shot", "child_pos").alias("sub_shot"))
 
 
-def _group_rows(ok_g: DataFrame, shots: DataFrame, glob: DataFrame, edges: DataFrame, policy) -> DataFrame:
-    groups = group_entries(ok_g)
+def _group_rows(groups: DataFrame, shots: DataFrame, glob: DataFrame, edges: DataFrame, policy) -> DataFrame:
     gclean, gparsed = split_task_nshot(F.col("group"))
     bags = collapse_scoped_keys(metric_rows(groups, "group"), ["path", "group"])
     bags = bags.withColumn("gname", split_task_nshot(F.col("group"))[0])
@@ -144,35 +154,34 @@ def _group_rows(ok_g: DataFrame, shots: DataFrame, glob: DataFrame, edges: DataF
     n_shot = F.coalesce(canonical_shot(F.col("own")), canonical_shot(F.col("sub_shot")),
                         F.col("global_n_shot").cast("string"), gparsed.cast("string"), F.lit("unknown"))
     return rows.select("path", gclean.alias("task"), n_shot.alias("n_shot"), "performance", "metric_name",
-                       src_pos(0, F.col("level"), F.col("group_pos")))
+                       src_pos(0, F.col("visit")))
 
 
-def _task_rows(ok_g: DataFrame, tasks: DataFrame, shots: DataFrame, glob: DataFrame,
-               edges: DataFrame, policy) -> tuple[DataFrame, DataFrame]:
-    groups = group_entries(ok_g).select("path", "group")
+def _task_rows(groups: DataFrame, tasks: DataFrame, bags: DataFrame, shots: DataFrame, glob: DataFrame,
+               edges: DataFrame, policy, linked: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, incomplete placeholder parents, entries without a numeric metric).
+
+    ``linked``: whether any file names groups or subtasks; without any, what depends on them is left out of the plan.
+    """
+    groups = groups.select("path", "group")
     has_groups = groups.select("path").distinct()
     agg_names = groups.select("path", F.col("group").alias("task")) \
         .unionByName(edges.select("path", F.col("parent").alias("task"))).distinct()
     sub_names = edges.select("path", F.col("child").alias("task")).distinct()
 
     t = tasks.filter(F.col("task") != "all")
-    t = t.join(agg_names.join(has_groups, "path"), ["path", "task"], "left_anti")
-    t = t.join(sub_names, ["path", "task"], "left_anti")
-    t = drop_prefix_subtasks(t, "path", "task", aggregates=groups, known=tasks)
+    if linked:
+        t = t.join(agg_names.join(has_groups, "path"), ["path", "task"], "left_anti")
+        t = t.join(sub_names, ["path", "task"], "left_anti")
+    t = drop_prefix_subtasks(t, "path", "task", aggregates=groups if linked else None, known=tasks)
     clean, parsed = split_task_nshot(F.col("task"))
     t = t.withColumn("clean", clean).withColumn("parsed", parsed)
 
-    raw = metric_rows(tasks, "task")
-    nonph = raw.groupBy("path", "task").agg(
-        F.count(F.when(~F.col("key").isin(*PLACEHOLDER_KEYS), 1)).alias("_real"))
-    t = t.join(nonph, ["path", "task"], "left") \
-        .withColumn("placeholder", F.coalesce(F.col("_real"), F.lit(0)) == 0).drop("_real")
-
     # regular tasks: headline metric under the task's own (clean) name
-    bags = collapse_scoped_keys(raw, ["path", "task"])
     reg = t.filter(~F.col("placeholder")).select("path", "task", "task_pos", "clean", "parsed")
     reg_res = resolve_metric(bags.join(reg, ["path", "task"]), ["path", "task", "task_pos", "parsed"],
                              "clean", policy)
+    bare = reg.select("path", "task").join(reg_res.select("path", "task"), ["path", "task"], "left_anti")
 
     # placeholder parents: mean of children resolved under the parent's policy
     ph = t.filter(F.col("placeholder")).select("path", "task", "task_pos", "clean", "parsed")
@@ -187,12 +196,16 @@ def _task_rows(ok_g: DataFrame, tasks: DataFrame, shots: DataFrame, glob: DataFr
         .select("path", F.col("clean").alias("task"), "n_present", "n_expected")
 
     cols = ["path", "task", "task_pos", "clean", "parsed", "performance", "metric_name"]
-    rows = reg_res.select(*cols).unionByName(ph_res.select(*cols))
+    rows = reg_res.select(*cols)
+    if linked:
+        rows = rows.unionByName(ph_res.select(*cols))
 
     # PRJ-5 shot resolution
     own = shots.select("path", F.col("name").alias("clean"), F.col("shot").alias("own"))
     agg_clean = rows.join(agg_names.withColumnRenamed("task", "clean"), ["path", "clean"], "left_semi")
     sub = _first_child_shot(agg_clean, "clean", edges, shots).withColumnRenamed("parent", "clean")
+    if not linked:
+        sub = sub.limit(0)
     mmlu = (shots.filter(F.col("name").startswith("mmlu_")).groupBy("path")
             .agg(F.min_by("shot", "shot_pos").alias("mmlu_shot")).withColumn("clean", F.lit("mmlu")))
     gm = (shots.filter(F.col("name").startswith("global_mmlu_"))
@@ -206,8 +219,8 @@ def _task_rows(ok_g: DataFrame, tasks: DataFrame, shots: DataFrame, glob: DataFr
                         F.col("global_n_shot").cast("string"), canonical_shot(F.col("mmlu_shot")),
                         canonical_shot(F.col("gm_shot")), F.col("parsed").cast("string"), F.lit("unknown"))
     out = rows.select("path", F.col("clean").alias("task"), n_shot.alias("n_shot"), "performance",
-                      "metric_name", src_pos(1, F.lit(0), F.col("task_pos")))
-    return out, audit
+                      "metric_name", src_pos(1, F.col("task_pos")))
+    return out, audit, bare
 
 
 def collect_results(spark: SparkSession, root: str, policy=None, parsers=DEFAULT_PARSERS,
@@ -230,21 +243,29 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
     # Parse once: every later branch reads this reliable checkpoint (shared
     # folder named by spark.checkpoint.dir) instead of re-parsing the JSON.
     ok = cut_lineage(ok)
-    tasks = task_entries(ok)
-    claimed = _claims(tasks, parsers)
-    plugin = _plugin_rows(ok, tasks, claimed, policy)
-
-    ok_g = ok.join(claimed.select("path"), "path", "left_anti")
-    tasks_g = tasks.join(claimed.select("path"), "path", "left_anti")
-    shots_raw = shot_entries(ok_g)
+    # What the files' maps hold is exploded once, too; the many joins below read these narrow tables.
+    keys = F.map_keys(F.from_json("task_json", "map<string,string>"))
+    no_metric = F.coalesce(F.forall(keys, lambda k: k.isin(*PLACEHOLDER_KEYS)), F.lit(True))
+    tasks = cut_lineage(task_entries(ok).withColumn("placeholder", no_metric))
+    claimed = cut_lineage(_claims(tasks, parsers))
+    bags = cut_lineage(collapse_scoped_keys(metric_rows(tasks, "task"), ["path", "task"]))
+    tasks = tasks.drop("task_json")
+    ok_g, tasks_g = ok, tasks
+    if not claimed.isEmpty():
+        ok_g, tasks_g = (df.join(claimed.select("path"), "path", "left_anti") for df in (ok, tasks))
+    shots_raw = cut_lineage(shot_entries(ok_g))
     shots = _shot_lookup(shots_raw)
     glob = global_n_shot(shots_raw, ["path"])
-    edges = subtask_edges(ok_g)
-
-    grows = _group_rows(ok_g, shots, glob, edges, policy)
-    trows, audit = _task_rows(ok_g, tasks_g, shots, glob, edges, policy)
+    edges, groups = cut_lineage(subtask_edges(ok_g)), cut_lineage(group_entries(ok_g))
+
+    plugin = _plugin_rows(ok, claimed, bags, policy)
+    linked = not (groups.isEmpty() and edges.isEmpty())
+    trows, audit, bare = _task_rows(groups, tasks_g, bags, shots, glob, edges, policy, linked)
+    generic = trows
+    if linked:
+        generic = _group_rows(groups, shots, glob, edges, policy).unionByName(trows)
     meta = ok_g.select("path", F.col("model").alias("model_name"), F.col("mtime").alias("src_mtime"))
-    generic = grows.unionByName(trows).join(meta, "path").select(
+    generic = generic.join(meta, "path").select(
         "model_name", "task", "n_shot", "performance", "metric_name",
         F.col("path").alias("src_path"), "src_mtime", "src_pos")
     rows = plugin.unionByName(generic)
@@ -254,11 +275,14 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
     # the resolved rows feed the dedup, the completed set and the audits
     rows = cut_lineage(rows)
     facts = newest_wins(rows.select(*FACT_COLUMNS, "src_path", "src_mtime", "src_pos"))
+    zero = ok_g.select("path").join(rows.select(F.col("src_path").alias("path")), "path", "left_anti")
+    unclear = claimed.select("path", "task").join(plugin.select(F.col("src_path").alias("path")), "path", "left_anti")
     completed = rows.select(F.col("model_name").alias("model"), "task", "n_shot")
     if provenance is None:
         provenance = spark.createDataFrame([], "_path string, raw string, record map<string,string>")
     return Collected(facts=facts, rows=rows, completed=completed, rejects=rejects,
-                     provenance=provenance, placeholder_audit=audit)
+                     provenance=provenance, placeholder_audit=audit, zero_row_files=zero,
+                     metricless_tasks=bare.unionByName(unclear))
 
 
 def check_missing(collected: Collected, jobs: DataFrame) -> DataFrame:

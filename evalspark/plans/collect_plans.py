@@ -253,17 +253,29 @@ def _hierarchy(spark, sf):
 
 
 @query("group_descent", """
-WITH g AS (
-  SELECT r_name AS grp, r_regionkey % 2 = 1 AS has_metric, 0 AS level FROM region)
-SELECT grp AS "group", level FROM g WHERE has_metric
-UNION ALL
-SELECT n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey
-WHERE r_regionkey % 2 = 0 AND n_nationkey % 3 <> 0
+WITH g AS (  -- regions, nations, suppliers: a tree in file 1; in file 2 nations lead back to their region
+  SELECT r_name AS grp, r_regionkey AS pos, r_regionkey % 2 = 1 AS has_metric, r_regionkey AS a, NULL::BIGINT AS b, NULL::BIGINT AS c FROM region
+  UNION ALL SELECT n_name, n_nationkey + 100, n_nationkey % 3 <> 0, n_regionkey, n_nationkey, NULL FROM nation
+  UNION ALL SELECT s_name, s_suppkey + 1000, s_suppkey % 4 <> 0, n_regionkey, n_nationkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+seen AS (
+  SELECT *, (b IS NOT NULL)::INTEGER + (c IS NOT NULL)::INTEGER AS level FROM g
+  WHERE (b IS NULL OR a % 2 = 0) AND (c IS NULL OR b % 3 = 0)),
+visits AS (
+  SELECT 1 AS file_id, grp, level, has_metric, row_number() OVER (ORDER BY level, a, b, c) - 1 AS visit FROM seen
+  UNION ALL SELECT 2, grp, 0, has_metric, row_number() OVER (ORDER BY pos) - 1 FROM g WHERE c IS NULL)
+SELECT file_id, grp AS "group", level, visit::INTEGER AS visit FROM visits WHERE has_metric
 """)
 def q_group_descent(spark, sf):
     groups, edges, _ = _hierarchy(spark, sf)
-    res = descend_groups(groups, edges)
-    return res.select("group", F.col("level").cast("int").alias("level"))
+    suppliers = t(spark, sf, "supplier").join(t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    back = edges.select(F.lit(2).alias("file_id"), F.col("child").alias("parent"), F.col("parent").alias("child"), "child_pos")
+    deeper = suppliers.select(F.lit(1).alias("file_id"), F.col("s_name").alias("group"), (F.col("s_suppkey") + 1000).cast("long").alias("group_pos"),
+                              (F.col("s_suppkey") % 4 != 0).alias("has_metric"))
+    down = suppliers.select(F.lit(1).alias("file_id"), F.col("n_name").alias("parent"), F.col("s_name").alias("child"), F.col("s_suppkey").cast("long").alias("child_pos"))
+    second = F.lit(2).alias("file_id")
+    res = descend_groups(groups.unionByName(deeper).unionByName(groups.select(second, "group", "group_pos", "has_metric")),
+                         edges.unionByName(down).unionByName(edges.select(second, "parent", "child", "child_pos")).unionByName(back))
+    return res.select("file_id", "group", F.col("level").cast("int").alias("level"), F.col("visit").cast("int").alias("visit"))
 
 
 @query("mean_of_children", """

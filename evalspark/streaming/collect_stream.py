@@ -18,7 +18,7 @@ from evalspark.plans.collect import DEFAULT_PARSERS, FACT_COLUMNS, collect_from_
 
 FACT_SCHEMA = ("model_name string, task string, n_shot string, performance double, "
                "performance_normalized double, metric_name string, src_path string, "
-               "src_mtime timestamp, src_pos struct<step:int,level:int,pos:long>")
+               "src_mtime timestamp, src_pos struct<step:int,pos:long>")
 
 
 def result_file_stream(spark: SparkSession, root: str, max_files_per_trigger: int = 1000) -> DataFrame:

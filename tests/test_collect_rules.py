@@ -1,5 +1,9 @@
 """Collect rules over ``(path, mtime, text)`` rows: roll-up prefixes, NaN, positions; deep metric search; long chains."""
 
+import random
+
+import pytest
+
 import json
 import math
 
@@ -47,3 +51,52 @@ def test_chain_of_groups_longer_than_any_cap(spark):
     groups = spark.createDataFrame([(1, f"g{i:03}", i, i == n) for i in range(n + 1)], "file_id int, group string, group_pos long, has_metric boolean")
     edges = spark.createDataFrame([(1, f"g{i:03}", f"g{i + 1:03}", 0) for i in range(n)], "file_id int, parent string, child string, child_pos long")
     assert [(r.group, r.level) for r in descend_groups(groups, edges).collect()] == [(f"g{n:03}", n)]
+
+
+def walk(groups, edges):
+    """Breadth-first walk by a queue: {file: [(group, visit)]} of the groups with a metric."""
+    out = {}
+    for f in {g[0] for g in groups}:
+        order = [(g, m) for _, g, _, m in sorted((x for x in groups if x[0] == f), key=lambda x: x[2])]
+        metric, kids = dict(order), {}
+        for _, parent, child, pos in sorted((e for e in edges if e[0] == f), key=lambda e: e[3]):
+            kids.setdefault(parent, []).append(child)
+        under = {c for v in kids.values() for c in v}
+        queue = [g for g, _ in order if g not in under] or [g for g, _ in order]
+        seen = []
+        while queue:
+            g = queue.pop(0)
+            if g in seen:
+                continue
+            seen.append(g)
+            if not metric[g]:
+                queue += [c for c in kids.get(g, []) if c in metric]
+        out[f] = [(g, n) for n, g in enumerate(seen) if metric[g]]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_descent_is_breadth_first(spark, seed):
+    rng = random.Random(seed)
+    groups, edges = [], []
+    for f in range(25):
+        names = [f"g{n}" for n in range(rng.randint(1, 9))]
+        groups += [(f, g, pos, rng.random() < 0.4) for pos, g in enumerate(rng.sample(names, len(names)))]
+        for parent in rng.sample([*names, "only results"], rng.randint(0, len(names))):
+            below = rng.sample([*names, "task"], rng.randint(0, len(names)))
+            edges += [(f, parent, child, pos) for pos, child in enumerate(below)]
+    got = {}
+    for r in descend_groups(spark.createDataFrame(groups, "file_id int, group string, group_pos long, has_metric boolean"),
+                            spark.createDataFrame(edges, "file_id int, parent string, child string, child_pos int")).collect():
+        got.setdefault(r.file_id, []).append((r.group, r.visit))
+    want = walk(groups, edges)
+    assert {f: sorted(v, key=lambda x: x[1]) for f, v in got.items()} == {f: v for f, v in want.items() if v}
+
+
+def test_descent_lists_no_paths(spark):
+    """Thirty layers of two groups each that all lead on to both of the next: 2^30 paths, 60 groups."""
+    groups = [(1, f"{side}{n}", 2 * n + k, n == 29) for n in range(30) for k, side in enumerate("ab")]
+    edges = [(1, f"{x}{n}", f"{y}{n + 1}", k) for n in range(29) for x in "ab" for k, y in enumerate("ab")]
+    got = descend_groups(spark.createDataFrame(groups, "file_id int, group string, group_pos long, has_metric boolean"),
+                         spark.createDataFrame(edges, "file_id int, parent string, child string, child_pos int")).collect()
+    assert sorted((r.group, r.level, r.visit) for r in got) == [("a29", 29, 58), ("b29", 29, 59)]
