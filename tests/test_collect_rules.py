@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from evalspark.functions.jsonpath import find_metric
+from evalspark.functions.jsonpath import _parse_deep, find_metric
 from evalspark.operators.resolve import descend_groups
 from evalspark.plans.collect import collect_from_files
 
@@ -100,3 +100,45 @@ def test_descent_lists_no_paths(spark):
     got = descend_groups(spark.createDataFrame(groups, "file_id int, group string, group_pos long, has_metric boolean"),
                          spark.createDataFrame(edges, "file_id int, parent string, child string, child_pos int")).collect()
     assert sorted((r.group, r.level, r.visit) for r in got) == [("a29", 29, 58), ("b29", 29, 59)]
+
+
+def test_find_metric_deeper_than_any_stack(spark):
+    n = 100_000
+    rows = ['{"a":' * n + '{"wer": 0.5}' + "}" * n, "[" * n + '{"x": {"wer": {"score": 2}}}' + "]" * n, '{"a":' * n + "{}" + "}" * n, "[" * n + '{"wer": 1}']
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, t string")
+    assert [r.m for r in df.orderBy("i").select(find_metric("t", "wer").alias("m")).collect()] == [0.5, 2.0, None, None]
+
+
+@pytest.mark.parametrize("key,text,want", [
+    ("wer", '{"\\u0077er": 3}', 3.0), ("wer", '{"x": {"\\u0077er": 3}}', 3.0), ("a'b", '{"x": {"a\'b": 4}}', 4.0), ("é", '{"é": 5}', 5.0),
+    ('q"', '{"q\\"": 6}', 6.0), ("wer", '{"wer": "7"}', None), ("wer", '{"wer": "7", "z": {"wer": 8}}', 8.0), ("wer", '{"wer": {"score": "9"}, "b": [{"wer": 1}]}', 1.0),
+    ("wer", '{"wer": 1, "wer": 2}', 2.0), ("wer", '{"wer": null}', None), ("wer", '{"wer": 12345678901234567890123}', 1.2345678901234568e22),
+    ("a.b", '{"a": {"b": 1}, "a.b": 2}', 2.0), ("wer", "", None), ("wer", '{"wer": false}', 0.0)])
+def test_find_metric_keys(spark, key, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert [r.m for r in df.select(find_metric("t", key).alias("m")).collect()] == [want]
+
+
+def test_parser_without_recursion_equals_the_library():
+    rng = random.Random(3)
+
+    def value(depth=0):
+        r = rng.random()
+        if depth > 4 or r < 0.3:
+            return rng.choice([1, -2.5, 1e30, None, True, False, "", "a,b", '"', "\\", '\\"', "[{", "é\n"])
+        if r < 0.6:
+            return [value(depth + 1) for _ in range(rng.randint(0, 4))]
+        return {rng.choice(["a", ",", "{", '"', "\\"]): value(depth + 1) for _ in range(rng.randint(0, 3))}
+
+    def outcome(parse, text):
+        try:
+            return parse(text)
+        except ValueError:
+            return "unreadable"
+
+    for _ in range(3000):
+        text = json.dumps(value(), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1]))
+        if rng.random() < 0.5:
+            i = rng.randrange(len(text))
+            text = text[:i] + rng.choice(["", "]", "}", ",", '"', "x", "[", ":"]) + text[i + rng.choice([0, 1]):]
+        assert outcome(json.loads, text) == outcome(_parse_deep, text), text
