@@ -9,8 +9,11 @@ Shuffles happen at the per-file groupings and at the final dedup aggregate.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evalspark.constants import PLACEHOLDER_KEYS
@@ -62,6 +65,20 @@ class ResultParser:
     required_key: str | None = None
 
 
+@dataclass(frozen=True)
+class PythonParser:
+    """UD-2: a user's own parser of a whole result file.
+
+    ``parse`` gets the file's JSON object as a dict and returns ``(model, task, n_shot,
+    {metric: value})``, or None if the file is not its own. A parser that raises (or
+    returns something else) loses its claim on that one file, which goes on to the next
+    parser and the generic rules; the error is a row of ``Collected.parser_errors``.
+    Metrics that are no numbers are dropped.
+    """
+    name: str
+    parse: Callable[[dict], tuple | None]
+
+
 # Plugin parsers shipped with the source tool, in its discovery order.
 DEFAULT_PARSERS = (
     ResultParser("audiobench", "audiobench_"),
@@ -78,6 +95,7 @@ class Collected:
     provenance: DataFrame  # (_path, raw, record)
     placeholder_audit: DataFrame  # parents with only some children present
     zero_row_files: DataFrame     # (path): result files that gave no row (AG-22)
+    parser_errors: DataFrame      # (path, parser, error): user parsers that raised (UD-2)
     metricless_tasks: DataFrame   # (path, task): entries that should give a row but have no numeric metric (AG-22)
 
     def findings(self) -> DataFrame:
@@ -97,9 +115,59 @@ def _shot_lookup(shots: DataFrame) -> DataFrame:
             .agg(F.max_by("value", "shot_pos").alias("shot"), F.min("shot_pos").alias("shot_pos")))
 
 
+PARSED = ("path string, rank int, parser string, model string, task string, n_shot string, "
+          "metrics array<struct<key:string,value:double>>, error string")
+
+
+def _python_claims(ok: DataFrame, parsers) -> DataFrame:
+    """Outcomes of the user parsers, one row per file and parser that claims it or raises; a file's first claim ends its parsers."""
+    ranked = [(rank, p) for rank, p in enumerate(parsers) if isinstance(p, PythonParser)]
+
+    def outcome(p: PythonParser, text: str) -> tuple | None:
+        try:
+            found = p.parse(json.loads(text))
+            if not found:
+                return None
+            model, task, n_shot, metrics = found
+            bag = [(str(k), float(v)) for k, v in metrics.items() if isinstance(v, (int, float))]
+            return str(model), str(task), None if n_shot is None else str(n_shot), bag, None
+        except Exception as e:  # noqa: BLE001 - a user's code: its failure is this file's and this parser's
+            return None, None, None, None, f"{type(e).__name__}: {e}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(),
+                 pa.list_(pa.struct([("key", pa.string()), ("value", pa.float64())])), pa.string()]
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                for rank, p in ranked:
+                    found = outcome(p, text)
+                    if found:
+                        bag = found[3] and [{"key": k, "value": v} for k, v in found[3]]
+                        rows.append((path, rank, p.name, *found[:3], bag, found[4]))
+                        if found[4] is None:
+                            break
+            columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in PARSED.split(", ")])
+
+    return ok.select("path", "text").mapInArrow(run, PARSED)
+
+
+def _python_rows(ok: DataFrame, claims: DataFrame, policy) -> DataFrame:
+    """The row of each file that a user parser claims."""
+    bags = claims.select("path", "task", F.posexplode("metrics").alias("pos", "m")).select(
+        "path", "task", "m.key", F.col("pos").cast("long").alias("pos"), "m.value", F.lit(True).alias("numeric"))
+    res = resolve_metric(collapse_scoped_keys(bags, ["path", "task"]), ["path"], "task", policy)
+    j = res.join(claims.select("path", "model", "n_shot"), "path").join(ok.select("path", "mtime"), "path")
+    return j.select(F.col("model").alias("model_name"), "task", F.coalesce(canonical_shot(F.col("n_shot")), F.lit("unknown")).alias("n_shot"),
+                    "performance", "metric_name", F.col("path").alias("src_path"), F.col("mtime").alias("src_mtime"), src_pos(0, F.lit(0)))
+
+
 def _claims(tasks: DataFrame, parsers) -> DataFrame:
     parts = []
     for rank, p in enumerate(parsers):
+        if not isinstance(p, ResultParser):
+            continue
         cand = tasks.filter(F.col("task").startswith(p.prefix) &
                             F.from_json("task_json", "map<string,string>").isNotNull())
         if p.required_key is not None:
@@ -107,12 +175,12 @@ def _claims(tasks: DataFrame, parsers) -> DataFrame:
                                                   p.required_key))
         parts.append(cand.select("path", "task", "task_pos", F.lit(rank).alias("rank")))
     if not parts:
-        return tasks.sparkSession.createDataFrame([], "path string, task string, task_pos int")
+        return tasks.sparkSession.createDataFrame([], "path string, rank int, task string, task_pos int")
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    first = u.groupBy("path").agg(F.min_by(F.struct("task", "task_pos"), F.struct("rank", "task_pos")).alias("_c"))
-    return first.select("path", "_c.task", "_c.task_pos")
+    first = u.groupBy("path").agg(F.min_by(F.struct("rank", "task", "task_pos"), F.struct("rank", "task_pos")).alias("_c"))
+    return first.select("path", "_c.rank", "_c.task", "_c.task_pos")
 
 
 def _plugin_rows(ok: DataFrame, claimed: DataFrame, bags: DataFrame, policy) -> DataFrame:
@@ -242,7 +310,7 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
     ok, rejects = parse_results(files)
     # Parse once: every later branch reads this reliable checkpoint (shared
     # folder named by spark.checkpoint.dir) instead of re-parsing the JSON.
-    ok = cut_lineage(ok)
+    ok = cut_lineage(ok if any(isinstance(p, PythonParser) for p in parsers) else ok.withColumn("text", F.lit(None).cast("string")))
     # What the files' maps hold is exploded once, too; the many joins below read these narrow tables.
     keys = F.map_keys(F.from_json("task_json", "map<string,string>"))
     no_metric = F.coalesce(F.forall(keys, lambda k: k.isin(*PLACEHOLDER_KEYS)), F.lit(True))
@@ -250,9 +318,21 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
     claimed = cut_lineage(_claims(tasks, parsers))
     bags = cut_lineage(collapse_scoped_keys(metric_rows(tasks, "task"), ["path", "task"]))
     tasks = tasks.drop("task_json")
+    own = errors = None
+    if any(isinstance(p, PythonParser) for p in parsers):
+        outcomes = cut_lineage(_python_claims(ok, parsers))
+        own = outcomes.where(F.col("error").isNull())
+        errors = outcomes.where(F.col("error").isNotNull()).select("path", "parser", "error")
+        # Of a prefix claim and a user parser's claim on one file, the first listed holds.
+        first = claimed.select("path", F.col("rank").alias("r"))
+        late = own.join(first, "path").where(F.col("r") < F.col("rank")).select("path")
+        own = cut_lineage(own.join(late, "path", "left_anti"))
+        claimed = cut_lineage(claimed.join(own.select("path"), "path", "left_anti"))
+    taken = claimed.select("path") if own is None else claimed.select("path").unionByName(own.select("path"))
+    ok = ok.drop("text")
     ok_g, tasks_g = ok, tasks
-    if not claimed.isEmpty():
-        ok_g, tasks_g = (df.join(claimed.select("path"), "path", "left_anti") for df in (ok, tasks))
+    if not taken.isEmpty():
+        ok_g, tasks_g = (df.join(taken, "path", "left_anti") for df in (ok, tasks))
     shots_raw = cut_lineage(shot_entries(ok_g))
     shots = _shot_lookup(shots_raw)
     glob = global_n_shot(shots_raw, ["path"])
@@ -268,6 +348,9 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
     generic = generic.join(meta, "path").select(
         "model_name", "task", "n_shot", "performance", "metric_name",
         F.col("path").alias("src_path"), "src_mtime", "src_pos")
+    if own is not None:
+        plugin = plugin.unionByName(_python_rows(ok, own, policy))
+        claimed = claimed.select("path", "task").unionByName(own.select("path", "task"))
     rows = plugin.unionByName(generic)
     rows = rows.withColumn("metric_name", F.coalesce("metric_name", F.lit(""))) \
         .withColumn("performance_normalized",
@@ -278,10 +361,12 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
     zero = ok_g.select("path").join(rows.select(F.col("src_path").alias("path")), "path", "left_anti")
     unclear = claimed.select("path", "task").join(plugin.select(F.col("src_path").alias("path")), "path", "left_anti")
     completed = rows.select(F.col("model_name").alias("model"), "task", "n_shot")
+    if errors is None:
+        errors = spark.createDataFrame([], "path string, parser string, error string")
     if provenance is None:
         provenance = spark.createDataFrame([], "_path string, raw string, record map<string,string>")
     return Collected(facts=facts, rows=rows, completed=completed, rejects=rejects,
-                     provenance=provenance, placeholder_audit=audit, zero_row_files=zero,
+                     provenance=provenance, placeholder_audit=audit, zero_row_files=zero, parser_errors=errors,
                      metricless_tasks=bare.unionByName(unclear))
 
 

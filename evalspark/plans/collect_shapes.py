@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evalspark.plans.catalog import query, r6, t
-from evalspark.plans.collect import collect_from_files
+from evalspark.plans.collect import PythonParser, collect_from_files
 
 GROUPS, PARENT, PLUGIN, BARE, PREFIX = range(5)
 
@@ -93,3 +93,35 @@ UNION ALL SELECT 'children absent', src_path, 'parent', count(*), count(*) + 1 F
 def q_collect_audit(spark, sf):
     """AG-22: what the collect job could not use, as one table."""
     return collect_from_files(shaped_files(spark, sf)).findings()
+
+
+@query("user_parsers", _SHAPES_SQL + """
+, f AS (SELECT src_path, any_value(model_name) AS model_name, arg_min(task, task) AS task, sum(v) AS v, CAST(split_part(split_part(src_path, '/', 3), '.', 1) AS BIGINT) AS cust
+        FROM c GROUP BY src_path)
+SELECT src_path AS path, task, model_name, CASE WHEN cust % 3 = 0 THEN NULL ELSE CAST(cust % 4 AS VARCHAR) END AS n_shot, round(v, 6) AS performance,
+       NULL AS error
+FROM f WHERE cust % 7 <> 0
+UNION ALL SELECT src_path, NULL, NULL, NULL, NULL, 'mine: KeyError: ''total''' FROM f WHERE cust % 7 = 0
+""".replace("CASE WHEN cust % 3 = 0 THEN NULL", "CASE WHEN cust % 3 = 0 THEN 'unknown'"))
+def q_user_parsers(spark, sf):
+    """UD-2: files of a format of its own, one user parser that declines every file and one that raises on some."""
+    orders = t(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderdate")
+    nations = t(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    files = (orders.groupBy("o_custkey").agg((F.count(F.lit(1)) / 100.0).alias("v"), F.max("o_orderdate").alias("at"),
+                                             F.min(F.lower(F.substring("o_orderpriority", 3, 20))).alias("task"))
+             .join(nations, F.col("o_custkey") == F.col("c_custkey")))
+    c = F.col("o_custkey")
+    score = F.when(c % 7 != 0, F.col("v"))  # a NULL field is left out, so the key is missing
+    body = F.struct(F.lit("own").alias("format"), F.concat(F.lit("m"), F.col("c_nationkey").cast("string")).alias("who"), "task",
+                    F.when(c % 3 != 0, c % 4).alias("shots"), score.alias("total"))
+    files = files.select(F.format_string("/r/%d.json", "o_custkey").alias("path"), F.col("at").cast("timestamp").alias("mtime"), F.to_json(body).alias("text"))
+
+    def mine(data):
+        if data.get("format") == "own":
+            return data["who"], data["task"], data.get("shots"), {"total": data["total"], "note": "no number"}
+
+    got = collect_from_files(files, parsers=[PythonParser("others", lambda data: None), PythonParser("mine", mine)])
+    rows = got.rows.select(F.col("src_path").alias("path"), "task", "model_name", "n_shot", r6(F.col("performance")).alias("performance"),
+                           F.lit(None).cast("string").alias("error"))
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("task", "string"), ("model_name", "string"), ("n_shot", "string"), ("performance", "double"))]
+    return rows.unionByName(got.parser_errors.select("path", *none, F.concat_ws(": ", "parser", "error").alias("error")))

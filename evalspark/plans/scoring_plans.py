@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalspark.operators.grounding import completeness, expected_turns, grounding_metrics, per_round_metrics
 from evalspark.operators.scoring import mcq_picks, mcq_scores, mean_score
 from evalspark.operators.sequence import number_within
+from evalspark.operators.extensions import MergeableMetric, compute_mergeable
 from evalspark.plans.catalog import query, r6, t
 
 
@@ -134,3 +135,41 @@ def q_mcq_scores(spark, sf):
     picks = mcq_picks(samples, ["doc"], "choice", "loglik", "choice_text", "gold")
     res = mcq_scores(picks)
     return res.select("n_docs", *[r6(F.col(c)).alias(c) for c in ("acc", "acc_norm", "acc_bytes")])
+
+
+def calibration_error(bins: int = 10) -> MergeableMetric:
+    """Expected calibration error: mean over the samples of |accuracy - confidence| of their confidence bin.
+
+    State: samples, correct ones and summed confidence of each bin. Samples without a confidence are left out.
+    """
+    def partial(rows):
+        import numpy as np
+
+        rows = rows[rows["confidence"].notna()]
+        at = np.minimum((rows["confidence"].to_numpy(float) * bins).astype(int), bins - 1)
+        return [x for weights in (None, rows["correct"].to_numpy(float), rows["confidence"].to_numpy(float))
+                for x in np.bincount(at, weights, minlength=bins)]
+
+    def finish(state):
+        if not state or not sum(state[:bins]):
+            return 0.0
+        n, correct, confidence = state[:bins], state[bins:2 * bins], state[2 * bins:]
+        return sum(abs(c - f) for c, f in zip(correct, confidence)) / sum(n)
+
+    return MergeableMetric("calibration_error", partial, lambda a, b: [x + y for x, y in zip(a, b)], finish)
+
+
+@query("mergeable_metrics", """
+WITH s AS (
+  SELECT l_linestatus, CASE WHEN l_linenumber <> 7 THEN l_discount * 8 + l_tax * 2 END::DOUBLE AS confidence, (l_quantity > 25)::INTEGER AS correct FROM lineitem),
+b AS (
+  SELECT l_linestatus, least(9, floor(confidence * 10)) AS bin, count(*) AS n, abs(sum(correct) - sum(confidence)) AS gap
+  FROM s WHERE confidence IS NOT NULL GROUP BY ALL)
+SELECT l_linestatus, 'calibration_error' AS metric, round(sum(gap) / sum(n), 6) AS value FROM b GROUP BY l_linestatus
+""")
+def q_mergeable_metrics(spark, sf):
+    li = t(spark, sf, "lineitem")
+    samples = li.select("l_linestatus", F.when(F.col("l_linenumber") != 7, F.col("l_discount") * 8 + F.col("l_tax") * 2).cast("double").alias("confidence"),
+                        (F.col("l_quantity") > 25).cast("int").alias("correct"))
+    got = compute_mergeable(samples, [calibration_error()], ["confidence", "correct"], ["l_linestatus"])
+    return got.select("l_linestatus", "metric", r6(F.col("value")).alias("value"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalspark.plans.catalog import query, t
+from evalspark.operators.sequence import global_index
 from evalspark.session import cut_lineage, drop_folder, scratch_folder
+from evalspark.sinks.writers import write_shards
 from evalspark.sources.json_array import read_json_array
 
 
@@ -27,3 +29,24 @@ def q_json_arrays(spark, sf):
                        .select("r.doc_id", "pos", F.md5("r.text").alias("text_md5"), "r.source", "r.n_chars"))
     drop_folder(spark, path)
     return back
+
+
+@query("sharded_items", """
+WITH i AS (
+  SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS item_no, count(*) AS turns, sum(length(text)) AS chars FROM conversations GROUP BY conv_id)
+SELECT CAST(item_no % 7 AS INTEGER) AS shard, count(*) AS n_items, CAST(sum(turns) AS BIGINT) AS n_turns, CAST(sum(chars) AS BIGINT) AS n_chars,
+       CAST(sum(sum(turns)) OVER () AS BIGINT) AS counted
+FROM i GROUP BY ALL
+""")
+def q_sharded_items(spark, sf):
+    """SNK-5: conversations dealt over seven shards, read back; ``counted`` is what the write itself returned."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    items = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("conversational_turns"))
+    path = scratch_folder(spark, "shards")
+    counted = write_shards(global_index(items, ["conv_id"], out="item_no"), path, 7)
+    back = spark.read.schema("shard int, conv_id long, conversational_turns array<struct<text:string>>").json(path)
+    chars = F.aggregate(F.transform("conversational_turns", lambda x: F.length(x["text"])), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n, F.lit(0)))
+    out = cut_lineage(back.groupBy("shard").agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.size("conversational_turns")).alias("n_turns"),
+                                                F.sum(chars).alias("n_chars")).withColumn("counted", F.lit(counted).cast("long")))
+    drop_folder(spark, path)
+    return out

@@ -6,23 +6,29 @@ import json
 import os
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from evalspark.functions.projections import is_lower_better
+from evalspark.operators.grounding import expected_turns
 from evalspark.operators.sequence import global_index
 
 SCHEMA_VERSION = "1.2"
 ENGINE_VERSION = "0.1.0"
 
 
-def write_results(facts: DataFrame, path: str, fmt: str = "csv") -> None:
-    """SNK-1: the six-column fact table as CSV (with header) or Parquet."""
+def write_results(facts: DataFrame, path: str, fmt: str = "csv") -> int:
+    """SNK-1: the six-column fact table as CSV (with header) or Parquet; returns the number of rows written.
+
+    The rows are counted by the write itself.
+    """
     cols = ["model_name", "task", "n_shot", "performance", "performance_normalized", "metric_name"]
-    w = facts.select(*cols).write.mode("overwrite")
+    seen = Observation()
+    w = facts.select(*cols).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
         w.format(fmt).save(path)
+    return seen.get["rows"]
 
 
 def envelope_rows(facts: DataFrame) -> DataFrame:
@@ -110,7 +116,8 @@ def write_shards(items: DataFrame, path: str, n: int, order_col: str = "item_no"
     """SNK-5: item ``i`` goes to shard ``i mod n`` (whole conversations stay
     together); returns the total number of turns. ``items`` must carry a global
     item number ``order_col`` (e.g. from :func:`global_index`)."""
-    from evalspark.operators.grounding import expected_turns
     out = items.withColumn("shard", F.pmod(F.col(order_col), F.lit(n)))
-    out.write.mode("overwrite").partitionBy("shard").json(path)
-    return int(items.agg(expected_turns(items, turns_col)).collect()[0][0])
+    # Counted by the tasks that write (no shuffle follows), so a lost executor's tasks count once.
+    seen = Observation()
+    out.observe(seen, expected_turns(items, turns_col).alias("turns")).write.mode("overwrite").partitionBy("shard").json(path)
+    return seen.get["turns"]

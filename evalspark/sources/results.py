@@ -72,22 +72,22 @@ def name_nonfinite(text: Column) -> Column:
 def parse_results(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-2: ``(ok, rejects)``.
 
-    ``ok``: ``path, mtime, top MAP<STRING,STRING>, model`` for result objects
+    ``ok``: ``path, mtime, text, top MAP<STRING,STRING>, model`` for result objects
     whose ``results`` (if present) is an object. ``rejects``: ``path, reason``
     with ``unreadable``, ``not_object`` (e.g. a bare per-sample array) or
     ``results_not_object`` (e.g. this engine's own envelope).
     """
-    files = files.withColumn("text", name_nonfinite(F.col("text")))
+    files = files.withColumn("raw", F.col("text")).withColumn("text", name_nonfinite(F.col("text")))
     kind = json_kind(F.col("text"))
     top = F.from_json(F.col("text"), "map<string,string>")
-    with_kind = files.select("path", "mtime", kind.alias("kind"), top.alias("top"))
+    with_kind = files.select("path", "mtime", "raw", kind.alias("kind"), top.alias("top"))
     res = F.col("top").getItem("results")
     res_ok = res.isNull() | F.from_json(res, "map<string,string>").isNotNull()
     classified = with_kind.withColumn(
         "reason", F.when(F.col("kind") != "ok", F.col("kind"))
         .when(~res_ok, F.lit("results_not_object")))
     ok = (classified.filter(F.col("reason").isNull())
-          .select("path", "mtime", "top", model_identity(F.col("top")).alias("model")))
+          .select("path", "mtime", F.col("raw").alias("text"), "top", model_identity(F.col("top")).alias("model")))
     rejects = classified.filter(F.col("reason").isNotNull()).select("path", "reason")
     return ok, rejects
 

@@ -15,7 +15,7 @@ from evalspark.functions.projections import route_model
 from evalspark.operators.registry import (
     aux_requirements, expand_selection, fan_out_pairs, registry_summary, select_tasks, unmatched_languages)
 from evalspark.plans.collect import collect_results
-from evalspark.sinks.writers import missing_path, report_lines, write_envelope, write_missing, write_shards
+from evalspark.sinks.writers import missing_path, report_lines, write_envelope, write_missing, write_results, write_shards
 from evalspark.sources.tables import (
     load_registry, read_envelope, read_jobs_csv, read_sample_lines, read_sample_shards, read_score_tables, scan_jobs)
 
@@ -132,6 +132,23 @@ def test_missing_sink_and_shards(spark, tree):
     assert [p for p in parts if p.startswith("shard=")] == ["shard=0", "shard=1"]
 
 
+def test_writes_count_in_one_pass(spark, tree):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    items = spark.range(50).selectExpr("id AS item_no", "transform(sequence(1, id % 4 + 1), x -> named_struct('q', 'a')) AS conversational_turns")
+    assert write_shards(items.mapInPandas(count, items.schema), os.path.join(tree, "s"), 3) == sum(i % 4 + 1 for i in range(50))
+    assert made.value == 50
+    facts = spark.range(20).selectExpr("'m' AS model_name", "'t' AS task", "'0' AS n_shot", "id / 1.0 AS performance", "null AS performance_normalized", "'a' AS metric_name")
+    assert write_results(facts.mapInPandas(count, "model_name string, task string, n_shot string, performance double, performance_normalized double, metric_name string"),
+                         os.path.join(tree, "r"), "parquet") == 20
+    assert made.value == 70 and spark.read.parquet(os.path.join(tree, "r")).count() == 20
+
+
 def test_jobs_by_header_name(spark, tree):
     put(tree, "a/jobs.csv", "model_path,task_path,n_shot\nm1,t,0\n")
     put(tree, "b/jobs.csv", "n_shot,eval_suite,task_path,model_path\n5,LM,u,\"m,2\"\n0,X,t,m1\n")
