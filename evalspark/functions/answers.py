@@ -65,7 +65,10 @@ def boxed_answers(text) -> Column:
         starts = F.filter(F.transform(tokens, lambda t, i: F.when(t == "boxed{", i + 1)), lambda i: i.isNotNull())
         return F.filter(F.transform(starts, lambda i: _span_after(tokens, i)), lambda x: x.isNotNull())
 
-    return _bind(_scan_tokens(_c(text)), spans)
+    # Without nested braces the pattern says it all; only other texts are folded.
+    t = F.replace(_c(text), F.lit(" "), F.lit(""))
+    flat = ~t.rlike(r"\{[^{}]*\{")
+    return F.when(flat, F.regexp_extract_all(t, F.lit(r"boxed\{([^{}]*)\}"), 1)).otherwise(_bind(_scan_tokens(_c(text)), spans))
 
 
 def first_boxed(text) -> Column:
@@ -82,7 +85,13 @@ def first_boxed(text) -> Column:
                                     F.when((t == "boxed{") & (acc["least"] < 0), acc["n"] + 1).otherwise(acc["at"]).alias("at")))
         return _bind(seen["at"], lambda at: F.when(at > 0, _span_after(tokens, F.size(tokens) - at + 1)))
 
-    return _bind(_scan_tokens(_c(text)), span)
+    # A first start whose next brace closes it needs no scan, and neither does a text without a start.
+    t = F.replace(_c(text), F.lit(" "), F.lit(""))
+    at = F.instr(t, "boxed{")
+    rest = F.substring(t, at + len("boxed{"), F.length(t))
+    return (F.when(at == 0, F.lit(None).cast("string"))
+            .when(rest.rlike(r"^[^{}]*\}"), F.substring_index(rest, "}", 1))
+            .otherwise(_bind(_scan_tokens(_c(text)), span)))
 
 
 def clean_choice(pred) -> Column:
@@ -119,40 +128,108 @@ def _close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-4) * F.greatest(F.abs(a), F.abs(b))
 
 
-def _equal_tiers(pred: Column, gold: Column, allow_tuple: bool, p_trim: Column | None = None,
-                 g_trim: Column | None = None, pn: Column | None = None, gn: Column | None = None) -> Column:
-    p_trim = strip_ws(pred) if p_trim is None else p_trim
-    g_trim = strip_ws(gold) if g_trim is None else g_trim
-    pn = parse_digits(pred) if pn is None else pn
-    gn = parse_digits(gold) if gn is None else gn
+MATRIX = r"(?s)^\\begin\{[pb]matrix\}.*\\end\{[pb]matrix\}$"
+ROW_END = r"\\\\"  # two backslashes
+
+
+def _matrix_body(text: Column) -> Column:
+    """What stands between begin and end of a matrix, without blank rows."""
+    body = F.substring(text, F.lit(len(r"\begin{pmatrix}") + 1), F.length(text) - len(r"\begin{pmatrix}\end{pmatrix}"))
+    body = F.regexp_replace(body, rf"^(\s*{ROW_END})+|({ROW_END}\s*)+$", "")
+    return F.regexp_replace(body, rf"{ROW_END}(\s*{ROW_END})+", ROW_END)
+
+
+def _as_pmatrix(text: Column) -> Column:
+    """A brace list of a gold answer as the grader writes it where the prediction holds a ``pmatrix``."""
+    lists = F.regexp_extract_all(text, F.lit(r"\{.*,.*\}"), 0)
+    return F.array_join(F.transform(lists, lambda m: F.concat(
+        F.lit(r"\begin{pmatrix}"), F.replace(F.regexp_replace(m, r"^[{}]+|[{}]+$", ""), F.lit(","), F.lit("\\")), F.lit(r"\end{pmatrix}"))), ", ")
+
+
+def _elements(pred: Column, gold: Column) -> Column:
+    """The two sides' elements as ``struct(p, g)`` of arrays that must be equal pairwise; NULL if they have none or another form.
+
+    Matrices of one shape: their cells. Tuples and intervals with brackets and commas
+    in the same places: what stands between those, so a comma inside an inner bracket
+    parts that bracket's elements and no others. ``x = v`` and ``v``: the value, on either side.
+    """
+    tup = r"^[(\[].+[)\]]"
+
+    def pair(p: Column, g: Column) -> Column:
+        return F.struct(p.alias("p"), g.alias("g"))
+
+    def rows(body: Column) -> Column:
+        return F.transform(F.split(body, ROW_END), lambda r: F.size(F.split(r, "&")))
+
+    def cells(m: Column) -> Column:
+        return F.when(rows(m["p"]) == rows(m["g"]), pair(*(F.split(m[k], f"&|{ROW_END}") for k in ("p", "g"))))
+
+    def tight(text: Column) -> Column:
+        return F.regexp_replace(text, r"\s*([()\[\],])\s*", "$1")
+
+    def frame(text: Column) -> Column:
+        return F.translate(F.regexp_replace(text, r"[^()\[\],]+", "x"), "[]", "()")
+
+    def leaves(m: Column) -> Column:
+        return F.when(frame(m["p"]) == frame(m["g"]), pair(*(F.regexp_extract_all(m[k], F.lit(r"[^()\[\],]+"), 0) for k in ("p", "g"))))
+
+    def side(text: Column) -> Column:
+        lhs = F.substring_index(text, "=", 1)
+        return F.struct((F.size(F.split(text, "=")) == 2).alias("one"), (F.length(strip_ws(lhs)) <= 2).alias("short"),
+                        F.substring(text, F.length(lhs) + 2, F.length(text)).alias("value"))
+
+    def whole(m: Column) -> Column:
+        return F.coalesce(F.when(m["p"].rlike(MATRIX) & m["g"].rlike(MATRIX), _bind(pair(_matrix_body(m["p"]), _matrix_body(m["g"])), cells)),
+                          F.when(m["p"].rlike(tup) & m["g"].rlike(tup), _bind(pair(tight(m["p"]), tight(m["g"])), leaves)))
+
+    def valued(text: Column, other: Column, make) -> Column:
+        """``make(v)`` for ``x = v`` where the other side has no equation."""
+        is_one = text.contains("=") & ~other.contains("=") & ~text.rlike(tup)
+        return F.when(is_one, _bind(side(text), lambda x: F.when(x["one"] & x["short"], make(strip_ws(x["value"])))))
+
+    sides = F.coalesce(valued(pred, gold, lambda v: pair(v, gold)), valued(gold, pred, lambda v: pair(pred, v)))
+    value = _bind(sides, lambda m: F.when(m.isNotNull(), F.coalesce(whole(m), pair(F.array(m["p"]), F.array(m["g"])))))
+    return F.coalesce(_bind(pair(pred, gold), whole), value)
+
+
+def _flat_tiers(pred: Column, gold: Column, p_trim: Column, g_trim: Column, pn: Column, gn: Column, g_sym: Column) -> Column:
+    """A CASE of the tiers that look at no element; without an ELSE."""
     numeric_eq = _close(pn, gn / 100) | _close(pn, gn) | _close(pn, gn * 100)
     # bracket-stripped comparison
-    bracketed = ((p_trim.startswith("[") & p_trim.endswith("]") & ~g_trim.startswith("(")) |
-                 (p_trim.startswith("(") & p_trim.endswith(")") & ~g_trim.startswith("[")))
+    bracketed = ((p_trim.startswith("[") & p_trim.endswith("]") & ~g_sym.startswith("(")) |
+                 (p_trim.startswith("(") & p_trim.endswith(")") & ~g_sym.startswith("[")))
     ps = F.when(bracketed, F.regexp_replace(p_trim, r"^[\[\]()]+|[\[\]()]+$", "")).otherwise(p_trim)
-    gs = F.when(bracketed, F.regexp_replace(g_trim, r"^[\[\]()]+|[\[\]()]+$", "")).otherwise(g_trim)
+    gs = F.when(bracketed, F.regexp_replace(g_sym, r"^[\[\]()]+|[\[\]()]+$", "")).otherwise(g_sym)
     ps = F.regexp_replace(ps, r"[{}()]", "")
     gs = F.regexp_replace(gs, r"[{}()]", "")
-    res = (F.when(pred.isNull() | gold.isNull(), F.lit(False))
-           .when(F.lower(p_trim) == F.lower(g_trim), F.lit(True))
-           .when(gold.isin("A", "B", "C", "D", "E") & (clean_choice(pred) == gold), F.lit(True))
-           .when(pn.isNotNull() & gn.isNotNull(), F.coalesce(numeric_eq, F.lit(False)))
-           .when(pred == "", F.lit(False))
-           .when(F.lower(ps) == F.lower(gs), F.lit(True)))
-    if allow_tuple:
-        tup = r"^[(\[].+[)\]]"
-        pp = F.split(F.substring(p_trim, 2, F.length(p_trim) - 2), ",")
-        gp = F.split(F.substring(g_trim, 2, F.length(g_trim) - 2), ",")
-        elementwise = F.forall(F.zip_with(pp, gp, lambda a, b: _equal_tiers(a, b, False)),
-                               lambda x: x)
-        res = res.when(p_trim.rlike(tup) & g_trim.rlike(tup) & (F.size(pp) == F.size(gp)) & elementwise,
-                       F.lit(True))
-        # ``x = v`` against ``v``
-        lhs = F.substring_index(p_trim, "=", 1)
-        rhs = F.substring(p_trim, F.length(lhs) + 2, F.length(p_trim))
-        single_eq = (F.size(F.split(p_trim, "=")) == 2) & (F.length(strip_ws(lhs)) <= 2) & ~gold.contains("=")
-        res = res.when(single_eq & _equal_tiers(rhs, gold, False), F.lit(True))
-    return res.otherwise(F.lit(False))
+    return (F.when(pred.isNull() | gold.isNull(), F.lit(False))
+            .when(F.lower(p_trim) == F.lower(g_trim), F.lit(True))
+            .when(gold.isin("A", "B", "C", "D", "E") & (clean_choice(pred) == gold), F.lit(True))
+            .when(pn.isNotNull() & gn.isNotNull(), F.coalesce(numeric_eq, F.lit(False)))
+            .when(pred == "", F.lit(False))
+            .when(F.lower(ps) == F.lower(gs), F.lit(True)))
+
+
+def _equal_tiers(pred: Column, gold: Column, p_trim: Column | None = None,
+                 g_trim: Column | None = None, pn: Column | None = None, gn: Column | None = None) -> Column:
+    p_trim = strip_ws(pred) if p_trim is None else p_trim
+    g_trim = strip_ws(gold) if g_trim is None else g_trim
+    pn = parse_digits(pred) if pn is None else pn
+    gn = parse_digits(gold) if gn is None else gn
+    g_sym = F.when(p_trim.contains("pmatrix") & ~g_trim.contains("matrix"), _as_pmatrix(g_trim)).otherwise(g_trim)
+
+    def ready(texts: Column) -> Column:
+        return F.transform(texts, lambda x: F.struct(x.alias("raw"), strip_ws(x).alias("t"), parse_digits(x).alias("n")))
+
+    def same(p: Column, g: Column) -> Column:
+        return _flat_tiers(p["raw"], g["raw"], p["t"], g["t"], p["n"], g["n"], g["t"]).otherwise(F.lit(False))
+
+    def all_same(e: Column) -> Column:
+        return (F.size(e["p"]) == F.size(e["g"])) & F.forall(F.zip_with(ready(e["p"]), ready(e["g"]), same), lambda x: x)
+
+    # Only texts that have elements at all get this far down the CASE.
+    inner = F.when(p_trim.rlike(r"^[(\[]|=|^\\begin") | g_trim.contains("="), _bind(_elements(p_trim, g_sym), all_same))
+    return (_flat_tiers(pred, gold, p_trim, g_trim, pn, gn, g_sym).when(inner, F.lit(True)).otherwise(F.lit(False)))
 
 
 def answers_equal(pred, gold) -> Column:
@@ -160,9 +237,10 @@ def answers_equal(pred, gold) -> Column:
 
     NULL -> false; case-insensitive trimmed equality; choice letter; when both
     sides are numbers the numeric tier decides (gold/100, gold, gold*100 within
-    relative 1e-4); bracket-stripped equality; element-wise tuples; ``x = v``.
+    relative 1e-4); bracket-stripped equality; element-wise tuples, nested ones in place;
+    matrices cell by cell (``pmatrix`` and ``bmatrix`` alike); ``x = v`` against ``v`` on either side.
     """
-    return _equal_tiers(_c(pred), _c(gold), True)
+    return _equal_tiers(_c(pred), _c(gold))
 
 
 def answer_match(df, pred: str, gold: str, out: str = "exact_match"):
@@ -171,7 +249,7 @@ def answer_match(df, pred: str, gold: str, out: str = "exact_match"):
     them instead of re-running the regexes in every branch."""
     staged = df.select("*", strip_ws(F.col(pred)).alias("_pt"), strip_ws(F.col(gold)).alias("_gt"),
                        parse_digits(F.col(pred)).alias("_pn"), parse_digits(F.col(gold)).alias("_gn"))
-    eq = _equal_tiers(F.col(pred), F.col(gold), True, F.col("_pt"), F.col("_gt"), F.col("_pn"), F.col("_gn"))
+    eq = _equal_tiers(F.col(pred), F.col(gold), F.col("_pt"), F.col("_gt"), F.col("_pn"), F.col("_gn"))
     return staged.select(*[F.col(c) for c in df.columns], eq.alias(out))
 
 

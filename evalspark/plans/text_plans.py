@@ -347,3 +347,31 @@ FROM a
 def q_corpus_chrf(spark, sf):
     res = corpus_chrf(_mt_pairs(spark, sf), by=["lang"])
     return res.select("lang", r6(F.col("chrf")).alias("chrf"), r6(F.col("chrf_pp")).alias("chrf_pp"))
+
+
+@query("matrix_answers", r"""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_orderkey % 7 AS kind FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, kind NOT IN (1, 2, 5) AS exact_match FROM s
+""")
+def q_matrix_answers(spark, sf):
+    """SC-5: matrices, nested tuples and equations built from the rows' numbers; kinds 1, 2 and 5 are wrong by construction."""
+    li = t(spark, sf, "lineitem")
+    a, b, c = (F.col(x).cast("int").cast("string") for x in ("l_quantity", "l_linenumber", "l_suppkey"))
+    kind = F.col("l_orderkey") % 7
+    text = F.concat
+
+    def matrix(name, *rows):
+        return text(F.lit("\\begin{" + name + "}"), F.concat_ws(" \\\\ ", *rows), F.lit("\\end{" + name + "}"))
+
+    first, second = text(a, F.lit(" & "), b, F.lit(".0")), text(c, F.lit("&7"))
+    wrong = text((F.col("l_quantity") + 1).cast("int").cast("string"), F.lit("&"), b)
+    plain = matrix("bmatrix", text(a, F.lit("&"), b), second)
+    pair = text(F.lit("(("), a, F.lit(", "), b, F.lit("), ["), c, F.lit(", 2])"))
+    near = text(F.lit("(("), a, F.lit(".0,"), b, F.lit("),["), c, F.lit(",2.00])"))
+    far = text(F.lit("(("), a, F.lit(","), c, F.lit("0.5),["), b, F.lit(",3])"))
+    pred = (F.when(kind <= 2, matrix("pmatrix", first, second)).when(kind <= 5, pair).otherwise(a))
+    pred = F.when(kind == 4, text(F.lit("x = "), a)).otherwise(pred)
+    gold = (F.when(kind == 0, plain).when(kind == 1, matrix("pmatrix", wrong, second)).when(kind == 2, matrix("bmatrix", first))
+            .when(kind == 3, near).when(kind == 4, text(a, F.lit(".00"))).when(kind == 5, far).otherwise(text(F.lit("y="), a)))
+    rows = li.select("l_orderkey", "l_linenumber", "l_partkey", pred.alias("pred"), gold.alias("gold"))
+    return answer_match(rows, "pred", "gold").select("l_orderkey", "l_linenumber", "l_partkey", "exact_match")

@@ -82,8 +82,9 @@ def main():
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
         if len(a) != len(b) or a != b:
             bad += 1
-            diff_a = [r for r in a if r not in set(b)][:3]
-            diff_b = [r for r in b if r not in set(a)][:3]
+            in_a, in_b = set(a), set(b)
+            diff_a = [r for r in a if r not in in_b][:3]
+            diff_b = [r for r in b if r not in in_a][:3]
             print(f"FAIL {name}: rows spark={len(a)} duck={len(b)}\n  spark-only {diff_a}\n  duck-only {diff_b}")
             continue
         print(f"OK   {name}: {len(a)} rows {ts:.1f}s")
