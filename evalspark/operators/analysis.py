@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from evalspark.functions.projections import score_label, score_value
 from evalspark.operators.dedup import last_wins
+from evalspark.operators.resolve import canonical_shot
 from evalspark.operators.sequence import number_within
 from evalspark.session import cut_lineage
 
@@ -53,8 +54,8 @@ def missing_jobs(jobs: DataFrame, completed: DataFrame,
                  job_cols: Sequence[str] = ("model_path", "task_path", "n_shot")) -> DataFrame:
     """JN-4: scheduled jobs with no matching result.
 
-    A result matches when task and shot are equal (shots compared as canonical
-    text, so ``unknown`` never matches) and the model paths are equal or one is
+    A result matches when task and shot are equal (shots compared in canonical form on
+    both sides, so ``5.0`` is ``5``, and ``unknown`` matches no number) and the model paths are equal or one is
     a whole-component suffix of the other (``a/b/m`` vs ``m``; a bare substring
     such as ``m-deduped`` does not match). Both suffix directions become equi
     joins on exploded suffixes -- no nested-loop join.
@@ -63,9 +64,9 @@ def missing_jobs(jobs: DataFrame, completed: DataFrame,
     m, tk, s = job_cols
     c = completed.select(F.col("model").cast("string").alias("_cm"),
                          F.col("task").cast("string").alias("_ct"),
-                         F.col("n_shot").cast("string").alias("_cs")).distinct()
+                         canonical_shot(F.col("n_shot")).alias("_cs")).distinct()
     j = jobs.withColumn("_jm", F.col(m).cast("string")) \
-        .withColumn("_jt", F.col(tk).cast("string")).withColumn("_js", F.col(s).cast("string"))
+        .withColumn("_jt", F.col(tk).cast("string")).withColumn("_js", canonical_shot(F.col(s)))
     # completed path equals the job path or is a suffix of it
     c_sfx = c.select("_ct", "_cs", F.explode(path_suffixes(F.col("_cm"))).alias("_sfx")).distinct()
     step1 = j.join(c_sfx, (j["_jt"] == c_sfx["_ct"]) & (j["_js"] == c_sfx["_cs"]) &

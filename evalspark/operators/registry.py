@@ -85,6 +85,28 @@ def validate_selection(selection: DataFrame, known_codes: DataFrame) -> DataFram
                       F.when(F.col("_known").isNull(), canonical_language("language")).alias("hint"))
 
 
+def requested_languages(requested: Sequence[str], known_codes: DataFrame) -> list[str]:
+    """SC-2 for one request: its codes trimmed, each once, in request order.
+
+    Blank ones are passed over. Codes that are not among ``known_codes`` (one column) raise
+    ValueError, each with the canonical code that it is an alias of, and the sorted list of valid codes.
+    """
+    asked = list(dict.fromkeys(c for c in (str(r).strip() for r in requested) if c))
+    if not asked:
+        return []
+    spark = known_codes.sparkSession
+    rows = spark.createDataFrame([("", c, i) for i, c in enumerate(asked)], "group string, language string, pos int")
+    known = known_codes.select(F.col(known_codes.columns[0]).alias("code")).distinct()
+    judged = validate_selection(rows, known).where(~F.col("ok"))
+    bad = {r["language"]: r["hint"] for r in judged.join(known, F.col("hint") == F.col("code"), "left")
+           .select("language", F.col("code").alias("hint")).collect()}  # codes of one request
+    if bad:
+        names = ", ".join(f"{c} (use {bad[c]})" if bad[c] and bad[c] != c else c for c in asked if c in bad)
+        valid = ", ".join(r["code"] for r in known.orderBy("code").collect())  # configuration
+        raise ValueError(f"unknown language codes: {names}; valid codes: {valid}")
+    return asked
+
+
 def select_tasks(tasks: DataFrame, selection: DataFrame) -> DataFrame:
     """JN-6: expand a selection of groups (optionally scoped to languages) into
     ``(task, n_shot, suite)`` rows; first registration wins per (suite, task, shot).

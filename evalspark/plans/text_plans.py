@@ -12,8 +12,9 @@ from evalspark.functions.answers import (
     flexible_extract,
     strict_letter,
 )
-from evalspark.functions.text import format_series, paraphrase_pair, pipe_table, render_prompt, valid_pair
+from evalspark.functions.text import format_series, paraphrase_pair, pipe_table, render_prompt, sentence_pairs, valid_pair
 from evalspark.operators.decontam import decontaminate
+from evalspark.operators.prompts import fewshot_blocks, fewshot_prompts
 from evalspark.operators.scoring import grade_answers, mean_score
 from evalspark.operators.sequence import number_within
 from evalspark.operators.translation import corpus_bleu, corpus_chrf
@@ -197,14 +198,40 @@ FROM conversations, shots
 """)
 def q_fewshot_prompts(spark, sf):
     bench = t(spark, sf, "benchmark").select("item_id", "text")
-    first = bench.orderBy("item_id").limit(3)
-    block = first.agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("item_id", "text"))),
-        lambda x: F.concat(F.lit("Example: "), x["text"])), "\n\n").alias("block"))
-    conv = t(spark, sf, "conversations")
-    return conv.crossJoin(block).select(
-        "conv_id", "turn",
-        render_prompt("{b}\n\nQuestion: {q}\nAnswer:", b="block", q="text").alias("prompt"))
+    block = fewshot_blocks(bench, render_prompt("Example: {x}", x="text"), 3, ["item_id"])
+    asked = fewshot_prompts(t(spark, sf, "conversations"), block, render_prompt("Question: {q}\nAnswer:", q="text"))
+    return asked.select("conv_id", "turn", "prompt")
+
+
+@query("fewshot_by_group", """
+WITH r AS (
+  SELECT source, n_chars, text, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rn FROM documents WHERE lang = 'en'),
+b AS (SELECT source, string_agg('- ' || n_chars, chr(10) ORDER BY rn) AS block FROM r WHERE rn <= 5 GROUP BY source)
+SELECT doc_id, coalesce(block || chr(10), '') || 'size of ' || doc_id || '?' AS prompt
+FROM documents LEFT JOIN b USING (source)
+""")
+def q_fewshot_by_group(spark, sf):
+    docs = t(spark, sf, "documents").select("doc_id", "source", "n_chars", "lang")
+    blocks = fewshot_blocks(docs.where("lang = 'en'"), render_prompt("- {n}", n="n_chars"), 5, ["n_chars", "doc_id"], ["source"], sep="\n")
+    asked = fewshot_prompts(docs, blocks, render_prompt("size of {d}?", d="doc_id"), ["source"], sep="\n")
+    return asked.select("doc_id", "prompt")
+
+
+@query("parallel_sentences", """
+SELECT CAST(a.conv_id AS VARCHAR) AS id, CAST(a.conv_id AS VARCHAR) AS movie_id,
+       CASE WHEN a.turn % 3 = 0 THEN -1 ELSE a.turn END AS segment_id, 'en' AS src_lang, 'de' AS tgt_lang, a.text AS src, b.text AS tgt
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+""")
+def q_parallel_sentences(spark, sf):
+    """SC-13: consecutive turns as translations, in the map form and in the wide form (odd and even conversations)."""
+    c = t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("de"))
+    corpus = (c.join(after, ["conv_id", "turn"]).withColumnRenamed("text", "en").withColumn("id", F.col("conv_id").cast("string"))
+              .withColumn("line_number", F.when(F.col("turn") % 3 == 0, "none").otherwise(F.col("turn").cast("string"))))
+    wide = corpus.where("conv_id % 2 = 0").select("id", F.col("id").alias("doc_id"), "line_number", "en", "de")
+    mapped = corpus.where("conv_id % 2 = 1").select("id", F.col("id").alias("movie_id"), F.col("line_number").alias("segment_id"),
+                                                    F.create_map(F.lit("en"), "en", F.lit("de"), "de", F.lit("fr"), "en").alias("translation"))
+    return sentence_pairs(wide, "en", "de").unionByName(sentence_pairs(mapped, "en", "de"))
 
 
 _TOK_SQL = "list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"

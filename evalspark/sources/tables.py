@@ -226,17 +226,24 @@ def read_score_tables(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         .withColumn("pos", F.struct("input_no", "pos"))
 
 
+def _splits(spark: SparkSession, path: str, corpus: DataFrame) -> DataFrame:
+    """The distinct splits as text: from the folder names if the corpus is partitioned by split, else from the column."""
+    listing = spark.read.format("binaryFile").load(path)  # content is not selected, so no file is opened
+    source = listing if "split" in listing.columns else corpus
+    return source.select(F.col("split").cast("string").alias("split")).distinct()
+
+
 def read_parallel_corpus(spark: SparkSession, path: str, split: str, fmt: str = "parquet") -> DataFrame:
     """SRC-10: the requested split of a corpus partitioned by ``split``; if it
-    is absent and exactly one split exists, that one is used; else an error.
-    Looks at one row per distinct split; over a partitioned layout that is a
-    listing of folders, no data file is opened."""
+    is absent and exactly one split exists, that one is used; else ValueError with
+    the splits there are (the first hundred by name). Any number of splits; over a
+    partitioned layout only folders are listed."""
     df = spark.read.format(fmt).load(path)
-    splits = [r[0] for r in df.select("split").distinct().limit(1000).collect()]
-    if split in splits:
-        chosen = split
-    elif len(splits) == 1:
-        chosen = splits[0]
-    else:
-        raise ValueError(f"split {split!r} not found; available: {sorted(splits)}")
-    return df.filter(F.col("split") == chosen)
+    splits = _splits(spark, path, df)
+    if splits.where(F.col("split") == split).isEmpty():
+        names = [r["split"] for r in splits.orderBy("split").limit(101).collect()]
+        if len(names) != 1:
+            more = ", ..." if len(names) > 100 else ""
+            raise ValueError(f"split {split!r} not found; available: {', '.join(map(str, names[:100]))}{more}")
+        split = names[0]
+    return df.filter(F.col("split") == split)

@@ -10,6 +10,7 @@ from evalspark.functions.projections import (
     canonical_suite, is_lower_better, normalize_to_100, route_model, score_label, split_task_nshot)
 from evalspark.functions.text import (
     format_series, gold_index, letter_choices, lettered_options, paraphrase_pair, pipe_table)
+from evalspark.operators.decontam import decontaminate, item_ngrams, salted, shared_ngrams
 from evalspark.operators.grounding import grounding_metrics, per_round_metrics, pass_rate_name
 from evalspark.operators.sequence import global_index, number_within
 
@@ -175,3 +176,22 @@ def test_sentence_pairs_forms(spark):
     w = spark.createDataFrame([("2", "d7", 12, "Yes", "Ja")], "id string, doc_id string, line_number int, en string, de string")
     r = sentence_pairs(w, "en", "de").collect()[0]
     assert (r.movie_id, r.segment_id, r.src, r.tgt) == ("d7", 12, "Yes", "Ja")
+
+
+def test_decontamination_deals_a_frequent_ngram_over_salts(spark):
+    licence = " ".join(f"lic{k}" for k in range(14))
+    docs = [(i, f"{licence} own{i} " + " ".join(f"w{i}x{k}" for k in range(20))) for i in range(300)]
+    docs += [(300 + i, " ".join(f"q{i}n{k}" for k in range(15))) for i in range(3)] + [(999, None), (998, "short")]
+    bench = [(1, licence), (2, " ".join(f"q1n{k}" for k in range(13))), (3, licence + " own7"), (4, None)]
+    d, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(bench, "item_id int, text string")
+
+    def grams(text):
+        w = (text or "").split()
+        return {" ".join(w[k:k + 13]) for k in range(len(w) - 12)}
+
+    want = {(i, j): len(grams(x) & grams(y)) for i, x in docs for j, y in bench if grams(x) & grams(y)}
+    assert {(r.doc_id, r.item_id): r.n_overlap for r in decontaminate(d, b).collect()} == want
+    left, right = salted(shared_ngrams(d, b, 13, "doc_id", "item_id", "text"), item_ngrams(b, "item_id", "text", 13), "doc_id", share=20, least=1)
+    assert left.groupBy("ngram", "_salt").count().agg(F.max("count")).first()[0] < 90  # 300 rows a gram before
+    met = left.join(right, ["ngram", "_salt"]).groupBy("doc_id", "item_id").count().collect()
+    assert {(r.doc_id, r.item_id): r["count"] for r in met} == want

@@ -7,17 +7,18 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from evalspark.operators.analysis import compare_runs, leaderboard
+from evalspark.operators.analysis import compare_runs, leaderboard, missing_jobs
+from evalspark.operators.prompts import fewshot_blocks, fewshot_prompts
 from evalspark.operators.grounding import grounding_metrics, per_round_metrics
 from evalspark.operators.jobs import attach_suite
 from evalspark.constants import AUDIO_MODEL_RULES
 from evalspark.functions.projections import route_model
 from evalspark.operators.registry import (
-    aux_requirements, expand_selection, fan_out_pairs, registry_summary, select_tasks, unmatched_languages)
+    aux_requirements, expand_selection, fan_out_pairs, registry_summary, requested_languages, select_tasks, unmatched_languages)
 from evalspark.plans.collect import collect_results
 from evalspark.sinks.writers import missing_path, report_lines, write_envelope, write_missing, write_results, write_shards
 from evalspark.sources.tables import (
-    load_registry, read_envelope, read_jobs_csv, read_sample_lines, read_sample_shards, read_score_tables, scan_jobs)
+    load_registry, read_envelope, read_jobs_csv, read_parallel_corpus, read_sample_lines, read_sample_shards, read_score_tables, scan_jobs)
 
 
 def put(root, rel, text):
@@ -210,3 +211,37 @@ def test_audio_routing(spark):
     assert [r[0] for r in df.select(route_model("m", AUDIO_MODEL_RULES, strict=True)).collect()] == ["Qwen2-Audio-7B-Instruct", "SALMONN_7B"]
     with pytest.raises(Exception, match="no routing rule matches model other"):
         spark.createDataFrame([("other",)], "m string").select(route_model("m", AUDIO_MODEL_RULES, strict=True)).collect()
+
+
+def test_any_number_of_splits(spark, tree):
+    spark.range(3000).selectExpr("concat('s', lpad(id, 4, '0')) AS split", "id AS line").repartition(2, "split").write.partitionBy("split").parquet(os.path.join(tree, "many"))
+    for split in ("s0000", "s2999"):
+        assert [r.line for r in read_parallel_corpus(spark, os.path.join(tree, "many"), split).collect()] == [int(split[1:])]
+    with pytest.raises(ValueError, match="'dev' not found; available: s0000, s0001, .*s0099, ...$"):
+        read_parallel_corpus(spark, os.path.join(tree, "many"), "dev")
+    spark.range(4).selectExpr("'only' AS split", "id AS line").write.parquet(os.path.join(tree, "column"))
+    assert read_parallel_corpus(spark, os.path.join(tree, "column"), "dev").count() == 4
+
+
+def test_requested_languages(spark):
+    known = spark.createDataFrame([("deu_Latn",), ("fra_Latn",), ("ita_Latn",)], "code string")
+    assert requested_languages([" fra_Latn", "", "deu_Latn", "fra_Latn"], known) == ["fra_Latn", "deu_Latn"]
+    assert requested_languages([" "], known) == []
+    with pytest.raises(ValueError, match=r"unknown language codes: xx, de \(use deu_Latn\); valid codes: deu_Latn, fra_Latn, ita_Latn"):
+        requested_languages(["fra_Latn", "xx", "de"], known)
+
+
+def test_missing_jobs_compare_shots_in_canonical_form(spark):
+    jobs = spark.createDataFrame([("a/m", "t", "5"), ("m", "t", "5.0"), ("m", "u", "unknown"), ("m", "v", "0")], "model_path string, task_path string, n_shot string")
+    done = spark.createDataFrame([("m", "t", "5.0"), ("m", "u", "5"), ("m", "v", "00")], "model string, task string, n_shot string")
+    assert sorted(r.task_path for r in missing_jobs(jobs, done).collect()) == ["u"]
+
+
+def test_fewshot_blocks(spark):
+    rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 1, "w")], "g string, n int, s string")
+    blocks = fewshot_blocks(rows, F.col("s"), 2, ["n"], ["g"], sep="|")
+    assert {r.g: r.block for r in blocks.collect()} == {"a": "y|z", "b": "w"}
+    asked = spark.createDataFrame([("a", "q1"), ("c", "q2")], "g string, q string")
+    assert {r.g: r.prompt for r in fewshot_prompts(asked, blocks, F.col("q"), ["g"], "|").collect()} == {"a": "y|z|q1", "c": "q2"}
+    none = fewshot_blocks(rows.limit(0), F.col("s"), 2, ["n"])
+    assert [r.prompt for r in fewshot_prompts(asked, none, F.col("q")).orderBy("g").collect()] == ["q1", "q2"]
