@@ -11,19 +11,24 @@ pieced together.
 
 Nodes of different documents with equal least hash under one of ``FUNCTIONS`` functions
 are candidates, each of them: passages at Jaccard ``SIMILARITY`` agree under at least one
-function with the chance ``RECALL``. They are joined with the first document of their hash
-only, never with each other. An inserted or deleted word moves the rest of a passage to
+function with the chance ``RECALL``. They are joined with the first document of their hash,
+never all with each other. An inserted or deleted word moves the rest of a passage to
 another diagonal, so the extents of two documents may differ by ``SLACK``, and overlapping
 ones on diagonals at most SLACK apart, from all functions, become one stretch.
 Only the shingles of stretches are fetched and compared: the longest dense intervals are
 kept if both sides hold MIN_SHINGLES shingles and their Jaccard similarity is at least
 ``SIMILARITY``.
 
-The first document of a hash may share that shingle by chance or only a short line. The
-hashes of nodes that no verified interval covers in all their extent are therefore opened: every window of
-MIN_SHINGLES shingles that a node of theirs stands for gets the hash of all its shingles
-as key. Documents that share such a key share 50 words for certain, so any of them can
-lead, and no exactly repeated passage is lost to a chance leader.
+The first document of a hash may share that shingle by chance or only a short line, or be
+one edit too far away. Nodes that no verified interval covers in all their extent
+therefore go on to the next document of their hash, and so up to ``LEADS`` documents. A near
+duplicate is lost only if, on every hash that it shares with its partner, LEADS documents
+stand before both that it does not match.
+
+What is then still not covered is opened: every window of MIN_SHINGLES shingles that a
+node of theirs stands for gets the hash of all its shingles as key. Documents that share
+such a key share 50 words for certain, so any of them can lead, and no exactly repeated
+passage is lost however many documents lead by chance.
 """
 
 from __future__ import annotations
@@ -32,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from evalspark.llm.common import drop_finished_shuffles, hash_bucket, short_batches, table
-from evalspark.session import cut_lineage
+from evalspark.llm.common import drop_finished_shuffles, hash_bucket, short_batches, table, union_all
+from evalspark.session import cut_lineage, drop_folder, scratch_folder
 
 SHINGLE_WORDS = 5
 MIN_SHINGLES = 46
@@ -45,12 +50,16 @@ RECALL = 0.998
 FUNCTIONS = int(np.ceil(np.log(1 - RECALL) / np.log(1 - SIMILARITY)))
 #: Shingles by which a window of MIN_SHINGLES may differ in length from another at SIMILARITY.
 SLACK = int(np.ceil(MIN_SHINGLES * (1 / SIMILARITY - 1)))
+#: Documents of one hash that an uncovered node is compared with, in the order of their ids.
+LEADS = 3
 FUNCTION_MASK = 7  # low bits of a key that name its function
 SEED = 77
 #: Text bytes that a task handles at once (a longer text is handled alone).
 CHUNK_BYTES = 1 << 20
 #: Bits of the map that keeps documents out of a join they have no part in.
 FILTER_BITS = 1 << 24
+#: Bits of the map of shared hashes (16 megabytes).
+KEY_BITS = 1 << 27
 #: Stretches of one document that are fetched with one copy of its text.
 FETCH = 256
 
@@ -217,24 +226,66 @@ def _part(name: str) -> tuple:
     return F.shiftright(c, 24), F.shiftright(c, 12).bitwiseAND(low), c.bitwiseAND(low)
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """The nodes whose key another document has too, with ``lead``, the first document that has it."""
-    shared = (nodes.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"))
-              .where(F.col("lead") < F.col("last")).select("key", "lead"))
-    # Most keys are of one document: the keys that are shared are the smaller side of each partition.
-    return nodes.join(shared.hint("shuffle_hash"), "key")
+def bit_map(ids: DataFrame, bits: int) -> np.ndarray:
+    """Map of ``bits`` bits, those set on which an id of ``ids(bit)`` falls."""
+    words = (ids.select((F.col("bit") / 64).cast("int").alias("w"),
+                        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")).alias("m"))
+             .groupBy("w").agg(F.bit_or("m").alias("m")))
+    out = np.zeros(bits // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most bits / 64 rows of 12 bytes
+        out[batch.column("w").to_numpy()] = batch.column("m").to_numpy()
+    return out
+
+
+def with_keys(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """``nodes`` without most rows whose key is not among ``keys(key)``, before they are shuffled for a join."""
+    shared = nodes.sparkSession.sparkContext.broadcast(bit_map(keys.select(F.pmod("key", F.lit(KEY_BITS)).alias("bit")), KEY_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            bit = batch.column("key").to_numpy() & KEY_BITS - 1
+            kept = batch.filter(pa.array((bits[bit >> 6] >> (bit & 63) & 1).astype(bool)))
+            if kept.num_rows:
+                yield kept
+
+    return nodes.mapInArrow(run, "key long, doc long, place long")
+
+
+def meetings(nodes: DataFrame, folder: str) -> DataFrame:
+    """The nodes whose key another document has too (cut), with ``lead`` and ``lead_place``, the first document's first.
+
+    The nodes are written to ``folder`` first: they are made once and read twice. The leads are
+    cut, too, so that the join stands between plain shuffles and a frequent key's nodes can be split.
+    """
+    nodes.write.parquet(folder)
+    nodes = nodes.sparkSession.read.parquet(folder)
+    first = F.min(F.struct("doc", "place"))
+    leads = cut_lineage(nodes.groupBy("key").agg(first.alias("first"), F.max("doc").alias("last")).where(F.col("first.doc") < F.col("last"))
+                        .select("key", F.col("first.doc").alias("lead"), F.col("first.place").alias("lead_place")))
+    drop_finished_shuffles(nodes.sparkSession)
+    met = cut_lineage(with_keys(nodes, leads).join(leads.hint("shuffle_hash"), "key"))
+    drop_folder(nodes.sparkSession, folder)
+    return met
 
 
 def meeting_pairs(met: DataFrame, slack: int) -> DataFrame:
     """``(key, doc, lead, diagonal, s, e, lead_s, lead_e, place)``: later documents' nodes, both extents at most ``slack`` apart."""
-    leads = met.where(F.col("doc") == F.col("lead")).groupBy("key").agg(F.min("place").alias("lead_place"))
     (c, left, right), (lead_c, lead_left, lead_right) = _part("place"), _part("lead_place")
-    return (met.where(F.col("doc") > F.col("lead")).join(leads, "key")
+    return (met.where(F.col("doc") > F.col("lead"))
             .select("key", "doc", "lead", (c - lead_c).alias("diagonal"), (c - F.least(left, lead_left + slack)).alias("s"),
                     (c + F.least(right, lead_right + slack) + 1).alias("e"), (lead_c - F.least(lead_left, left + slack)).alias("lead_s"),
                     (lead_c + F.least(lead_right, right + slack) + 1).alias("lead_e"), "place"))
 
 
+def next_leads(met: DataFrame, turn: DataFrame, pending: DataFrame) -> DataFrame:
+    """``(key, lead, lead_place)``: of every key with a pending node, the document after ``turn(key, lead)`` (cut)."""
+    turn = turn.select("key", F.col("lead").alias("last")).join(pending.select("key").distinct(), "key", "left_semi")
+    return cut_lineage(met.select("key", "doc", "place").join(cut_lineage(turn), "key").where(F.col("doc") > F.col("last"))
+                       .groupBy("key").agg(F.min(F.struct("doc", "place")).alias("first"))
+                       .select("key", F.col("first.doc").alias("lead"), F.col("first.place").alias("lead_place")))
+
+
 def stretches(pairs: DataFrame, slack: int) -> DataFrame:
     """``(doc, lead, start, lead_start, size, lead_size)``: joined extents of documents and their leads.
 
@@ -260,12 +311,7 @@ def only_listed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     The ids set bits in a map of FILTER_BITS, two megabytes whatever their number; a row
     whose bit is not set cannot join. With more ids than bits it keeps every row.
     """
-    bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    words = (ids.select((bit / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("m"))
-             .groupBy("w").agg(F.bit_or("m").alias("m")).collect())  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
-        bits[r["w"]] = r["m"]
+    bits = bit_map(ids.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("bit")), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,6 +421,16 @@ def trimmed(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> tupl
     return (*spans[0], *spans[1], common / union) if union and min(spans[0][1] - spans[0][0], spans[1][1] - spans[1][0]) >= least else None
 
 
+def may_match(pairs: list[tuple[np.ndarray, np.ndarray]], similarity: float, least: int) -> np.ndarray:
+    """Which pairs of shingle sequences hold hits for an interval at all: ``similarity * least`` on either side."""
+    sides = [np.concatenate([p[k] for p in pairs]).astype(np.uint64) for k in (0, 1)]
+    owner = [np.repeat(np.arange(len(pairs)), [len(p[k]) for p in pairs]) for k in (0, 1)]
+    tagged = [own.astype(np.uint64) << U(32) | code for own, code in zip(owner, sides)]
+    common = np.intersect1d(*tagged)
+    enough = similarity * least - 1e-9
+    return np.logical_and(*(np.bincount(own[np.isin(t, common)], minlength=len(pairs)) >= enough for own, t in zip(owner, tagged)))
+
+
 def verify(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> list[tuple[int, int, int, int, float]]:
     """(start, end, start, end, Jaccard) of the near-duplicate intervals of two shingle sequences.
 
@@ -405,80 +461,118 @@ def verify(x: np.ndarray, y: np.ndarray, similarity: float, least: int) -> list[
 def compare(links: DataFrame, docs: DataFrame, similarity: float, least: int) -> DataFrame:
     """``links`` with the near-duplicate intervals ``[a, b)``, ``[c, d)`` of each; null where a stretch holds none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        current = None
-        schema = pa.schema([("link", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()),
-                            ("similarity", pa.float64())])
+    schema = pa.schema([("link", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("d", pa.int64()),
+                        ("similarity", pa.float64())])
 
-        def settle(rows: list) -> None:
-            if current is not None and len(held) == 2:
-                rows += [(current, *r) for r in verify(held[0], held[1], similarity, least)]
+    def judged(links: list[int], pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        rows = [(links[k], *r) for k in np.flatnonzero(may_match(pairs, similarity, least)).tolist()
+                for r in verify(*pairs[k], similarity, least)] if pairs else []
+        columns = list(zip(*rows)) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        rows: list = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, {}  # the sides of a link stand one behind the other
         for batch in batches:
-            for link, side, codes in zip(batch.column("link").to_pylist(), batch.column("side").to_pylist(),
-                                         batch.column("codes")):
+            links, pairs = [], []
+            for link, side, codes in zip(batch.column("link").to_pylist(), batch.column("side").to_pylist(), batch.column("codes").to_pylist()):
                 if link != current:
-                    settle(rows)
-                    current = link
-                    held.clear()
-                held.setdefault(side, np.frombuffer(codes.as_py(), np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)] if rows
-                                             else [pa.array([], f.type) for f in schema], schema=schema)
-            rows = []
-        settle(rows)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    current, held = link, {}
+                if side not in held:  # another text of the same id may answer, too: the first holds
+                    held[side] = np.frombuffer(codes, np.uint32)
+                    if len(held) == 2:
+                        links.append(link)
+                        pairs.append((held[0], held[1]))
+            yield judged(links, pairs)
 
     found = (fetch(links, docs).repartition("link").sortWithinPartitions("link", "side")
              .mapInArrow(run, "link long, a long, b long, c long, d long, similarity double"))
     return links.join(found, "link", "left")
 
 
+def untried(links: DataFrame, tried: DataFrame) -> DataFrame:
+    """``links`` without those that lie within a stretch of the same documents that was compared before."""
+    l, t = links.alias("l"), tried.alias("t")
+
+    def within(start: str, size: str) -> Column:
+        a, b = F.col(f"l.{start}"), F.col(f"t.{start}")
+        return (a >= b) & (a + F.col(f"l.{size}") <= b + F.col(f"t.{size}"))
+
+    same = (F.col("l.doc") == F.col("t.doc")) & (F.col("l.lead") == F.col("t.lead"))
+    return l.join(t, same & within("start", "size") & within("lead_start", "lead_size"), "left_anti")
+
+
+def covering(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(key, doc, place, sure, same)`` per node of ``pairs``: whether a verified interval with its lead holds its whole
+    extent, and whether that interval is an exact repeat on the node's own diagonal."""
+    offset = F.col("start") + F.col("a") - F.col("lead_start") - F.col("c")
+    covered = (rows.groupBy("doc", "lead").agg(F.collect_set(F.struct(
+        (F.col("start") + F.col("a")).alias("x"), (F.col("start") + F.col("b") - 1).alias("y"), offset.alias("offset"),
+        ((F.col("similarity") == 1) & (F.col("b") - F.col("a") == F.col("d") - F.col("c"))).alias("same"))).alias("covered")))
+    at, left, right = _part("place")
+
+    def holds(i: Column) -> Column:
+        return (i["x"] <= at - left) & (i["y"] >= at + right)
+
+    return (pairs.join(covered, ["doc", "lead"], "left")
+            .select("key", "doc", "place",
+                    F.coalesce(F.exists("covered", lambda i: (F.abs(i["offset"] - F.col("diagonal")) <= SLACK) & holds(i)), F.lit(False)).alias("sure"),
+                    F.coalesce(F.exists("covered", lambda i: i["same"] & (i["offset"] == F.col("diagonal")) & holds(i)), F.lit(False)).alias("same")))
+
+
+def uncovered(met: DataFrame, sure: DataFrame) -> DataFrame:
+    """``(doc, place)``: the nodes of keys of which some node but the first document's is not sure.
+
+    A node that equals a lead's in all its extent is spoken for by that lead.
+    """
+    nodes = met.select("key", "doc", "place", (F.col("doc") == F.col("lead")).alias("first"))
+    state = nodes.join(sure.groupBy("key", "doc", "place").agg(F.max("same").alias("same")), ["key", "doc", "place"], "left")
+    unsure = state.where(~F.col("first") & F.col("same").isNull()).select("key").distinct()
+    return (state.where(F.col("first") | ~F.coalesce("same", F.lit(False))).join(cut_lineage(unsure), "key", "left_semi")
+            .select("doc", "place").distinct())
+
+
 def near_duplicate_passages(docs: DataFrame, similarity: float = SIMILARITY, least: int = MIN_SHINGLES) -> DataFrame:
     """Passages of ``docs(doc_id, text)`` that an earlier document has too.
 
     One row per verified pair of intervals: doc_id, start_word, end_word, first_doc_id,
     first_start, first_end, similarity; word numbers, ends exclusive, first_doc_id <
     doc_id. Null ids and texts of fewer than 50 words take no part; rows of one doc_id
-    are not compared with each other.
+    are not compared with each other. Every exact repeat is found; near duplicates as
+    the module says: RECALL against a document that leads one of their hashes, within LEADS leads.
     """
     docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     spark = docs.sparkSession
-    met = cut_lineage(meetings(windows(docs, least)))
+    met = meetings(windows(docs, least), scratch_folder(spark, "compact-windows"))
     drop_finished_shuffles(spark)
 
-    pairs = meeting_pairs(met, SLACK)
-    links = cut_lineage(stretches(pairs, SLACK).withColumn("link", F.monotonically_increasing_id()))
-    rows = cut_lineage(compare(links, docs, similarity, least).where(F.col("a").isNotNull()).drop("link"))
-    del links
-    drop_finished_shuffles(spark)
-    offset = F.col("start") + F.col("a") - F.col("lead_start") - F.col("c")
-    covered = (rows.groupBy("doc", "lead").agg(F.collect_set(F.struct(
-        (F.col("start") + F.col("a")).alias("x"), (F.col("start") + F.col("b") - 1).alias("y"), offset.alias("offset"),
-        ((F.col("similarity") == 1) & (F.col("b") - F.col("a") == F.col("d") - F.col("c"))).alias("same"))).alias("covered")))
-    at, left, right = _part("place")
-
-    def near(i):
-        return F.abs(i["offset"] - F.col("diagonal")) <= SLACK
-
-    judged = cut_lineage(
-        pairs.join(covered, ["doc", "lead"], "left")
-        .select("key", "doc", "place",
-                F.coalesce(F.exists("covered", lambda i: near(i) & (i["x"] <= at - left) & (i["y"] >= at + right)), F.lit(False)).alias("sure"),
-                F.coalesce(F.exists("covered", lambda i: i["same"] & (i["offset"] == F.col("diagonal")) & (i["x"] <= at - left) & (i["y"] >= at + right)), F.lit(False)).alias("same")))
-    unsure = judged.where(~F.col("sure")).select("key").distinct()
-    # A node that equals its lead's in all its extent is spoken for by the lead.
-    opened = cut_lineage(
-        judged.where(~F.col("same")).select("key", "doc", "place")
-        .unionByName(met.where(F.col("doc") == F.col("lead")).select("key", "doc", "place"))
-        .join(unsure, "key", "left_semi").select("doc", "place").distinct())
+    pending, turn, tried, rows, judged = met, met.select("key", "lead").distinct(), None, None, []
+    for lead in range(LEADS):
+        if lead:
+            turn = next_leads(met, turn, pending)
+            pending = pending.join(turn, "key")
+        pairs = meeting_pairs(pending, SLACK)
+        links = stretches(pairs, SLACK)
+        if tried is not None:
+            links = untried(links, tried)
+        links = cut_lineage(links.withColumn("link", F.monotonically_increasing_id()))
+        new = cut_lineage(compare(links, docs, similarity, least).where(F.col("a").isNotNull()).drop("link"))
+        links = links.drop("link")
+        tried = links if tried is None else tried.unionByName(links)
+        rows = new if rows is None else rows.unionByName(new)
+        drop_finished_shuffles(spark)
+        here = cut_lineage(covering(pairs, rows))
+        judged.append(here.where(F.col("sure")).select("key", "doc", "place", "same"))
+        pending = here.where(~F.col("sure")).select("key", "doc", "place")
+        drop_finished_shuffles(spark)
+        if pending.isEmpty():
+            break
+    del links, new, pairs, here, tried
+    opened = cut_lineage(uncovered(met, union_all(judged)))
     if not opened.isEmpty():
         # Windows with equal keys are equal in every shingle, and so are their unions along a diagonal.
-        del met, pairs, judged, unsure, covered  # their checkpoints are done with, too
+        del met, turn, pending, judged  # their checkpoints are done with, too
         drop_finished_shuffles(spark)
-        same = stretches(meeting_pairs(cut_lineage(meetings(whole_windows(opened, docs, least))), 0), 0)
+        same = stretches(meeting_pairs(meetings(whole_windows(opened, docs, least), scratch_folder(spark, "whole-windows")), 0), 0)
         size = F.col("size").cast("long")
         rows = rows.unionByName(same.withColumns({"a": F.lit(0).cast("long"), "b": size, "c": F.lit(0).cast("long"), "d": size,
                                                   "similarity": F.lit(1.0)}))

@@ -198,3 +198,47 @@ def test_exact_repeats_past_the_lead(spark):
     got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in found(spark, rows) if r["repeated"]}
     assert {i: got.get(i) for i in range(2, 240, 3)} == {i: (0, 80) for i in range(2, 240, 3)}
     assert {i: got.get(i) for i in range(1, 240, 3)} == {i: (5, 65) for i in range(1, 240, 3)}
+
+
+def test_near_duplicates_behind_leads_that_do_not_match(spark):
+    """Two earlier documents each hold 46 words of one side of a near duplicate of 60 words, and lead its hashes."""
+    rng = random.Random(5)
+    n, early, late = 60, [], []
+    for k in range(n):
+        x = prose(rng, 60)
+        y = [*x[:29], f"edit{k}", *x[30:]]
+        early += [prose(rng, 30) + x[:46] + prose(rng, 30), prose(rng, 30) + y[14:] + prose(rng, 30)]
+        late += [prose(rng, 40) + x + prose(rng, 20), prose(rng, 50) + y + prose(rng, 20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(early + late)]
+    got = {(r["first_doc_id"], r["doc_id"]) for r in P.near_duplicate_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum((2 * n + 2 * k, 2 * n + 2 * k + 1) in got for k in range(n)) >= 0.95 * n
+
+
+def test_edits_of_one_passage_match_each_other_where_the_first_is_too_far(spark):
+    rng = random.Random(6)
+    n, rows = 50, []
+    for k in range(n):
+        base = prose(rng, 90)
+        far, near = list(base), list(base)
+        for at in (8, 22, 36, 50, 64, 78):
+            far[at] = f"far{at}"
+        near[44] = "near"
+        rows += [prose(rng, 20) + far + prose(rng, 20), prose(rng, 30) + base + prose(rng, 10), prose(rng, 10) + near + prose(rng, 30)]
+    got = defaultdict(list)
+    for r in P.near_duplicate_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], SCHEMA)).collect():
+        got[r["first_doc_id"], r["doc_id"]].append(r["end_word"] - r["start_word"])
+    full = [max(got.get((3 * k + 1, 3 * k + 2), [0])) >= 85 for k in range(n)]
+    assert sum(full) >= 0.95 * n
+
+
+def test_prefilter_rejects_only_what_cannot_match():
+    rng = np.random.default_rng(4)
+    pairs = []
+    for _ in range(400):
+        x = rng.integers(0, 200, rng.integers(1, 150)).astype(np.uint32)
+        y = x.copy() if rng.random() < 0.5 else rng.integers(0, 200, rng.integers(1, 150)).astype(np.uint32)
+        y[rng.random(len(y)) < rng.random()] = 999
+        pairs.append((x, y))
+    kept = P.may_match(pairs, 0.8, 46)
+    found = [bool(P.verify(x, y, 0.8, 46)) for x, y in pairs]
+    assert not any(f and not k for f, k in zip(found, kept)) and any(found) and not all(kept)
