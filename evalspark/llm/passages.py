@@ -252,23 +252,46 @@ def with_keys(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, "key long, doc long, place long")
 
 
-def meetings(nodes: DataFrame, folder: str) -> DataFrame:
-    """The nodes whose key another document has too (cut), with ``lead`` and ``lead_place``, the first document's first.
+class Tables:
+    """Tables of one run, written as Parquet in the shared folder: a third of a checkpoint's size for rows of numbers."""
 
-    The nodes are written to ``folder`` first: they are made once and read twice. The leads are
-    cut, too, so that the join stands between plain shuffles and a frequent key's nodes can be split.
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, scratch_folder(spark, "passages"), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read back, so that it is computed once and its lineage ends here."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        drop_finished_shuffles(self.spark)
+        return self.spark.read.parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables whose rows nothing reads any more."""
+        for t in tables:
+            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:  # the files of one table: few
+                drop_folder(self.spark, path)
+
+
+def meetings(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """The nodes whose key another document has too, with ``lead``, the first such document.
+
+    The nodes are kept first: they are made once and read twice. The leads are kept, too,
+    so that the join stands between plain shuffles and a frequent key's nodes can be split.
     """
-    nodes.write.parquet(folder)
-    nodes = nodes.sparkSession.read.parquet(folder)
-    first = F.min(F.struct("doc", "place"))
-    leads = cut_lineage(nodes.groupBy("key").agg(first.alias("first"), F.max("doc").alias("last")).where(F.col("first.doc") < F.col("last"))
-                        .select("key", F.col("first.doc").alias("lead"), F.col("first.place").alias("lead_place")))
-    drop_finished_shuffles(nodes.sparkSession)
-    met = cut_lineage(with_keys(nodes, leads).join(leads.hint("shuffle_hash"), "key"))
-    drop_folder(nodes.sparkSession, folder)
+    nodes = tables.keep(nodes)
+    leads = tables.keep(nodes.groupBy("key").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"))
+                        .where(F.col("lead") < F.col("last")).select("key", "lead"))
+    met = tables.keep(with_keys(nodes, leads).join(leads.hint("shuffle_hash"), "key"))
+    tables.drop(nodes, leads)
     return met
 
 
+def lead_places(met: DataFrame) -> DataFrame:
+    """``(key, lead_place)``: the first node of each key's lead."""
+    return met.where(F.col("doc") == F.col("lead")).groupBy("key").agg(F.min("place").alias("lead_place"))
+
+
 def meeting_pairs(met: DataFrame, slack: int) -> DataFrame:
     """``(key, doc, lead, diagonal, s, e, lead_s, lead_e, place)``: later documents' nodes, both extents at most ``slack`` apart."""
     (c, left, right), (lead_c, lead_left, lead_right) = _part("place"), _part("lead_place")
@@ -278,12 +301,10 @@ def meeting_pairs(met: DataFrame, slack: int) -> DataFrame:
                     (lead_c + F.least(lead_right, right + slack) + 1).alias("lead_e"), "place"))
 
 
-def next_leads(met: DataFrame, turn: DataFrame, pending: DataFrame) -> DataFrame:
-    """``(key, lead, lead_place)``: of every key with a pending node, the document after ``turn(key, lead)`` (cut)."""
-    turn = turn.select("key", F.col("lead").alias("last")).join(pending.select("key").distinct(), "key", "left_semi")
-    return cut_lineage(met.select("key", "doc", "place").join(cut_lineage(turn), "key").where(F.col("doc") > F.col("last"))
-                       .groupBy("key").agg(F.min(F.struct("doc", "place")).alias("first"))
-                       .select("key", F.col("first.doc").alias("lead"), F.col("first.place").alias("lead_place")))
+def next_leads(met: DataFrame, turn: DataFrame) -> DataFrame:
+    """``(key, lead)``: the document after ``turn(key, lead)`` of every key that has one."""
+    return (met.select("key", "doc").join(turn.select("key", F.col("lead").alias("last")), "key").where(F.col("doc") > F.col("last"))
+            .groupBy("key").agg(F.min("doc").alias("lead")))
 
 
 def stretches(pairs: DataFrame, slack: int) -> DataFrame:
@@ -519,18 +540,6 @@ def covering(pairs: DataFrame, rows: DataFrame) -> DataFrame:
                     F.coalesce(F.exists("covered", lambda i: i["same"] & (i["offset"] == F.col("diagonal")) & holds(i)), F.lit(False)).alias("same")))
 
 
-def uncovered(met: DataFrame, sure: DataFrame) -> DataFrame:
-    """``(doc, place)``: the nodes of keys of which some node but the first document's is not sure.
-
-    A node that equals a lead's in all its extent is spoken for by that lead.
-    """
-    nodes = met.select("key", "doc", "place", (F.col("doc") == F.col("lead")).alias("first"))
-    state = nodes.join(sure.groupBy("key", "doc", "place").agg(F.max("same").alias("same")), ["key", "doc", "place"], "left")
-    unsure = state.where(~F.col("first") & F.col("same").isNull()).select("key").distinct()
-    return (state.where(F.col("first") | ~F.coalesce("same", F.lit(False))).join(cut_lineage(unsure), "key", "left_semi")
-            .select("doc", "place").distinct())
-
-
 def near_duplicate_passages(docs: DataFrame, similarity: float = SIMILARITY, least: int = MIN_SHINGLES) -> DataFrame:
     """Passages of ``docs(doc_id, text)`` that an earlier document has too.
 
@@ -541,41 +550,50 @@ def near_duplicate_passages(docs: DataFrame, similarity: float = SIMILARITY, lea
     the module says: RECALL against a document that leads one of their hashes, within LEADS leads.
     """
     docs = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    spark = docs.sparkSession
-    met = meetings(windows(docs, least), scratch_folder(spark, "compact-windows"))
-    drop_finished_shuffles(spark)
+    tables = Tables(docs.sparkSession)
+    met = meetings(windows(docs, least), tables)
 
-    pending, turn, tried, rows, judged = met, met.select("key", "lead").distinct(), None, None, []
+    turn, asked, tried, rows = None, met, None, None
+    sure, unsure = [], []  # nodes that are covered but no exact repeat; nodes that nothing covers
     for lead in range(LEADS):
-        if lead:
-            turn = next_leads(met, turn, pending)
-            pending = pending.join(turn, "key")
-        pairs = meeting_pairs(pending, SLACK)
+        places = tables.keep(lead_places(asked if turn is None else met.join(turn, "key")))
+        pairs = meeting_pairs(asked.join(places, "key"), SLACK)
         links = stretches(pairs, SLACK)
         if tried is not None:
             links = untried(links, tried)
-        links = cut_lineage(links.withColumn("link", F.monotonically_increasing_id()))
-        new = cut_lineage(compare(links, docs, similarity, least).where(F.col("a").isNotNull()).drop("link"))
-        links = links.drop("link")
-        tried = links if tried is None else tried.unionByName(links)
+        links = tables.keep(links.withColumn("link", F.monotonically_increasing_id()))
+        new = tables.keep(compare(links, docs, similarity, least).where(F.col("a").isNotNull()).drop("link"))
+        tried = links if tried is None else tried.unionByName(links, allowMissingColumns=True)
         rows = new if rows is None else rows.unionByName(new)
-        drop_finished_shuffles(spark)
-        here = cut_lineage(covering(pairs, rows))
-        judged.append(here.where(F.col("sure")).select("key", "doc", "place", "same"))
+        here = tables.keep(covering(pairs, rows))
+        sure.append(here.where(F.col("sure") & ~F.col("same")).select("key", "doc", "place"))
         pending = here.where(~F.col("sure")).select("key", "doc", "place")
-        drop_finished_shuffles(spark)
-        if pending.isEmpty():
+        keys = tables.keep(pending.select("key").distinct())
+        if turn is None:  # from here on only keys with a pending node matter
+            nodes = tables.keep(with_keys(met.select("key", "doc", "place"), keys).join(keys, "key", "left_semi"))
+            sure.append(tables.keep(with_keys(met.where(F.col("doc") == F.col("lead")).select("key", "doc", "place"), keys)))
+            tables.drop(met, places)
+            met, turn = nodes, sure[-1].select("key", F.col("doc").alias("lead")).distinct()
+        if lead + 1 == LEADS or keys.isEmpty():
+            unsure.append(pending)
             break
-    del links, new, pairs, here, tried
-    opened = cut_lineage(uncovered(met, union_all(judged)))
+        turn = tables.keep(next_leads(met, turn.join(keys, "key", "left_semi")))
+        asked = pending.join(turn, "key")
+        unsure.append(asked.where(F.col("doc") <= F.col("lead")).select("key", "doc", "place"))  # leads now
+    # A node that equals a lead's in all its extent is spoken for by that lead; the others of an uncovered key are opened.
+    left = union_all(unsure)
+    opened = tables.keep(union_all([left, *sure]).join(tables.keep(left.select("key").distinct()), "key", "left_semi").select("doc", "place").distinct())
+    rows = cut_lineage(rows)
     if not opened.isEmpty():
         # Windows with equal keys are equal in every shingle, and so are their unions along a diagonal.
-        del met, turn, pending, judged  # their checkpoints are done with, too
-        drop_finished_shuffles(spark)
-        same = stretches(meeting_pairs(meetings(whole_windows(opened, docs, least), scratch_folder(spark, "whole-windows")), 0), 0)
+        last = Tables(docs.sparkSession)
+        again = meetings(whole_windows(opened, docs, least), last)
+        same = stretches(meeting_pairs(again.join(last.keep(lead_places(again)), "key"), 0), 0)
         size = F.col("size").cast("long")
-        rows = rows.unionByName(same.withColumns({"a": F.lit(0).cast("long"), "b": size, "c": F.lit(0).cast("long"), "d": size,
-                                                  "similarity": F.lit(1.0)}))
+        rows = cut_lineage(rows.unionByName(same.withColumns({"a": F.lit(0).cast("long"), "b": size, "c": F.lit(0).cast("long"), "d": size,
+                                                              "similarity": F.lit(1.0)})))
+        drop_folder(docs.sparkSession, last.folder)
+    drop_folder(docs.sparkSession, tables.folder)
     extra = SHINGLE_WORDS - 1
     return rows.select(
         F.col("doc").alias("doc_id"), (F.col("start") + F.col("a")).alias("start_word"), (F.col("start") + F.col("b") + extra).alias("end_word"),
