@@ -20,12 +20,12 @@ kept if both sides hold MIN_SHINGLES shingles and their Jaccard similarity is at
 ``SIMILARITY``.
 
 The first document of a hash may share that shingle by chance or only a short line, or be
-one edit too far away. Nodes that no verified interval covers in all their extent
-therefore go on to the next document of their hash, and so up to ``LEADS`` documents. A near
+one edit too far away. Nodes whose position no verified interval holds therefore go on to
+the next document of their hash, and so up to ``LEADS`` documents. A near
 duplicate is lost only if, on every hash that it shares with its partner, LEADS documents
 stand before both that it does not match.
 
-What is then still not covered is opened: every window of MIN_SHINGLES shingles that a
+Hashes of nodes that are then not covered in all their extent are opened: every window of MIN_SHINGLES shingles that a
 node of theirs stands for gets the hash of all its shingles as key. Documents that share
 such a key share 50 words for certain, so any of them can lead, and no exactly repeated
 passage is lost however many documents lead by chance.
@@ -287,11 +287,6 @@ def meetings(nodes: DataFrame, tables: Tables) -> DataFrame:
     return met
 
 
-def lead_places(met: DataFrame) -> DataFrame:
-    """``(key, lead_place)``: the first node of each key's lead."""
-    return met.where(F.col("doc") == F.col("lead")).groupBy("key").agg(F.min("place").alias("lead_place"))
-
-
 def meeting_pairs(met: DataFrame, slack: int) -> DataFrame:
     """``(key, doc, lead, diagonal, s, e, lead_s, lead_e, place)``: later documents' nodes, both extents at most ``slack`` apart."""
     (c, left, right), (lead_c, lead_left, lead_right) = _part("place"), _part("lead_place")
@@ -523,21 +518,27 @@ def untried(links: DataFrame, tried: DataFrame) -> DataFrame:
 
 
 def covering(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(key, doc, place, sure, same)`` per node of ``pairs``: whether a verified interval with its lead holds its whole
-    extent, and whether that interval is an exact repeat on the node's own diagonal."""
+    """``(key, doc, place, found, sure, same)`` per node of ``pairs``: whether a verified interval with its lead holds its
+    position, its whole extent, and whether that is an exact repeat on the node's own diagonal."""
     offset = F.col("start") + F.col("a") - F.col("lead_start") - F.col("c")
     covered = (rows.groupBy("doc", "lead").agg(F.collect_set(F.struct(
         (F.col("start") + F.col("a")).alias("x"), (F.col("start") + F.col("b") - 1).alias("y"), offset.alias("offset"),
         ((F.col("similarity") == 1) & (F.col("b") - F.col("a") == F.col("d") - F.col("c"))).alias("same"))).alias("covered")))
     at, left, right = _part("place")
 
+    def near(i: Column) -> Column:
+        return F.abs(i["offset"] - F.col("diagonal")) <= SLACK
+
     def holds(i: Column) -> Column:
         return (i["x"] <= at - left) & (i["y"] >= at + right)
 
+    def any_of(test) -> Column:
+        return F.coalesce(F.exists("covered", test), F.lit(False))
+
     return (pairs.join(covered, ["doc", "lead"], "left")
-            .select("key", "doc", "place",
-                    F.coalesce(F.exists("covered", lambda i: (F.abs(i["offset"] - F.col("diagonal")) <= SLACK) & holds(i)), F.lit(False)).alias("sure"),
-                    F.coalesce(F.exists("covered", lambda i: i["same"] & (i["offset"] == F.col("diagonal")) & holds(i)), F.lit(False)).alias("same")))
+            .select("key", "doc", "place", any_of(lambda i: near(i) & (i["x"] <= at) & (i["y"] >= at)).alias("found"),
+                    any_of(lambda i: near(i) & holds(i)).alias("sure"),
+                    any_of(lambda i: i["same"] & (i["offset"] == F.col("diagonal")) & holds(i)).alias("same")))
 
 
 def near_duplicate_passages(docs: DataFrame, similarity: float = SIMILARITY, least: int = MIN_SHINGLES) -> DataFrame:
@@ -553,42 +554,45 @@ def near_duplicate_passages(docs: DataFrame, similarity: float = SIMILARITY, lea
     tables = Tables(docs.sparkSession)
     met = meetings(windows(docs, least), tables)
 
-    turn, asked, tried, rows = None, met, None, None
-    sure, unsure = [], []  # nodes that are covered but no exact repeat; nodes that nothing covers
+    nodes = met.select("key", "doc", "place")
+    turn = tables.keep(met.where(F.col("doc") == F.col("lead")).groupBy("key", "lead").agg(F.min("place").alias("lead_place")))
+    asked, tried, rows = nodes.join(turn, "key"), None, None
+    opened = []  # nodes that are no exact repeat of a lead in all their extent
+    unsure = []  # keys of nodes that are not covered in all their extent
     for lead in range(LEADS):
-        places = tables.keep(lead_places(asked if turn is None else met.join(turn, "key")))
-        pairs = meeting_pairs(asked.join(places, "key"), SLACK)
+        pairs = meeting_pairs(asked, SLACK)
         links = stretches(pairs, SLACK)
         if tried is not None:
             links = untried(links, tried)
         links = tables.keep(links.withColumn("link", F.monotonically_increasing_id()))
         new = tables.keep(compare(links, docs, similarity, least).where(F.col("a").isNotNull()).drop("link"))
-        tried = links if tried is None else tried.unionByName(links, allowMissingColumns=True)
+        tried = links if tried is None else tried.unionByName(links)
         rows = new if rows is None else rows.unionByName(new)
         here = tables.keep(covering(pairs, rows))
-        sure.append(here.where(F.col("sure") & ~F.col("same")).select("key", "doc", "place"))
-        pending = here.where(~F.col("sure")).select("key", "doc", "place")
+        opened.append(here.where(~F.col("same")).select("key", "doc", "place"))
+        unsure.append(here.where(~F.col("sure")).select("key"))
+        pending = here.where(~F.col("found")).select("key", "doc", "place")
         keys = tables.keep(pending.select("key").distinct())
-        if turn is None:  # from here on only keys with a pending node matter
-            nodes = tables.keep(with_keys(met.select("key", "doc", "place"), keys).join(keys, "key", "left_semi"))
-            sure.append(tables.keep(with_keys(met.where(F.col("doc") == F.col("lead")).select("key", "doc", "place"), keys)))
-            tables.drop(met, places)
-            met, turn = nodes, sure[-1].select("key", F.col("doc").alias("lead")).distinct()
         if lead + 1 == LEADS or keys.isEmpty():
-            unsure.append(pending)
             break
-        turn = tables.keep(next_leads(met, turn.join(keys, "key", "left_semi")))
+        if not lead:  # from here on only keys with a pending node matter
+            nodes = tables.keep(with_keys(nodes, keys).join(keys, "key", "left_semi"))
+        # Every join by key stands between tables, so that a frequent key's nodes can be split.
+        turn = tables.keep(turn.select("key", "lead").join(keys, "key", "left_semi"))
+        turn = tables.keep(next_leads(nodes, turn))
+        turn = tables.keep(nodes.join(turn, "key").where(F.col("doc") == F.col("lead")).groupBy("key", "lead").agg(F.min("place").alias("lead_place")))
         asked = pending.join(turn, "key")
-        unsure.append(asked.where(F.col("doc") <= F.col("lead")).select("key", "doc", "place"))  # leads now
+    keys = tables.keep(union_all(unsure).distinct())
+    opened.append(with_keys(met.where(F.col("doc") == F.col("lead")).select("key", "doc", "place"), keys))
     # A node that equals a lead's in all its extent is spoken for by that lead; the others of an uncovered key are opened.
-    left = union_all(unsure)
-    opened = tables.keep(union_all([left, *sure]).join(tables.keep(left.select("key").distinct()), "key", "left_semi").select("doc", "place").distinct())
+    opened = tables.keep(union_all(opened).join(keys, "key", "left_semi").select("doc", "place").distinct())
     rows = cut_lineage(rows)
     if not opened.isEmpty():
         # Windows with equal keys are equal in every shingle, and so are their unions along a diagonal.
         last = Tables(docs.sparkSession)
         again = meetings(whole_windows(opened, docs, least), last)
-        same = stretches(meeting_pairs(again.join(last.keep(lead_places(again)), "key"), 0), 0)
+        places = last.keep(again.where(F.col("doc") == F.col("lead")).groupBy("key").agg(F.min("place").alias("lead_place")))
+        same = stretches(meeting_pairs(again.join(places, "key"), 0), 0)
         size = F.col("size").cast("long")
         rows = cut_lineage(rows.unionByName(same.withColumns({"a": F.lit(0).cast("long"), "b": size, "c": F.lit(0).cast("long"), "d": size,
                                                               "similarity": F.lit(1.0)})))
