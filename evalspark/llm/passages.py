@@ -263,7 +263,6 @@ class Tables:
         self.n += 1
         path = f"{self.folder}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        drop_finished_shuffles(self.spark)
         return self.spark.read.parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:
@@ -284,6 +283,7 @@ def meetings(nodes: DataFrame, tables: Tables) -> DataFrame:
                         .where(F.col("lead") < F.col("last")).select("key", "lead"))
     met = tables.keep(with_keys(nodes, leads).join(leads.hint("shuffle_hash"), "key"))
     tables.drop(nodes, leads)
+    drop_finished_shuffles(tables.spark)
     return met
 
 
@@ -569,6 +569,7 @@ def near_duplicate_passages(docs: DataFrame, similarity: float = SIMILARITY, lea
         tried = links if tried is None else tried.unionByName(links)
         rows = new if rows is None else rows.unionByName(new)
         here = tables.keep(covering(pairs, rows))
+        drop_finished_shuffles(tables.spark)
         opened.append(here.where(~F.col("same")).select("key", "doc", "place"))
         unsure.append(here.where(~F.col("sure")).select("key"))
         pending = here.where(~F.col("found")).select("key", "doc", "place")
