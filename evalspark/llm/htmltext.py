@@ -1,14 +1,19 @@
 """Main-text extraction by tag-path ratios.
 
 A page is read once into blocks (runs of text between block-level tags) whose path is
-the tags from the root to the block. Per path, text length and punctuation are summed
-over its nodes: mean text length and mean punctuation are the two path ratios. Each is
-smoothed with the mean of the sibling paths (same parent), both are fused by their
+the tags from the root to the block. Per path, text length outside links and punctuation
+are summed over its nodes: mean text length and mean punctuation are the two path ratios.
+Each is smoothed with the mean of the sibling paths (same parent), both are fused by their
 product, and paths reaching a share of the fused values' spread are content. The smallest
-element that holds all content nodes then gives the page's text: all its blocks outside
-menus, forms, notices and other named page furniture, so short lines and headings of the
-article stay. An element that holds most of the page's fused ratios is not furniture,
-whatever its name. Where that element is the whole body, only the content nodes count.
+element that holds all content nodes is the article's place. Within it, content paths
+stay; of the others, paths that are mostly links go (with the headings over them), and so
+do text runs after the last content node, unless they stand in a paragraph, list, table or
+heading, so short lines and headings of the article stay. Where that place is the whole
+body, only the content nodes count.
+
+Class, id and role are a further signal: boxes named as comments, adverts, notices, menus
+and the like are furniture, unless such a box holds most of the page's fused ratios and
+what is outside all such boxes holds little (and no title that the box lacks).
 
 Reading is linear in the page, whatever its nesting: paths are interned numbers.
 """
@@ -29,7 +34,7 @@ SMOOTH = 0.3
 THRESHOLD = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select button object".split())
+RAW = frozenset("script style textarea title noscript iframe template svg select object".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table "
@@ -41,14 +46,18 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPES = frozenset("html body article section div table ul ol dl form main aside nav header footer blockquote".split())
 FURNITURE_TAGS = frozenset("head nav footer aside form menu dialog header fieldset".split())
-FURNITURE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
-    "footer hidden masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted "
-    "related respond share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
-PLACES = frozenset("area bar bottom box left links list main mobile page right section site top".split())
-#: Furniture by class or id: whole names, and two of them or one with its place, as cookie-notice and site-footer.
-FURNITURE_CLASSES = FURNITURE_NAMES | {f"{a}{mark}{b}" for a in FURNITURE_NAMES | PLACES for b in FURNITURE_NAMES | PLACES
-                                       for mark in "-_" if not PLACES.issuperset((a, b))}
+#: Furniture by a word of a class or id name, as in cookie-notice, post_comments and siteFooter.
+FURNITURE_WORDS = frozenset(
+    "ad ads adsbygoogle adslot adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
+    "commentlist consent cookie cookies discussion disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice "
+    "notices pagination popup promo promoted reactions related replies respond responses share sharing sidebar sidenav signup skip "
+    "social sponsor sponsored subscribe subnav toolbar topnav widget".split())
+#: Furniture only as the whole name, or as these two words beside each other.
+FURNITURE_WHOLE = frozenset("hidden tags".split())
+FURNITURE_PAIRS = frozenset([("author", "box"), ("author", "bio"), ("author", "card"), ("about", "author")])
+#: Words that turn a name round or make it one of the layout: no-sidebar, has-comments, with-ads.
+TURNS = frozenset("no not non has have with without is hide show disable free".split())
+NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Tags that are furniture whatever they hold.
 NEVER_CONTENT = frozenset("head nav menu footer".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog".split())
@@ -62,6 +71,14 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^
 PUNCTUATION = re.compile(r"[^\w\s]")
 
 
+def is_furniture_name(name: str) -> bool:
+    """Whether a class or id name says page furniture."""
+    words = [w.lower() for w in NAME_WORD.findall(name)]
+    if name.lower() in FURNITURE_WHOLE:
+        return True
+    return TURNS.isdisjoint(words) and (not FURNITURE_WORDS.isdisjoint(words) or not FURNITURE_PAIRS.isdisjoint(zip(words, words[1:])))
+
+
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     """Whether an element by its tag, class, id or role is page furniture, not article."""
     if tag in FURNITURE_TAGS and not (tag == "header" and in_article):
@@ -69,17 +86,20 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes or tag in ("html", "body"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), entities.unescape(a or b or c).lower().strip()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in FURNITURE_ROLES:
+        name, value = name.lower(), entities.unescape(a or b or c).strip()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and not FURNITURE_CLASSES.isdisjoint(value.split()):
+        if name in ("class", "id") and any(map(is_furniture_name, value.split())):
             return True
     return False
 
 
-def read_blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str]], list[int]]:
-    """((text, path, element) of each block outside furniture, (parent, tag) of each element, parent of each path)."""
-    blocks: list[tuple[str, int, int]] = []
+Block = tuple[str, int, int, int]  # text, path, element, characters of it in links
+
+
+def read_blocks(page: str) -> tuple[list[Block], list[tuple[int, str]], list[int]]:
+    """(blocks outside furniture, (parent, tag) of each element, parent of each path)."""
+    blocks: list[Block] = []
     marks: list[tuple[int, bool]] = []  # innermost furniture of each block, 0 for none; whether an article holds the block
     furnitures: list[tuple[int, str]] = [(0, "")]  # enclosing furniture element and tag of each
     elements: list[tuple[int, str]] = [(-1, "")]
@@ -88,15 +108,23 @@ def read_blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int,
     stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, path, element, innermost furniture
     open_tags: dict[str, int] = defaultdict(int)
     pieces: list[str] = []
+    in_links: list[str] = []
+
+    def add(text: str) -> None:
+        pieces.append(text)
+        if open_tags["a"] > 0:
+            in_links.append(text)
 
     def flush() -> None:
         text = " ".join("".join(pieces).split())
+        linked = len(" ".join("".join(in_links).split()))
         pieces.clear()
+        in_links.clear()
         if text:
             k = len(stack) - 1
             while stack[k][0] and stack[k][0] not in BLOCK:
                 k -= 1
-            blocks.append((text, stack[k][1], stack[k][2]))
+            blocks.append((text, stack[k][1], stack[k][2], linked))
             marks.append((stack[-1][3], open_tags["article"] > 0 or open_tags["main"] > 0))
 
     def pop() -> None:
@@ -117,12 +145,12 @@ def read_blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int,
         if m.start() < at:
             continue
         if m.start() > at:
-            pieces.append(entities.unescape(page[at:m.start()]))
+            add(entities.unescape(page[at:m.start()]))
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             if m[0].startswith("<![CDATA["):
-                pieces.append(m[0][9:].removesuffix("]]>"))
+                add(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1] or m[4]:
@@ -165,36 +193,42 @@ def read_blocks(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int,
         stack.append((tag, path, element, furniture))
         open_tags[tag] += 1
     if at < len(page):
-        pieces.append(entities.unescape(page[at:]))
+        add(entities.unescape(page[at:]))
     flush()
+    if 10 * sum(b[3] for b in blocks) > 9 * sum(len(b[0]) for b in blocks):  # a link left open over the page
+        blocks = [(*b[:3], 0) for b in blocks]
     if len(furnitures) > 1:
-        blocks = without_furniture(blocks, marks, furnitures, path_parent)
+        blocks = without_furniture(blocks, marks, furnitures, elements, path_parent)
     return blocks, elements, path_parent
 
 
-def without_furniture(blocks: list[tuple[str, int, int]], marks: list[tuple[int, bool]], furnitures: list[tuple[int, str]],
-                      path_parent: list[int]) -> list[tuple[str, int, int]]:
-    """``blocks`` outside furniture. What holds most of the page's fused ratios is none, unless the page has an article besides."""
+def without_furniture(blocks: list[Block], marks: list[tuple[int, bool]], furnitures: list[tuple[int, str]],
+                      elements: list[tuple[int, str]], path_parent: list[int]) -> list[Block]:
+    """``blocks`` outside furniture. What holds most of the page's fused ratios is none, unless there is an article or a title besides."""
     fused = fused_ratios(blocks, path_parent)
-    mass = [0.0] * len(furnitures)
+    mass, titles = [0.0] * len(furnitures), [0] * len(furnitures)
     article = 0.0  # of articles outside furniture
-    for (_, path, _), (furniture, in_article) in zip(blocks, marks):
+    for (_, path, element, _), (furniture, in_article) in zip(blocks, marks):
         mass[furniture] += fused[path]
+        titles[furniture] += elements[element][1] == "h1"
         article += fused[path] if in_article and not furniture else 0.0
+    clear_title = titles[0] > 0
     for k in range(len(furnitures) - 1, 0, -1):  # inner ones come after those that hold them
         mass[furnitures[k][0]] += mass[k]
+        titles[furnitures[k][0]] += titles[k]
     away = [False] * len(furnitures)
     for k, (outer, tag) in enumerate(furnitures[1:], 1):
-        kept = 2 * mass[k] > mass[0] and 4 * article < mass[0] and tag not in NEVER_CONTENT
+        kept = (2 * mass[k] > mass[0] and 4 * article < mass[0] and (titles[k] > 0 or not clear_title)
+                and tag not in NEVER_CONTENT)
         away[k] = away[outer] or not kept
     return [b for b, (furniture, _) in zip(blocks, marks) if not away[furniture]]
 
 
-def fused_ratios(blocks: list[tuple[str, int, int]], path_parent: list[int]) -> dict[int, float]:
-    """Smoothed, fused text and punctuation ratio of each path."""
+def fused_ratios(blocks: list[Block], path_parent: list[int]) -> dict[int, float]:
+    """Smoothed, fused ratio of text outside links and of punctuation of each path."""
     length, points, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for text, path, _ in blocks:
-        length[path] += len(text)
+    for text, path, _, linked in blocks:
+        length[path] += max(0, len(text) - linked)
         points[path] += len(PUNCTUATION.findall(text))
         nodes[path] += 1
     paths = list(nodes)
@@ -211,7 +245,7 @@ def fused_ratios(blocks: list[tuple[str, int, int]], path_parent: list[int]) ->
     return {p: by_text[p] * (1 + by_points[p]) for p in paths}
 
 
-def content_paths(blocks: list[tuple[str, int, int]], path_parent: list[int]) -> set[int]:
+def content_paths(blocks: list[Block], path_parent: list[int]) -> set[int]:
     """Paths whose smoothed, fused text and punctuation ratio reaches the threshold."""
     fused = fused_ratios(blocks, path_parent)
     if not fused:
@@ -221,6 +255,29 @@ def content_paths(blocks: list[tuple[str, int, int]], path_parent: list[int]) ->
     return {p for p in fused if fused[p] >= THRESHOLD * spread and fused[p] > 0} or {max(fused, key=fused.get)}
 
 
+def article_blocks(blocks: list[Block], elements: list[tuple[int, str]], chosen: set[int], place: list[int]) -> list[int]:
+    """Of the blocks at ``place``, the article's: without link lists and loose text after the last content node."""
+    length, linked = defaultdict(int), defaultdict(int)
+    for i in place:
+        length[blocks[i][1]] += len(blocks[i][0])
+        linked[blocks[i][1]] += blocks[i][3]
+    last = max((i for i in place if blocks[i][1] in chosen), default=-1)
+    stays = {}
+    for i in place:
+        _, path, element, _ = blocks[i]
+        tag = elements[element][1]
+        menu = 2 * linked[path] > length[path] and tag not in HEADINGS
+        stays[i] = path in chosen or not menu and (i < last or tag in LEAVES)
+    above = False  # whether only furniture follows up to the next heading or the end
+    for k in range(len(place) - 1, -1, -1):
+        tag = elements[blocks[place[k]][2]][1]
+        if tag not in HEADINGS:
+            above = not stays[place[k]] and (above or k + 1 == len(place) or elements[blocks[place[k + 1]][2]][1] in HEADINGS)
+        elif above and tag != "h1":
+            stays[place[k]] = False
+    return [i for i in place if stays[i]] or place
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: blocks joined by newlines; empty for null, empty and text-free pages."""
     if not page:
@@ -230,7 +287,7 @@ def main_text(page: str | None) -> str:
         return ""
     chosen = content_paths(blocks, path_parent)
     mass: dict[int, int] = defaultdict(int)  # selected text below each element
-    for text, path, element in blocks:
+    for text, path, element, _ in blocks:
         if path in chosen:
             mass[element] += len(text)
     total = sum(mass.values())
@@ -249,7 +306,8 @@ def main_text(page: str | None) -> str:
     for e in range(container + 1, len(elements)):
         inside[e] = inside[elements[e][0]]
     if articles or elements[container][1] not in ("", "html", "body"):
-        return "\n".join(text for text, _, element in blocks if inside[element])
+        place = [i for i, b in enumerate(blocks) if inside[b[2]]]
+        return "\n".join(blocks[i][0] for i in article_blocks(blocks, elements, chosen, place))
     picked = [i for i, b in enumerate(blocks) if b[1] in chosen]
     keep = set(picked)
     keep.update(i for i in range(max(0, picked[0] - 1), picked[-1]) if elements[blocks[i][2]][1] in HEADINGS)

@@ -64,6 +64,43 @@ def test_furniture_beside_an_article(box):
     assert H.main_text(page) == f"Title\n{LONG}\n{LONG} Two."
 
 
+NAMES = ["user-comments", "post-comments", "reader-comments", "commentlist", "responses", "discussion", "reactions", "gdpr", "ad-slot",
+         "ad-container", "adsbygoogle", "topnav", "col-sidebar", "related-posts", "share-buttons", "author-box", "siteFooter", "post_replies"]
+
+
+@pytest.mark.parametrize("open_,close", [("<main>", "</main>"), ('<div id="story">', "</div>"), ("<div><div>", "</div></div>")])
+@pytest.mark.parametrize("name", NAMES)
+def test_named_boxes_within_the_article(name, open_, close):
+    page = (f"<html><body>{open_}<h1>Title</h1><p>{LONG}</p><div class='x {name}'><p>{LONG}</p><p>Thanks, Bob!</p></div><p>{LONG} Two.</p>"
+            f"<p>{LONG} Three.</p><div id='{name}'>{LONG}</div>{close}</body></html>")
+    assert H.main_text(page) == f"Title\n{LONG}\n{LONG} Two.\n{LONG} Three."
+
+
+@pytest.mark.parametrize("box", [
+    "<div>&copy; 2024 The Paper, Inc.</div>", "<small>Copyright 2024, The Paper</small>", "<div>The Paper. All rights reserved.</div>",
+    "<div><a href=a>Home</a> <a href=b>Sport, news</a></div>", "<ul><li><a href=a>One more story</a><li><a href=b>And another, long story of the day</a></ul>",
+    "<h3>More</h3><ul><li><a href=a>One more story</a><li><a href=b>Another</a></ul>", "<div>Filed 3 May</div>"])
+@pytest.mark.parametrize("open_,close", [("<main>", "</main>"), ("<div>", "</div>"), ("<div class=wrap><section>", "</section></div>")])
+def test_unnamed_furniture_goes_by_its_path(box, open_, close):
+    page = f"<body>{open_}<h1>Title</h1><p>{LONG}</p><h2>Part</h2><p>{LONG} Two.</p><p>{LONG} Three.</p>{box}{close}</body>"
+    assert H.main_text(page) == f"Title\n{LONG}\nPart\n{LONG} Two.\n{LONG} Three."
+
+
+def test_parts_of_an_article_stay():
+    page = (f"<main><h1>Title</h1><div>By Ann</div><p>{LONG}</p><ul><li>One item</li><li>Two, see <a>there</a></li></ul><p>A <math><mi>x</mi></math> b</p>"
+            f"<p>Press <button>Go</button> now.</p><h2><a href=x>Part</a></h2><p>{LONG} Two.</p><p><a href=y>A linked line</a></p><blockquote>Quote</blockquote>"
+            "<p>Copyright law is old.</p></main>")
+    assert H.main_text(page) == (f"Title\nBy Ann\n{LONG}\nOne item\nTwo, see there\nA x b\nPress Go now.\nPart\n{LONG} Two.\nA linked line\nQuote\n"
+                                 "Copyright law is old.")
+    unclosed = f"<main><a href=x><h1>Title</h1><p>{LONG}</p><p>{LONG} Two.</p></main>"
+    assert H.main_text(unclosed) == f"Title\n{LONG}\n{LONG} Two."
+
+
+def test_long_comments_beside_a_short_article():
+    page = f"<body><div><h1>Title</h1><p>{LONG}</p><p>{LONG} Two.</p><div class='comments'>" + f"<p>{LONG}</p>" * 12 + "</div></div></body>"
+    assert H.main_text(page) == f"Title\n{LONG}\n{LONG} Two."
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), (" \n", ""), ("plain words", "plain words"), ("<p>a &lt;b&gt; &amp;amp; &eacute;&#233;&nbsp;x</p>", "a <b> &amp; éé x"),
     ("<p>one\n\t two<br>three</p><p>four", "one two three\nfour"), ("a < b <c", "a < b"), ("<script>x", ""), ("<p title='a>b'>x</p>", "x"),
