@@ -24,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op11_equal_average_clusters": centroids.oracle_sql(),
     "op12_posting_list_audit": filteraudit.oracle_sql(),
     "op2_url_char_models": urlfilter.oracle_sql(),
+    "op9_pruned_graph_near_dups": vectorgraph.oracle_sql(),
 }

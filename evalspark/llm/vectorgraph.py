@@ -2,19 +2,27 @@
 
 Vectors with equal label, dimension and components are one node with a multiplicity.
 Each label's nodes are dealt to overlapping cluster shards: a node lives at its nearest
-pivot and also joins every pivot that is nearly as near. A shard builds a flat graph:
-each node keeps robust-pruned links to its nearest shard members. The adjacency lists of
-a node from all its shards are united. Every node is then searched in its home shard: a
-greedy beam search over the united lists from the shard's medoid and the node itself,
-which widens to every node within the threshold of the query and to their neighbours
-until no further one is found. Every link is verified by its cosine in double precision.
+pivot and also joins every pivot that is nearly as near. A shard of more than BLOCK_ROWS
+nodes falls into row blocks by hash. A block builds a flat graph: each node keeps
+robust-pruned links to its nearest block members, and a hub's list is thinned to WIDTH.
+The adjacency lists of a node from all its shards are united. Every node is then searched
+in each block of its home shard: a greedy beam search over the united lists from the
+block's medoid and, in its own block, the node itself, which widens to every node within
+the threshold of the query and to their neighbours until no further one is found. Where
+the next widening would read more vectors than the block holds, the query is compared
+with the whole block instead. Every link is verified by its cosine in double precision.
 
 A sampled recall audit compares each label's link counts with brute force over its rows;
 where it falls short, shards overlap more and beams widen. Labels that still fall short
 after the last effort are compared exactly: with twice the threshold distance as margin a
-node's home shard holds all its neighbours, so each node is compared with its whole shard. Links are counted in the task; only
-stars of locally linked nodes leave it, so a large group never emits its pairs. Shards
-with many queries are searched by several tasks.
+node's home shard holds all its neighbours, so each node is compared with its whole shard.
+A label that the audit accepts may still lack up to 1 % of its links.
+
+Links are counted in the task, and counts of a node are summed over blocks; only stars of
+linked nodes leave a task, so a large group never emits its pairs. A task holds one block
+and at most about QUERY_ROWS queries, whatever the size of a cluster. A cluster of n nodes
+that are all alike still costs n x n / (BLOCK_ROWS x QUERY_ROWS) tasks: the count of each
+node's links asks for that.
 """
 
 from __future__ import annotations
@@ -30,11 +38,15 @@ from evalspark.llm.vectors import as_doubles, matrix, unit
 from evalspark.session import cut_lineage
 
 THRESHOLD = 0.98
-#: Nodes per pivot, and pivots per label at most; pivots more alike than APART are one.
-PER_PIVOT, MAX_PIVOTS, APART = 400, 512, 0.9
-#: Vectors that one task deals out, queries that one task searches.
-DEAL_ROWS, QUERY_ROWS = 8192, 1024
-DEGREE, CANDIDATES, ALPHA = 16, 32, 1.2
+#: Nodes of a block, and queries that one task searches in it.
+BLOCK_ROWS, QUERY_ROWS = 8192, 4096
+#: Nodes per pivot (a shard fills a block: more and smaller shards would copy a node to more of them),
+#: and pivots per label at most; pivots more alike than APART are one.
+PER_PIVOT, MAX_PIVOTS, APART = BLOCK_ROWS, 512, 0.9
+#: Vectors that one task deals out.
+DEAL_ROWS = 8192
+#: Out-links of a node, candidates for them, pruning factor, and the longest adjacency list in a block.
+DEGREE, CANDIDATES, ALPHA, WIDTH = 16, 32, 1.2, 64
 #: (overlap as a share of the threshold distance, beam width), tried until the audit is content, and the exact way after them.
 EFFORTS = ((0.75, 32), (1.25, 64), (2.0, 128))
 EXACT = (2.0, None)
@@ -42,7 +54,11 @@ EXACT = (2.0, None)
 AUDIT_ROWS, AUDIT_RECALL = 256, 0.99
 
 GROUP = ["label", "dim"]
-NODE = "label int, dim int, vec_id long, vec array<double>, copies long"
+
+
+def with_group(nodes: DataFrame, columns: str) -> str:
+    """Schema of the group's columns, the label in its own type, and ``columns``."""
+    return f"label {nodes.schema['label'].dataType.simpleString()}, dim int, {columns}"
 
 
 def collapse(vectors: DataFrame) -> DataFrame:
@@ -71,7 +87,7 @@ def choose_pivots(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
         return pd.DataFrame({"label": out["label"], "dim": out["dim"], "pivot": range(len(keep)), "vec": out["vec"]})
 
     return drawn.select("label", "dim", "vec_id", "vec", "u").groupBy(*GROUP).applyInPandas(
-        thin, "label int, dim int, pivot int, vec array<double>")
+        thin, with_group(nodes, "pivot int, vec array<double>"))
 
 
 def deal(nodes: DataFrame, sizes: DataFrame, pivots: DataFrame, overlap: float, threshold: float) -> DataFrame:
@@ -93,7 +109,7 @@ def deal(nodes: DataFrame, sizes: DataFrame, pivots: DataFrame, overlap: float,
         return out[["label", "dim", "pivot", "home", "vec_id", "vec", "copies"]]
 
     return (left.groupBy(*GROUP, "salt").cogroup(right.groupBy(*GROUP, "salt"))
-            .applyInPandas(place, "label int, dim int, pivot int, home boolean, vec_id long, vec array<double>, copies long"))
+            .applyInPandas(place, with_group(nodes, "pivot int, home boolean, vec_id long, vec array<double>, copies long")))
 
 
 def robust_prune(x: np.ndarray) -> np.ndarray:
@@ -127,22 +143,35 @@ def robust_prune(x: np.ndarray) -> np.ndarray:
     return links
 
 
-def shard_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Adjacency of one shard's graph: out-links and their reverse."""
-    ids = pdf["vec_id"].to_numpy()
-    links = robust_prune(unit(matrix(pdf["vec"])))
+def thinned(x: np.ndarray, node: int, nbrs: np.ndarray) -> np.ndarray:
+    """At most WIDTH of a node's neighbours: the nearest, and further ones evenly over the rest."""
+    if len(nbrs) <= WIDTH:
+        return nbrs
+    order = nbrs[np.argsort(-(x[nbrs] @ x[node]), kind="stable")]
+    far = order[WIDTH // 2:]
+    return np.r_[order[:WIDTH // 2], far[np.linspace(0, len(far) - 1, WIDTH - WIDTH // 2).astype(np.int64)]]
+
+
+def block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Adjacency lists of one block's graph: out-links and their reverse, a row a node."""
+    ids, x = pdf["vec_id"].to_numpy(), unit(matrix(pdf["vec"]))
+    links = robust_prune(x)
     row, col = np.nonzero(links >= 0)
     to = links[row, col]
-    return pd.DataFrame({"node": np.r_[ids[row], ids[to]], "nbr": np.r_[ids[to], ids[row]]})
+    key = np.unique(np.r_[row * len(x) + to, to * len(x) + row])
+    node, nbr = key // len(x), key % len(x)
+    lists = np.split(nbr, np.searchsorted(node, np.arange(1, len(x))))
+    return pd.DataFrame({"node": ids, "nbrs": [ids[thinned(x, i, v)] for i, v in enumerate(lists)]})
 
 
-def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, start: int, beam: int,
+def search(x: np.ndarray, adjacency: np.ndarray, member: np.ndarray, queries: np.ndarray, start: int, beam: int,
            threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, rows found within the threshold, itself included) by range-expanding greedy search.
+    """(query, members found within the threshold and itself) by range-expanding greedy search.
 
-    ``x`` unit vectors, ``adjacency`` [rows, width] padded with -1.
+    ``x`` unit vectors, ``adjacency`` [rows, width] padded with -1, ``member`` whether a row
+    belongs to the block or is a guest, a query from elsewhere that no list names.
     """
-    n = len(x)
+    n, width = adjacency.shape
     block = max(1, min(256, (64 << 20) // max(1, n)))
     for a in range(0, len(queries), block):
         q = queries[a:a + block]
@@ -186,6 +215,11 @@ def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, start: int
             if not len(r):
                 break
             done[r, c] = True
+            wide = np.bincount(r, minlength=len(q)) * width >= n  # reading on costs more than the whole block
+            if wide.any():
+                inside[wide] |= (x[q[wide]] @ x.T >= threshold) & member
+                done[wide] = True
+                r, c = r[~wide[r]], c[~wide[r]]
             for b in range(0, len(r), 20_000):
                 near = adjacency[c[b:b + 20_000]]
                 who = np.broadcast_to(r[b:b + 20_000, None], near.shape)
@@ -199,37 +233,28 @@ def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, start: int
             yield int(q[k]), np.flatnonzero(inside[k])
 
 
-def compare_all(x: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """As ``search``, by comparing every query with every row."""
+def compare_all(x: np.ndarray, member: np.ndarray, queries: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """As ``search``, by comparing every query with every member."""
     block = max(1, min(256, (8 << 20) // max(1, len(x))))
     for a in range(0, len(queries), block):
         q = queries[a:a + block]
-        near = x[q] @ x.T >= threshold
+        near = (x[q] @ x.T >= threshold) & member
         near[np.arange(len(q)), q] = True
         for k in range(len(q)):
             yield int(q[k]), np.flatnonzero(near[k])
 
 
-def _roots(n: int, pairs: list[tuple[int, np.ndarray]], ids: np.ndarray) -> np.ndarray:
-    """Smallest id reachable by the pairs, per row."""
-    up = np.argsort(np.argsort(ids, kind="stable"), kind="stable")  # rows by rank of id
-    parent = list(range(n))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for q, found in pairs:
-        top = find(int(up[q]))
-        for f in up[found].tolist():
-            other = find(f)
-            if other != top:
-                top, other = min(top, other), max(top, other)
-                parent[other] = top
-    by_rank = np.sort(ids)
-    return by_rank[[find(int(u)) for u in up]]
+def adjacency_of(x: np.ndarray, ids: np.ndarray, lists: pd.Series) -> np.ndarray:
+    """Neighbours of every row within the rows, thinned to WIDTH and padded with -1; ``ids`` ascend."""
+    rows = []
+    for i, v in enumerate(lists):
+        v = np.asarray(v if v is not None else [], np.int64)
+        at = np.minimum(np.searchsorted(ids, v), len(ids) - 1)
+        rows.append(thinned(x, i, at[ids[at] == v]))
+    adjacency = np.full((len(ids), max(1, max(map(len, rows)))), -1, np.int64)
+    for i, v in enumerate(rows):
+        adjacency[i, :len(v)] = v
+    return adjacency
 
 
 def link_nodes(nodes: DataFrame, overlap: float, beam: int | None, threshold: float) -> DataFrame:
@@ -241,44 +266,55 @@ def link_nodes(nodes: DataFrame, overlap: float, beam: int | None, threshold: fl
     pivots = choose_pivots(nodes, sizes)
     members = cut_lineage(deal(nodes, sizes, pivots, overlap, threshold))
     shard = [*GROUP, "pivot"]
+    shards = cut_lineage(members.groupBy(*shard).agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"), F.ceil(F.count_if("home") / QUERY_ROWS).alias("turns")))
+    placed = (members.join(shards, shard).withColumn("block", hash_bucket(F.col("blocks"), F.lit(7), F.col("vec_id")))
+              .withColumn("own_turn", hash_bucket(F.greatest("turns", F.lit(1)), F.lit(3), F.col("vec_id"))))
     if beam is None:
-        linked = members.withColumn("nbrs", F.lit(None).cast("array<long>"))
+        linked = placed.withColumn("nbrs", F.lit(None).cast("array<long>"))
     else:
-        united = (members.select(*shard, "vec_id", "vec").groupBy(*shard).applyInPandas(shard_links, "node long, nbr long")
-                  .groupBy("node").agg(F.collect_set("nbr").alias("nbrs")))  # shards x DEGREE and reverse links
-        linked = members.join(united, members["vec_id"] == united["node"], "left")
-    homes = members.where("home").groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("turns"))
-    tasks = (linked.join(homes, shard)
-             .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
-             .withColumn("asked", F.col("home") & (hash_bucket(F.col("turns"), F.lit(3), F.col("vec_id")) == F.col("turn")))
-             .select(*shard, "turn", "asked", "vec_id", "vec", "copies", "nbrs"))
+        united = (placed.select(*shard, "block", "vec_id", "vec").groupBy(*shard, "block")
+                  .applyInPandas(block_links, "node long, nbrs array<long>")
+                  .groupBy("node").agg(F.flatten(F.collect_list("nbrs")).alias("nbrs")))  # shards x WIDTH
+        linked = placed.join(united, placed["vec_id"] == united["node"], "left")
+    columns = [*shard, "block", "turn", "member", "asked", "vec_id", "vec", "copies", "nbrs"]
+    held = (linked.where(F.col("turns") > 0).withColumn("member", F.lit(True))
+            .withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+            .withColumn("asked", F.col("home") & (F.col("own_turn") == F.col("turn"))).select(*columns))
+    guests = (placed.where(F.col("home") & (F.col("blocks") > 1)).withColumn("member", F.lit(False)).withColumn("asked", F.lit(True))
+              .withColumn("nbrs", F.lit(None).cast("array<long>")).withColumn("turn", F.col("own_turn")).withColumn("own", F.col("block"))
+              .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+              .where(F.col("block") != F.col("own")).select(*columns))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", ignore_index=True)
-        ids, copies = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy()
+        ids, copies, member = pdf["vec_id"].to_numpy(), pdf["copies"].to_numpy(), pdf["member"].to_numpy(bool)
+        asked = np.flatnonzero(pdf["asked"].to_numpy(bool))
+        if not len(asked) or not member.any():
+            return pd.DataFrame({"label": [], "dim": [], "vec_id": [], "n": [], "other": []})
         x = unit(matrix(pdf["vec"]))
-        asked = np.flatnonzero(pdf["asked"].to_numpy())
         if beam is None:
-            found = list(compare_all(x, asked, threshold))
+            found = compare_all(x, member, asked, threshold)
         else:
-            lists = [np.asarray(v if v is not None else [], np.int64) for v in pdf["nbrs"]]
-            at = [np.minimum(np.searchsorted(ids, v), len(ids) - 1) for v in lists]
-            lists = [a[ids[a] == v] for a, v in zip(at, lists)]
-            adjacency = np.full((len(ids), max(1, max(map(len, lists)))), -1, np.int64)
-            for i, v in enumerate(lists):
-                adjacency[i, :len(v)] = v
-            medoid = int((x @ x.mean(axis=0)).argmax())
-            found = list(search(x, adjacency, asked, medoid, beam, threshold))
-        root = _roots(len(ids), found, ids)
-        touched = np.unique(np.concatenate([f for _, f in found] or [np.zeros(0, np.int64)])).astype(np.int64)
-        star = touched[ids[touched] != root[touched]]
-        counted = pd.DataFrame({"vec_id": ids[[q for q, _ in found]],
-                                "n_links": [int(copies[f].sum()) - 1 for _, f in found], "other": None})
-        out = pd.concat([counted, pd.DataFrame({"vec_id": ids[star], "n_links": None, "other": root[star]})]).astype(
-            {"n_links": "Int64", "other": "Int64"})
-        return out.assign(label=pdf["label"].iloc[0], dim=pdf["dim"].iloc[0])[["label", "dim", "vec_id", "n_links", "other"]]
-
-    return tasks.groupBy(*shard, "turn").applyInPandas(run, "label int, dim int, vec_id long, n_links long, other long")
+            inner = np.flatnonzero(member)
+            medoid = int(inner[(x[inner] @ x[inner].mean(axis=0)).argmax()])
+            found = search(x, adjacency_of(x, ids, pdf["nbrs"]), member, asked, medoid, beam, threshold)
+        root, searched, counts = ids.copy(), [], []  # root: smallest id of the links found so far
+        for q, near in found:
+            searched.append(ids[q])
+            counts.append(int(copies[near[member[near]]].sum()))
+            roots = np.unique(root[near])
+            if len(roots) > 1:
+                root[np.isin(root, roots)] = roots[0]
+        star = root != ids
+        out = pd.DataFrame({"vec_id": np.r_[np.array(searched, np.int64), ids[star]],
+                            "n": pd.array(counts + [None] * int(star.sum()), "Int64"),
+                            "other": pd.array([None] * len(counts) + root[star].tolist(), "Int64")})
+        return out.assign(label=pdf["label"].iloc[0], dim=pdf["dim"].iloc[0])[["label", "dim", "vec_id", "n", "other"]]
+
+    found = held.unionByName(guests).groupBy(*shard, "block", "turn").applyInPandas(run, with_group(nodes, "vec_id long, n long, other long"))
+    # a node's own copies are counted once, in its own block
+    return found.groupBy(*GROUP, "vec_id", "other").agg((F.sum("n") - 1).alias("n_links")).select(*GROUP, "vec_id", "n_links", "other")
 
 
 def short_labels(nodes: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
@@ -347,3 +383,26 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, efforts=EFFORTS
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: near-duplicate components of all embeddings."""
     return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL of the same result, by comparing all rows of a label."""
+    return f"""
+WITH RECURSIVE
+v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+good AS MATERIALIZED (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN e IF x <> 0]) > 0),
+pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= {threshold}),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+low AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+FROM v JOIN low ON v.vec_id = low.a LEFT JOIN n ON v.vec_id = n.a
+"""

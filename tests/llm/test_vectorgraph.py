@@ -1,5 +1,6 @@
 """Embedding near-duplicates: brute force on whole tables and planted groups, edge rows, shared components."""
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -50,6 +51,39 @@ def test_planted_groups_over_several_shards(spark, monkeypatch):
     compare(G.near_duplicates(df).collect(), np.arange(900), x, labels)
 
 
+@pytest.mark.parametrize("efforts", [G.EFFORTS, ()])
+def test_shards_in_blocks(spark, monkeypatch, efforts):
+    """One label whose crowded shard falls into several row blocks, by graph search and by the exact way; labels are strings."""
+    monkeypatch.setattr(G, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(G, "QUERY_ROWS", 40)
+    monkeypatch.setattr(G, "PER_PIVOT", 150)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(500, 24))
+    x[:200] = x[0] + rng.normal(size=(200, 24)) * 0.12
+    for a in range(200, 320, 3):
+        x[a + 1] = x[a] + rng.normal(size=24) * 0.05
+    x[400:420] = x[210]
+    labels = np.where(np.arange(500) < 450, "news", "web")
+    df = spark.createDataFrame([(int(i), v.tolist(), str(k)) for i, (v, k) in enumerate(zip(x, labels))],
+                               "vec_id long, embedding array<double>, label string")
+    compare(G.near_duplicates(df, efforts=efforts).collect(), np.arange(500), x, labels)
+
+
+def test_hub_lists_are_thinned():
+    rng = np.random.default_rng(2)
+    x = G.unit(rng.normal(size=(400, 8)))
+    kept = G.thinned(x, 0, np.arange(1, 400))
+    nearest = 1 + np.argsort(-(x[1:] @ x[0]), kind="stable")
+    assert len(set(kept.tolist())) == G.WIDTH and kept[:G.WIDTH // 2].tolist() == nearest[:G.WIDTH // 2].tolist()
+    assert G.thinned(x, 0, np.arange(1, 9)).tolist() == list(range(1, 9))
+
+
+def test_matches_its_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    want = duckdb.sql(G.oracle_sql().replace("FROM embeddings", f"FROM '{sf}/embeddings.parquet'")).fetchall()
+    assert sorted(map(tuple, G.query(spark, sf).collect())) == sorted(want)
+
+
 def test_jittered_clumps(spark):
     """Two clumps of nearly equal vectors at cosine 0.985 in one small label, beside a large label with few links."""
     rng = np.random.default_rng(4)
