@@ -54,14 +54,14 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, fp)`` for each row of ``docs(doc_id, text)``; ``fp`` is the signed long."""
+def with_fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, *keep: str) -> DataFrame:
+    """``(doc_id, fp)`` and the columns ``keep`` for each row of ``docs(doc_id, text)``; ``fp`` is the signed long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).astype(np.int64))
 
-    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"))
+    return short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), fp("text").alias("fp"), *keep)
 
 
 # --- anchors -----------------------------------------------------------------------
@@ -193,6 +193,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> D
     return near.unionByName(stars).distinct()
 
 
+def grouped(docs: DataFrame, shingle_words: int, max_bits: int, crowded: int, *keep: str) -> DataFrame:
+    """doc_id, fp, component (a fingerprint of it), component_id and the columns ``keep`` per row of ``docs``."""
+    prints = cut_lineage(with_fingerprints(docs, shingle_words, *keep))
+    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    parts = connected_components(links(fps.select("fp"), max_bits, crowded))
+    named = fps.join(parts, fps["fp"] == parts["node"], "left").select(
+        fps["fp"], "first_doc", F.coalesce("component", fps["fp"]).alias("component"))
+    smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    return prints.join(named.select("fp", "component").join(smallest, "component"), "fp")
+
+
 def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
                    crowded: int = CROWDED) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, fingerprint, component_id.
@@ -202,16 +213,27 @@ def simhash_groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits
     component; a component of null ids only has a null component_id. An empty table
     gives an empty result.
     """
-    prints = cut_lineage(with_fingerprints(docs, shingle_words))
-    fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    parts = connected_components(links(fps.select("fp"), max_bits, crowded))
-    named = fps.join(parts, fps["fp"] == parts["node"], "left").select(
-        fps["fp"], "first_doc", F.coalesce("component", fps["fp"]).alias("component"))
-    smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    return (prints.join(named.select("fp", "component").join(smallest, "component"), "fp")
+    return (grouped(docs, shingle_words, max_bits, crowded)
             .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
+def one_per_group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+                  crowded: int = CROWDED) -> DataFrame:
+    """One row of each SimHash group of ``docs(doc_id, text, ...)``, with all its columns.
+
+    The row with the smallest doc_id stays; rows without one come last. Of several texts
+    under that doc_id, or without any, the one with the least hash of the whole row stays,
+    so reruns agree. Rows that agree in every column count as one.
+    """
+    row = F.xxhash64(F.to_json(F.struct(*docs.columns)))
+    keyed = docs.withColumn("row_hash", row)
+    rows = grouped(keyed.select("doc_id", "text", "row_hash"), shingle_words, max_bits, crowded, "row_hash")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_hash")).alias("at"))
+    first = first.select(F.col("at.doc_id").alias("first_id"), F.col("at.row_hash").alias("first_hash"))
+    return (keyed.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")) & (F.col("row_hash") == F.col("first_hash")), "left_semi")
+            .dropDuplicates(["doc_id", "row_hash"]).select(*docs.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: near-duplicate groups of all documents."""
     return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -69,3 +69,13 @@ def test_edge_tables(spark, data):
     for name, stage in C.STAGES:
         docs = stage(spark, docs, None)
         assert docs.count() >= 0, name
+
+
+def test_null_and_repeated_ids(spark):
+    """Exact copies without ids are reduced, and texts that share an id are told apart."""
+    other = "quite different words stand in this one, none of them shared"
+    data = [(None, "x y z w v u", "en", "a", 5), (None, "x y z w v u", "en", "a", 5), (4, "x y z w v u", "en", "b", 5),
+            (4, other, "en", "b", 5), (None, "nobody else has this text of mine", "en", "a", 5)]
+    kept = C.near_dedup(spark, spark.createDataFrame(data, SCHEMA), None).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted(
+        [("4", "x y z w v u"), ("4", other), ("None", "nobody else has this text of mine")])

@@ -81,3 +81,15 @@ def test_edge_rows(spark, with_extras):
     assert by == sorted([(5, 3), (3, 3), (7, 7), (9, 7), (9, 7), (None, 7), (None, None)], key=str)
     assert {r["fingerprint"] for r in got if r["doc_id"] in (3, 5)} == {"0" * 16}
     assert S.simhash_groups(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_row_of_each_group(spark, with_extras):
+    """The smallest id stays, ids that repeat or are null included."""
+    a, b, c = "one two three four five six", "quite another text of some words here", "a third one that nobody else has at all"
+    rows = [(5, a), (3, a), (None, a), (None, b), (None, b), (7, c), (7, "the same id with a text of its own now"), (7, c), (None, None), (2, "")]
+    docs = with_extras(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = S.one_per_group(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(
+        [(3, a), (None, b), (7, c), (7, "the same id with a text of its own now"), (2, "")], key=str)
+    assert S.one_per_group(docs.where("false")).collect() == []
