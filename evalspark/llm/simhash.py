@@ -165,8 +165,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> D
     if max_bits not in (1, 2):
         raise ValueError("the anchor cover is laid out for 1 or 2 differing bits")
     # Placing makes about a hundred rows of one: spread the few bytes that go in over all
-    # tasks (a stated number is not coalesced to the small input's size).
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # tasks (a stated number is not coalesced to the small input's size, but Spark leaves
+    # out a repartition by a column that an aggregate has just dealt by: hence the hash).
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     homes = anchor_rows(fps, 0).select("anchor", "fp")
     residents = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("residents"))
     visits = cut_lineage(
