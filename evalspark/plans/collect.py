@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evalspark.constants import PLACEHOLDER_KEYS
 from evalspark.functions.projections import nonempty, normalize_to_100, split_task_nshot
 from evalspark.operators.dedup import newest_wins
-from evalspark.session import cut_lineage
+from evalspark.session import cut_lineage, measured_broadcasts
 from evalspark.operators.resolve import (
     canonical_shot,
     collapse_scoped_keys,
@@ -306,6 +306,11 @@ def collect_from_files(files: DataFrame, policy=None, parsers=DEFAULT_PARSERS, s
                        overrides=None, provenance: DataFrame | None = None) -> Collected:
     """The collect job over an already-scanned ``(path, mtime, text)`` table
     (a directory scan, a compacted file table, or one streaming micro-batch)."""
+    with measured_broadcasts(files.sparkSession):
+        return _collected(files, policy, parsers, scales, overrides, provenance)
+
+
+def _collected(files: DataFrame, policy, parsers, scales, overrides, provenance: DataFrame | None) -> Collected:
     spark = files.sparkSession
     ok, rejects = parse_results(files)
     # Parse once: every later branch reads this reliable checkpoint (shared
