@@ -105,8 +105,9 @@ class Collected:
                     for c, kind in (("path", "string"), ("task", "string"), ("n_present", "long"), ("n_expected", "long"))]
             return found.select(F.lit(finding).alias("finding"), *kept)
 
-        return (rows("zero rows", self.zero_row_files).unionByName(rows("no metric", self.metricless_tasks))
-                .unionByName(rows("children absent", self.placeholder_audit)))
+        with measured_broadcasts(self.rows.sparkSession):
+            return cut_lineage(rows("zero rows", self.zero_row_files).unionByName(rows("no metric", self.metricless_tasks))
+                               .unionByName(rows("children absent", self.placeholder_audit)))
 
 
 def _shot_lookup(shots: DataFrame) -> DataFrame:
