@@ -242,3 +242,47 @@ def test_prefilter_rejects_only_what_cannot_match():
     kept = P.may_match(pairs, 0.8, 46)
     found = [bool(P.verify(x, y, 0.8, 46)) for x, y in pairs]
     assert not any(f and not k for f, k in zip(found, kept)) and any(found) and not all(kept)
+
+
+def test_no_number_of_leads_hides_a_near_duplicate(spark):
+    """Twelve earlier documents each hold 46 words of one side of a near duplicate of 60 words, and lead its hashes."""
+    rng = random.Random(15)
+    n, early, late = 20, [], []
+    for k in range(n):
+        x = prose(rng, 60)
+        y = [*x[:29], f"edit{k}", *x[30:]]
+        for _ in range(6):
+            early += [prose(rng, 30) + x[:46] + prose(rng, 30), prose(rng, 30) + y[14:] + prose(rng, 30)]
+        late += [prose(rng, 40) + x + prose(rng, 20), prose(rng, 50) + y + prose(rng, 20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(early + late)]
+    got = {(r["first_doc_id"], r["doc_id"]) for r in P.near_duplicate_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum((12 * n + 2 * k, 12 * n + 2 * k + 1) in got for k in range(n)) >= 0.95 * n
+
+
+def test_a_document_that_no_lead_matches_is_an_earlier_occurrence(spark):
+    """Document 1 matches nothing before it; document 2 is held by document 0, and its link with document 1 is found too."""
+    rng = random.Random(16)
+    rows, n = [], 20
+    for k in range(n):
+        a, b, c = prose(rng, 60), prose(rng, 14), prose(rng, 14)
+        rows += [(3 * k, prose(rng, 20) + b + a), (3 * k + 1, a[14:] + c + prose(rng, 20)), (3 * k + 2, b + a + c)]
+    got = {(r["first_doc_id"], r["doc_id"]) for r in P.near_duplicate_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)).collect()}
+    assert all({(3 * k, 3 * k + 2), (3 * k + 1, 3 * k + 2)} <= got for k in range(n))
+
+
+def test_rare_shingles_meet_wherever_an_interval_may_be(spark):
+    """Nodes of one key, extents of 91 places, against all pairs by the number of common places."""
+    rng = random.Random(17)
+    bases, rows = [prose(rng, 95) for _ in range(4)], []
+    for i in range(40):
+        base = bases[i % 4]
+        rows.append((i, " ".join(w if rng.random() > 0.01 * (i % 9) else f"x{i}" for w in base)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    place = 45 << 24 | 45 << 12 | 45
+    nodes = spark.createDataFrame([(7, i, place) for i in range(40)], "key long, doc long, place long")
+    tables = P.Tables(spark)
+    near = P.near_meetings(nodes, nodes, docs, 37, tables)
+    got = {(r["lead"], r["doc"]) for r in P.pairs_of_the_rest(near, nodes.limit(0), tables).collect()}
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(91)} for _, t in rows]
+    want = {(i, j) for j in range(40) for i in range(j) if len(sets[i] & sets[j]) >= 37}
+    assert want <= got and all(i % 4 == j % 4 for i, j in got) and len(want) > 100
