@@ -15,7 +15,6 @@ tokens; chrF uses characters with whitespace removed and, for chrF++, word
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -24,7 +23,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Characters of both sides that are numbered together.
 _RUN_CHARS = 200_000
-_WS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
 def _overlaps(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> np.ndarray:
@@ -59,20 +57,78 @@ def _overlaps(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> np.n
     return out
 
 
+def _sorted_overlaps(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> np.ndarray:
+    """``_overlaps`` by one sort of each pair's n-grams of the highest order, packed into 64 bits.
+
+    Sorted n-grams have those of every lower order as runs of equal leading symbols. A
+    sequence's last n-grams are filled up with zeros. Where a run of pairs holds too many
+    symbols for the bits, its halves are counted, and a single such pair by ``_overlaps``.
+    """
+    pairs, sequences = len(hyp), [s for pair in zip(hyp, ref) for s in pair]
+    size = np.array([len(x) for x in sequences], np.int64)
+    symbol = np.concatenate(sequences) if size.sum() else np.zeros(0, np.int64)
+    if int(symbol.max(initial=0)) < 1 << 21 and int(symbol.min(initial=0)) >= 0:
+        known = np.zeros(int(symbol.max(initial=0)) + 1, bool)
+        known[symbol] = True
+        number = np.cumsum(known)
+    else:
+        kinds, symbol = np.unique(symbol, return_inverse=True)
+        number = np.arange(1, len(kinds) + 1)
+    bits = int(number[-1]).bit_length() if len(number) else 1
+    if bits * orders > 63:
+        if pairs == 1:
+            return _overlaps(hyp, ref, orders)
+        half = pairs // 2
+        return np.concatenate([_sorted_overlaps(hyp[:half], ref[:half], orders), _sorted_overlaps(hyp[half:], ref[half:], orders)])
+    # orders - 1 zeros behind every sequence
+    end = np.cumsum(size + orders - 1)
+    line = np.zeros(int(end[-1]) + orders if pairs else 0, np.uint64)
+    line[np.arange(len(symbol)) + np.repeat((orders - 1) * np.arange(2 * pairs), size)] = number[symbol]
+    gram = np.zeros(len(line) - orders + 1 if pairs else 0, np.uint64)
+    for k in range(orders):
+        gram = gram << np.uint64(bits) | line[k:len(gram) + k]
+    side = np.zeros(len(gram), np.uint64)
+    for a, b in zip(end[::2].tolist(), end[1::2].tolist()):
+        side[a:b] = 1
+    gram = gram << np.uint64(1) | side  # the lowest bit tells the sides
+    begin = np.r_[0, end[1::2]][:pairs].tolist()
+    for a, b in zip(begin, end[1::2].tolist()):
+        gram[a:b].sort()
+    gram = gram[:int(end[-1])] if pairs else gram
+    theirs, gram = (gram & np.uint64(1)).astype(bool), gram >> np.uint64(1)
+    owner = np.repeat(np.arange(pairs), np.diff(np.r_[0, end[1::2]]))
+    new_pair = np.zeros(len(gram), bool)
+    new_pair[[b for b in begin if b < len(gram)]] = True
+    inside = gram >> np.uint64(bits * (orders - 1)) > 0  # starts at a symbol, not at a zero
+    before = np.r_[0, np.cumsum(theirs)]
+    out = np.zeros((pairs, 3 * orders), np.int64)
+    for n in range(1, orders + 1):
+        lead = gram >> np.uint64(bits * (orders - n))
+        start = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]] | new_pair) if len(lead) else np.zeros(0, np.int64)
+        total, r = (np.diff(np.r_[x, last]) for x, last in ((start, len(lead)), (before[start], before[-1])))
+        whole = inside[start] & (lead[start] & np.uint64((1 << bits) - 1) > 0)
+        at, h, r = owner[start][whole], (total - r)[whole], r[whole]
+        for k, x in enumerate((np.minimum(h, r), h, r)):
+            out[:, 3 * n - 3 + k] = np.bincount(at, weights=x, minlength=pairs)
+    return out
+
+
 def _stats(hyp: list[str], ref: list[str], word_orders: int, char_orders: int) -> np.ndarray:
     """Counts per pair: character orders first, then word orders, then the word lengths."""
-    out = []
+    words, out = [t.encode("utf-8", "surrogatepass").split() for t in (*hyp, *ref)], []  # bytes are split at ASCII white space
     if char_orders:
-        def points(t: str) -> np.ndarray:
-            return np.frombuffer(_WS.sub("", t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        def points(row: list[bytes]) -> np.ndarray:
+            text = b"".join(row).decode("utf-8", "surrogatepass")
+            return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
 
-        out.append(_overlaps([points(t) for t in hyp], [points(t) for t in ref], char_orders))
+        sides = [points(row) for row in words]
+        out.append(_sorted_overlaps(sides[:len(hyp)], sides[len(hyp):], char_orders))
     if word_orders:
-        words = [[w for w in _WS.split(t) if w] for t in (*hyp, *ref)]
-        ids: dict[str, int] = {}
-        coded = [np.array([ids.setdefault(w, len(ids)) for w in row], np.int64) for row in words]
-        out.append(_overlaps(coded[:len(hyp)], coded[len(hyp):], word_orders))
-        size = np.array([len(w) for w in words], np.int64)
+        size = np.array([len(row) for row in words], np.int64)
+        flat = [w for row in words for w in row]
+        ids = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        coded = np.split(np.fromiter(map(ids.__getitem__, flat), np.int64, len(flat)), np.cumsum(size)[:-1])
+        out.append(_sorted_overlaps(coded[:len(hyp)], coded[len(hyp):], word_orders))
         out.append(np.stack([size[:len(hyp)], size[len(hyp):]], axis=1))
     return np.concatenate(out, axis=1)
 

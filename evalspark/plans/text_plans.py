@@ -269,13 +269,13 @@ def _mt_pairs(spark, sf):
     nxt = n.select("lang", (F.col("rn") - 1).alias("rn"), F.col("doc_id").alias("ref_id"))
     pairs = n.join(nxt, ["lang", "rn"]).select(F.col("doc_id").alias("pair_id"), "lang", "ref_id")
     text = docs.select("doc_id", "text")
-    out = (pairs.join(text.withColumnRenamed("doc_id", "pair_id"), "pair_id")
-           .join(text.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("reference")), "ref_id")
-           .select("pair_id", "lang", F.col("text").alias("hypothesis"), "reference"))
-    # the per-pair statistics are CPU-heavy: spread pairs over a fixed number
-    # of tasks (an explicit count is not coalesced away by AQE, which would
+    # the per-pair statistics are CPU-heavy: the last join spreads pairs over a fixed
+    # number of tasks (an explicit count is not coalesced away by AQE, which would
     # otherwise follow the single split of a small text file)
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pair_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hyp = pairs.join(text.withColumnRenamed("doc_id", "pair_id"), "pair_id").repartition(parts, "ref_id")
+    ref = text.select(F.col("doc_id").alias("ref_id"), F.col("text").alias("reference")).repartition(parts, "ref_id")
+    return hyp.join(ref, "ref_id").select("pair_id", "lang", F.col("text").alias("hypothesis"), "reference")
 
 
 _PAIRS_SQL = """
