@@ -286,3 +286,31 @@ def test_rare_shingles_meet_wherever_an_interval_may_be(spark):
     sets = [{tuple(t.split()[k:k + 5]) for k in range(91)} for _, t in rows]
     want = {(i, j) for j in range(40) for i in range(j) if len(sets[i] & sets[j]) >= 37}
     assert want <= got and all(i % 4 == j % 4 for i, j in got) and len(want) > 100
+
+
+def test_near_duplicates_that_earlier_documents_hold_are_linked(spark):
+    """Documents 0 and 1 hold the two ends of a passage of 100 words each, so every node of documents 2 and 3 is held; those two differ by one word."""
+    rng = random.Random(18)
+    rows, n = [], 20
+    for k in range(n):
+        x = prose(rng, 100)
+        y = [*x[:50], f"edit{k}", *x[51:]]
+        rows += [(4 * k, prose(rng, 20) + x[:75]), (4 * k + 1, x[25:] + prose(rng, 20)), (4 * k + 2, prose(rng, 30) + x), (4 * k + 3, prose(rng, 40) + y)]
+    got = {(r["first_doc_id"], r["doc_id"]) for r in P.near_duplicate_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], SCHEMA)).collect()}
+    assert sum((4 * k + 2, 4 * k + 3) in got for k in range(n)) >= 0.95 * n
+
+
+def test_equal_extents_are_one_class(spark):
+    """Copies under other words before and after share kinds; nodes of another extent or text do not."""
+    rng = random.Random(19)
+    x = prose(rng, 300)
+    rows = [(i, " ".join(prose(rng, 100) + x + prose(rng, 100))) for i in range(3)] + [(3, " ".join([*x[:150], "edit", *x[151:]]))]
+    nodes = [tuple(r) for r in P.windows(spark.createDataFrame(rows, SCHEMA)).collect()]
+    texts = [t.split() for _, t in rows]
+    content = {}
+    for _, doc, place, kind in nodes:
+        at, left, right = place >> 24, place >> 12 & 4095, place & 4095
+        content.setdefault(kind, set()).add((left, right, tuple(texts[doc][at - left:at + right + 5])))
+    assert all(len(c) == 1 for c in content.values()) and len(set.union(*content.values())) == len(content)
+    per_doc = [{kind for _, doc, _, kind in nodes if doc == i} for i in range(4)]
+    assert len(per_doc[0] & per_doc[1] & per_doc[2]) > 20 and per_doc[0] & per_doc[3] and per_doc[3] - per_doc[0]
