@@ -21,17 +21,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from evalspark.llm.common import short_batches, table
 
 #: Distinct pieces that a task remembers; then it starts afresh.
 CACHE_PIECES = 250_000
-#: Characters, and ids, that are handled at once.
-CHUNK_CHARS = 1_000_000
-CHUNK_IDS = 1_000_000
+#: Characters, and ids, that are handled at once: an id takes some hundred bytes while it is decoded.
+CHUNK_CHARS = 500_000
+CHUNK_IDS = 100_000
 #: Below this many pieces of one size class, plain Python is faster than numpy.
 FEW = 24
+#: Leaves of all trees that are merged in lockstep, of some hundred bytes each.
+LEAVES = 1 << 17
 
 NONE = np.int64(1) << 62
 
@@ -193,11 +196,11 @@ class Encoder:
         kind[whole >= 0] = -1
         for bits in np.unique(kind[kind >= 0]).tolist():
             members = np.flatnonzero(kind == bits)
-            step = max(FEW, (1 << 19) >> bits)
+            step = max(FEW, LEAVES >> bits)
             for k in range(0, len(members), step):
                 part = members[k:k + step]
                 rows.append(part)
-                if len(part) >= FEW:
+                if len(part) >= FEW and FEW << bits <= LEAVES:
                     n, got = merge_many([raw[i] for i in part.tolist()], self.vocab)
                 else:
                     each = [merge_one(raw[i], self.vocab, self.merged) for i in part.tolist()]
@@ -252,9 +255,9 @@ def encode_texts(docs: DataFrame, tokens: list[bytes], pattern: str, text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab.value, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for a, b in _runs(np.array([len(t) for t in texts], np.int64), CHUNK_CHARS):
-                n, got = encoder.encode(texts[a:b])
+            texts = pc.fill_null(batch.column(text), "")
+            for a, b in _runs(pc.utf8_length(texts).to_numpy(), CHUNK_CHARS):
+                n, got = encoder.encode(texts.slice(a, b - a).to_pylist())
                 column = pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), pa.array(got, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in keep] + [column], [*keep, ids])
 
@@ -270,7 +273,7 @@ def decode_ids(encoded: DataFrame, tokens: list[bytes], ids: str = "ids", out: s
         v = vocab.value
         for batch in batches:
             column = batch.column(batch.schema.names.index(ids))
-            sizes = np.array([len(x) if x is not None else 0 for x in column], np.int64)
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
             for a, b in _runs(sizes, CHUNK_IDS):
                 got = column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 raw = v.bytes[ragged(v.start[got], v.size[got])]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -54,6 +55,19 @@ def test_both_forms_of_the_tree_agree(tokens):
         at += n
 
 
+def test_learning_takes_little_memory(tokens, library):
+    encoder, rng = B.Encoder(B.Vocabulary(tokens), public_tokenizers.PATTERN), random.Random(2)
+    many = ["".join(rng.choices("theanrqz", k=16)) for _ in range(32_000)]
+    few = ["".join(rng.choices("qzxj", k=9_000)) for _ in range(24)]
+    for pieces, most in ((many, 32), (few, 8)):
+        tracemalloc.start()
+        encoder.learn(pieces)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most << 20
+    assert encoder.encode([few[0]])[1].tolist() == library.encode_ordinary(few[0])
+
+
 def test_digests(spark, library, with_extras):
     rows = [(i, t) for i, t in enumerate(texts())] + [(99, None), (None, "null id"), (3, "aa" * 700)]
     got = B.digests(with_extras(spark.createDataFrame(rows, SCHEMA).repartition(3)), PATH, public_tokenizers.PATTERN).collect()
