@@ -7,6 +7,9 @@ built (see README); every other tier is.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # --- FIXED VALUES (patterns must match the source task definitions) ----------
@@ -38,6 +41,19 @@ def _bind(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def _test(value: Column, use) -> Column:
+    """``use(value)``, a boolean, with ``value`` evaluated once per row.
+
+    Cheaper than :func:`_bind`, which works out its type from the whole expression for every row.
+    """
+    return F.forall(F.array(value), use)
+
+
+def _if(test: Column, then: Column, other: Column) -> Column:
+    """Within lambdas, which are interpreted, several times cheaper than a CASE."""
+    return F.call_function("if", test, then, other)
+
+
 def _step(token: Column) -> Column:
     return F.when(token.endswith("{"), 1).when(token == "}", -1).otherwise(0)
 
@@ -109,18 +125,19 @@ def clean_choice(pred) -> Column:
     return F.regexp_replace(F.regexp_replace(picked, r"\.+$", ""), r"/+$", "")
 
 
-_NUM = r"^\s*[-+]?([0-9](_?[0-9])*)?(\.([0-9](_?[0-9])*)?)?([eE][-+]?[0-9]+)?\s*$"
+_DIGITS = r"(?:[0-9]++(?:_[0-9]++)*+)?"  # single underscores between digits
+_NUM = rf"^\s*[-+]?{_DIGITS}(?:\.{_DIGITS})?(?:[eE][-+]?[0-9]+)?\s*$"
 
 
 def parse_digits(c) -> Column:
     """Number parsing of the grader: commas removed; plain float text, or a
     percentage (``12%``, ``12\\%``) divided by 100; else NULL. Guarded by an
     anchored pattern so Spark-only forms such as ``5d`` are not numbers."""
-    s = F.regexp_replace(_c(c), ",", "")
-    plain = F.when(s.rlike(_NUM) & s.rlike("[0-9]"), F.regexp_replace(s, "_", "").cast("double"))
+    s = F.replace(_c(c), F.lit(","), F.lit(""))
+    plain = F.when(s.rlike(_NUM) & s.rlike("[0-9]"), F.replace(s, F.lit("_"), F.lit("")).cast("double"))
     pct_body = F.regexp_replace(F.regexp_replace(s, "%$", ""), r"\\$", "")
     pct = F.when(s.endswith("%") & pct_body.rlike(_NUM) & pct_body.rlike("[0-9]"),
-                 F.regexp_replace(pct_body, "_", "").cast("double") / 100)
+                 F.replace(pct_body, F.lit("_"), F.lit("")).cast("double") / 100)
     return F.coalesce(plain, pct)
 
 
@@ -128,15 +145,15 @@ def _close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(1e-4) * F.greatest(F.abs(a), F.abs(b))
 
 
+_TUPLE = r"^[(\[].+[)\]]"
 MATRIX = r"(?s)^\\begin\{[pb]matrix\}.*\\end\{[pb]matrix\}$"
 ROW_END = r"\\\\"  # two backslashes
 
 
-def _matrix_body(text: Column) -> Column:
-    """What stands between begin and end of a matrix, without blank rows."""
+def _matrix_rows(text: Column) -> Column:
+    """The cells of every row of a matrix that is not blank."""
     body = F.substring(text, F.lit(len(r"\begin{pmatrix}") + 1), F.length(text) - len(r"\begin{pmatrix}\end{pmatrix}"))
-    body = F.regexp_replace(body, rf"^(\s*{ROW_END})+|({ROW_END}\s*)+$", "")
-    return F.regexp_replace(body, rf"{ROW_END}(\s*{ROW_END})+", ROW_END)
+    return F.transform(F.filter(F.split(body, ROW_END), lambda r: strip_ws(r) != ""), lambda r: F.split(r, "&"))
 
 
 def _as_pmatrix(text: Column) -> Column:
@@ -146,23 +163,29 @@ def _as_pmatrix(text: Column) -> Column:
         F.lit(r"\begin{pmatrix}"), F.replace(F.regexp_replace(m, r"^[{}]+|[{}]+$", ""), F.lit(","), F.lit("\\")), F.lit(r"\end{pmatrix}"))), ", ")
 
 
-def _elements(pred: Column, gold: Column) -> Column:
-    """The two sides' elements as ``struct(p, g)`` of arrays that must be equal pairwise; NULL if they have none or another form.
+def _pair(p: Column, g: Column) -> Column:
+    return F.struct(p.alias("p"), g.alias("g"))
+
+
+def _all_same(p: Column, g: Column) -> Column:
+    return (F.size(p) == F.size(g)) & F.forall(F.zip_with(p, g, _pair), _same)
+
+
+def _compound(m: Column) -> Column:
+    """Whether the elements of the two sides are equal pairwise; NULL if they have none or another form.
 
     Matrices of one shape: their cells. Tuples and intervals with brackets and commas
     in the same places: what stands between those, so a comma inside an inner bracket
-    parts that bracket's elements and no others. ``x = v`` and ``v``: the value, on either side.
+    parts that bracket's elements and no others.
     """
-    tup = r"^[(\[].+[)\]]"
-
-    def pair(p: Column, g: Column) -> Column:
-        return F.struct(p.alias("p"), g.alias("g"))
+    none = F.lit(None).cast("boolean")
 
-    def rows(body: Column) -> Column:
-        return F.transform(F.split(body, ROW_END), lambda r: F.size(F.split(r, "&")))
+    def both(start: str) -> Column:
+        return m["p"].startswith(start) & m["g"].startswith(start)
 
-    def cells(m: Column) -> Column:
-        return F.when(rows(m["p"]) == rows(m["g"]), pair(*(F.split(m[k], f"&|{ROW_END}") for k in ("p", "g"))))
+    def cells(r: Column) -> Column:
+        sizes = (F.transform(r[k], F.size) for k in ("p", "g"))
+        return _if(operator.eq(*sizes), _all_same(F.flatten(r["p"]), F.flatten(r["g"])), none)
 
     def tight(text: Column) -> Column:
         return F.regexp_replace(text, r"\s*([()\[\],])\s*", "$1")
@@ -170,66 +193,70 @@ def _elements(pred: Column, gold: Column) -> Column:
     def frame(text: Column) -> Column:
         return F.translate(F.regexp_replace(text, r"[^()\[\],]+", "x"), "[]", "()")
 
-    def leaves(m: Column) -> Column:
-        return F.when(frame(m["p"]) == frame(m["g"]), pair(*(F.regexp_extract_all(m[k], F.lit(r"[^()\[\],]+"), 0) for k in ("p", "g"))))
+    def leaves(t: Column) -> Column:
+        return _if(frame(t["p"]) == frame(t["g"]), _all_same(*(F.regexp_extract_all(t[k], F.lit(r"[^()\[\],]+"), 0) for k in ("p", "g"))), none)
+
+    matrices = both(r"\begin{") & m["p"].rlike(MATRIX) & m["g"].rlike(MATRIX)
+    return _if(matrices, _test(_pair(_matrix_rows(m["p"]), _matrix_rows(m["g"])), cells),
+               _if(m["p"].rlike(_TUPLE) & m["g"].rlike(_TUPLE), _test(_pair(tight(m["p"]), tight(m["g"])), leaves), none))
+
+
+def _valued(m: Column) -> Column:
+    """``x = v`` against ``v``, on either side: whether the values or their elements are equal; NULL for other forms."""
+    none = F.lit(None).cast("boolean")
 
     def side(text: Column) -> Column:
         lhs = F.substring_index(text, "=", 1)
         return F.struct((F.size(F.split(text, "=")) == 2).alias("one"), (F.length(strip_ws(lhs)) <= 2).alias("short"),
                         F.substring(text, F.length(lhs) + 2, F.length(text)).alias("value"))
 
-    def whole(m: Column) -> Column:
-        return F.coalesce(F.when(m["p"].rlike(MATRIX) & m["g"].rlike(MATRIX), _bind(pair(_matrix_body(m["p"]), _matrix_body(m["g"])), cells)),
-                          F.when(m["p"].rlike(tup) & m["g"].rlike(tup), _bind(pair(tight(m["p"]), tight(m["g"])), leaves)))
+    def value(text: Column, make) -> Column:
+        return _test(side(text), lambda x: _if(
+            x["one"] & x["short"], _test(make(strip_ws(x["value"])), lambda v: F.coalesce(_compound(v), _same(v))), none))
 
-    def valued(text: Column, other: Column, make) -> Column:
-        """``make(v)`` for ``x = v`` where the other side has no equation."""
-        is_one = text.contains("=") & ~other.contains("=") & ~text.rlike(tup)
-        return F.when(is_one, _bind(side(text), lambda x: F.when(x["one"] & x["short"], make(strip_ws(x["value"])))))
+    def is_one(text: Column, other: Column) -> Column:
+        return text.contains("=") & ~other.contains("=") & ~text.rlike(_TUPLE)
 
-    sides = F.coalesce(valued(pred, gold, lambda v: pair(v, gold)), valued(gold, pred, lambda v: pair(pred, v)))
-    value = _bind(sides, lambda m: F.when(m.isNotNull(), F.coalesce(whole(m), pair(F.array(m["p"]), F.array(m["g"])))))
-    return F.coalesce(_bind(pair(pred, gold), whole), value)
+    return _if(is_one(m["p"], m["g"]), value(m["p"], lambda v: _pair(v, m["g"])),
+               _if(is_one(m["g"], m["p"]), value(m["g"], lambda v: _pair(m["p"], v)), none))
 
 
-def _flat_tiers(pred: Column, gold: Column, p_trim: Column, g_trim: Column, pn: Column, gn: Column, g_sym: Column) -> Column:
-    """A CASE of the tiers that look at no element; without an ELSE."""
-    numeric_eq = _close(pn, gn / 100) | _close(pn, gn) | _close(pn, gn * 100)
+def _flat_tiers(pred: Column, gold: Column, p_trim: Column, g_trim: Column, pn: Column, gn: Column, g_sym: Column, rest: Column, choose) -> Column:
+    """The tiers that look at no element, by ``choose(test, then, other)``; ``rest`` where none decides."""
+    def close(n: Column) -> Column:
+        return F.coalesce(_close(n["p"], n["g"] / 100) | _close(n["p"], n["g"]) | _close(n["p"], n["g"] * 100), F.lit(False))
+
     # bracket-stripped comparison
     bracketed = ((p_trim.startswith("[") & p_trim.endswith("]") & ~g_sym.startswith("(")) |
                  (p_trim.startswith("(") & p_trim.endswith(")") & ~g_sym.startswith("[")))
-    ps = F.when(bracketed, F.regexp_replace(p_trim, r"^[\[\]()]+|[\[\]()]+$", "")).otherwise(p_trim)
-    gs = F.when(bracketed, F.regexp_replace(g_sym, r"^[\[\]()]+|[\[\]()]+$", "")).otherwise(g_sym)
-    ps = F.regexp_replace(ps, r"[{}()]", "")
-    gs = F.regexp_replace(gs, r"[{}()]", "")
-    return (F.when(pred.isNull() | gold.isNull(), F.lit(False))
-            .when(F.lower(p_trim) == F.lower(g_trim), F.lit(True))
-            .when(gold.isin("A", "B", "C", "D", "E") & (clean_choice(pred) == gold), F.lit(True))
-            .when(pn.isNotNull() & gn.isNotNull(), F.coalesce(numeric_eq, F.lit(False)))
-            .when(pred == "", F.lit(False))
-            .when(F.lower(ps) == F.lower(gs), F.lit(True)))
-
-
-def _equal_tiers(pred: Column, gold: Column, p_trim: Column | None = None,
-                 g_trim: Column | None = None, pn: Column | None = None, gn: Column | None = None) -> Column:
-    p_trim = strip_ws(pred) if p_trim is None else p_trim
-    g_trim = strip_ws(gold) if g_trim is None else g_trim
-    pn = parse_digits(pred) if pn is None else pn
-    gn = parse_digits(gold) if gn is None else gn
-    g_sym = F.when(p_trim.contains("pmatrix") & ~g_trim.contains("matrix"), _as_pmatrix(g_trim)).otherwise(g_trim)
+    ps, gs = (reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), "{}()", choose(bracketed, F.btrim(x, F.lit("[]()")), x))
+              for x in (p_trim, g_sym))
+    tiers = [(pred.isNull() | gold.isNull(), F.lit(False)),
+             (F.lower(p_trim) == F.lower(g_trim), F.lit(True)),
+             (gold.isin("A", "B", "C", "D", "E") & (clean_choice(pred) == gold), F.lit(True)),
+             (pn.isNotNull() & gn.isNotNull(), _test(_pair(pn, gn), close)),
+             (pred == "", F.lit(False)),
+             (F.lower(ps) == F.lower(gs), F.lit(True))]
+    return reduce(lambda other, tier: choose(*tier, other), reversed(tiers), rest)
 
-    def ready(texts: Column) -> Column:
-        return F.transform(texts, lambda x: F.struct(x.alias("raw"), strip_ws(x).alias("t"), parse_digits(x).alias("n")))
 
-    def same(p: Column, g: Column) -> Column:
-        return _flat_tiers(p["raw"], g["raw"], p["t"], g["t"], p["n"], g["n"], g["t"]).otherwise(F.lit(False))
+def _same(x: Column) -> Column:
+    """Equality of two elements, which have no elements themselves; numbers are parsed only where the texts differ."""
+    def differing(t: Column) -> Column:
+        numbers = _pair(parse_digits(t["p"]), parse_digits(t["g"]))
+        return _test(numbers, lambda n: _flat_tiers(t["p"], t["g"], t["pt"], t["gt"], n["p"], n["g"], t["gt"], F.lit(False), _if))
 
-    def all_same(e: Column) -> Column:
-        return (F.size(e["p"]) == F.size(e["g"])) & F.forall(F.zip_with(ready(e["p"]), ready(e["g"]), same), lambda x: x)
+    texts = F.struct(x["p"].alias("p"), x["g"].alias("g"), strip_ws(x["p"]).alias("pt"), strip_ws(x["g"]).alias("gt"))
+    return _test(texts, lambda t: _if(t["pt"] == t["gt"], F.lit(True), differing(t)))
 
-    # Only texts that have elements at all get this far down the CASE.
-    inner = F.when(p_trim.rlike(r"^[(\[]|=|^\\begin") | g_trim.contains("="), _bind(_elements(p_trim, g_sym), all_same))
-    return (_flat_tiers(pred, gold, p_trim, g_trim, pn, gn, g_sym).when(inner, F.lit(True)).otherwise(F.lit(False)))
+
+def _equal_tiers(pred: Column, gold: Column, p_trim: Column, g_trim: Column) -> Column:
+    g_sym = F.when(p_trim.contains("pmatrix") & ~g_trim.contains("matrix"), _as_pmatrix(g_trim)).otherwise(g_trim)
+    # Only texts that have elements at all get this far down.
+    inner = F.when(p_trim.rlike(r"^[(\[]|=|^\\begin") | g_trim.contains("="),
+                   _test(_pair(p_trim, g_sym), lambda m: F.coalesce(_compound(m), _valued(m))))
+    return _flat_tiers(pred, gold, p_trim, g_trim, parse_digits(pred), parse_digits(gold), g_sym, F.coalesce(inner, F.lit(False)),
+                       lambda test, then, other: F.when(test, then).otherwise(other))
 
 
 def answers_equal(pred, gold) -> Column:
@@ -240,16 +267,14 @@ def answers_equal(pred, gold) -> Column:
     relative 1e-4); bracket-stripped equality; element-wise tuples, nested ones in place;
     matrices cell by cell (``pmatrix`` and ``bmatrix`` alike); ``x = v`` against ``v`` on either side.
     """
-    return _equal_tiers(_c(pred), _c(gold))
+    return _equal_tiers(_c(pred), _c(gold), strip_ws(pred), strip_ws(gold))
 
 
 def answer_match(df, pred: str, gold: str, out: str = "exact_match"):
-    """SC-5 on a DataFrame: like :func:`answers_equal`, but the trimmed texts and
-    parsed numbers are projected once as columns, so the tier cascade reads
-    them instead of re-running the regexes in every branch."""
-    staged = df.select("*", strip_ws(F.col(pred)).alias("_pt"), strip_ws(F.col(gold)).alias("_gt"),
-                       parse_digits(F.col(pred)).alias("_pn"), parse_digits(F.col(gold)).alias("_gn"))
-    eq = _equal_tiers(F.col(pred), F.col(gold), F.col("_pt"), F.col("_gt"), F.col("_pn"), F.col("_gn"))
+    """SC-5 on a DataFrame: like :func:`answers_equal`, but the trimmed texts are projected
+    once as columns, so the tier cascade reads them instead of trimming in every branch."""
+    staged = df.select("*", strip_ws(pred).alias("_pt"), strip_ws(gold).alias("_gt"))
+    eq = _equal_tiers(F.col(pred), F.col(gold), F.col("_pt"), F.col("_gt"))
     return staged.select(*[F.col(c) for c in df.columns], eq.alias(out))
 
 

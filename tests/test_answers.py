@@ -55,6 +55,15 @@ def test_elements_of_tuples_matrices_and_equations(spark):
         assert {r.i: r.e for r in out.collect()} == {i: e for i, (_, _, e) in enumerate(cases)}
 
 
+def test_elements_are_compared_without_repeated_type_checks(spark):
+    """Blank rows are no rows, and no lambda's result is taken out of an array, which costs its whole type for every row."""
+    pm = "\\begin{pmatrix}%s\\end{pmatrix}"
+    rows = [(pm % "(\\\\ \\\\", pm % " \\\\ \\\\", False), (pm % " \\\\ ", pm % "", True), (pm % "1\\\\", pm % "\\\\ \\\\1.0", True), ("1_0", "10", True), ("1__0", "10", False), (None, "1", False)]
+    out = answer_match(spark.createDataFrame(rows, "p string, g string, want boolean"), "p", "g", "e")
+    assert [r["e"] for r in out.collect()] == [want for _, _, want in rows]
+    assert "transform(array(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_boxed_fast_paths_equal_the_fold(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choices(["boxed{", "{", "}", "a", " ", "\\", "boxed", "x+1"], k=rng.randint(0, 14))) for _ in range(400)]
