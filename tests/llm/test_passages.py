@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.errors import AnalysisException
 
 from evalspark.llm import passages as P
 
@@ -314,3 +315,32 @@ def test_equal_extents_are_one_class(spark):
     assert all(len(c) == 1 for c in content.values()) and len(set.union(*content.values())) == len(content)
     per_doc = [{kind for _, doc, _, kind in nodes if doc == i} for i in range(4)]
     assert len(per_doc[0] & per_doc[1] & per_doc[2]) > 20 and per_doc[0] & per_doc[3] and per_doc[3] - per_doc[0]
+
+
+def test_nodes_are_joined_without_lone_rows_and_after_the_first_table_is_gone(spark, monkeypatch):
+    rng, seen = random.Random(9), []
+    base = prose(rng, 400)
+    rows = []
+    for i in range(12):
+        words = list(base)
+        for at in range(i % 7, 400, 23):
+            words[at] = f"edit{i}x{at}"
+        rows.append((i, " ".join(words)))
+    joined, paired = P.node_pairs, P.near_meetings
+
+    def node_pairs(met):
+        seen.append(met.groupBy("at").agg(F.countDistinct("doc").alias("n")).where("n < 2").count())
+        return joined(met)
+
+    def near_meetings(nodes, pending, docs, need, tables):
+        for n in range(1, tables.n + 1):
+            try:
+                seen.append(int("kind" in spark.read.parquet(f"{tables.folder}/{n}").columns))
+            except AnalysisException:
+                pass  # dropped
+        return paired(nodes, pending, docs, need, tables)
+
+    monkeypatch.setattr(P, "node_pairs", node_pairs)
+    monkeypatch.setattr(P, "near_meetings", near_meetings)
+    P.near_duplicate_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert seen and not any(seen)
