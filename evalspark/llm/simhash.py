@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evalspark.llm.common import connected_components, short_batches, table
-from evalspark.session import cut_lineage
+from evalspark.session import cut_lineage, measured_broadcasts
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -170,9 +170,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> D
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     homes = anchor_rows(fps, 0).select("anchor", "fp")
     residents = homes.groupBy("anchor").agg(F.count(F.lit(1)).alias("residents"))
-    visits = cut_lineage(
-        anchor_rows(fps, max_bits).join(residents, "anchor")
-        .where((F.col("excess") > 0) | (F.col("residents") > 1)))
+    # Spark sizes the hundred rows made of one as if they were one: only what a shuffle measured is broadcast.
+    with measured_broadcasts(fps.sparkSession):
+        visits = cut_lineage(
+            anchor_rows(fps, max_bits).join(residents, "anchor")
+            .where((F.col("excess") > 0) | (F.col("residents") > 1)))
     near = (visits.where(F.col("residents") <= crowded)
             .join(homes.withColumnRenamed("fp", "home"), "anchor")
             .where(F.col("fp") != F.col("home"))
@@ -198,7 +200,8 @@ def grouped(docs: DataFrame, shingle_words: int, max_bits: int, crowded: int, *k
     """doc_id, fp, component (a fingerprint of it), component_id and the columns ``keep`` per row of ``docs``."""
     prints = cut_lineage(with_fingerprints(docs, shingle_words, *keep))
     fps = prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    parts = connected_components(links(fps.select("fp"), max_bits, crowded))
+    with measured_broadcasts(docs.sparkSession):
+        parts = connected_components(links(fps.select("fp"), max_bits, crowded))
     named = fps.join(parts, fps["fp"] == parts["node"], "left").select(
         fps["fp"], "first_doc", F.coalesce("component", fps["fp"]).alias("component"))
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))

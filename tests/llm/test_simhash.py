@@ -93,3 +93,17 @@ def test_one_row_of_each_group(spark, with_extras):
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(
         [(3, a), (None, b), (7, c), (7, "the same id with a text of its own now"), (2, "")], key=str)
     assert S.one_per_group(docs.where("false")).collect() == []
+
+
+def test_the_rows_placed_at_anchors_are_never_broadcast(spark):
+    """600 fingerprints are small, the hundred rows that each is placed in are not."""
+    rng, limits = np.random.default_rng(3), {"spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.maxBroadcastTableSize": "4m"}
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, 16, 30))) for i in range(600)]
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        assert S.simhash_groups(spark.createDataFrame(rows, SCHEMA)).count() == 600
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
