@@ -345,3 +345,21 @@ def test_nodes_are_joined_without_lone_rows_and_after_the_first_table_is_gone(sp
     monkeypatch.setattr(P, "near_meetings", near_meetings)
     P.near_duplicate_passages(spark.createDataFrame(rows, SCHEMA)).collect()
     assert seen and not any(seen)
+
+
+def test_no_table_is_broadcast_by_an_estimate(spark):
+    """Nothing measured is small enough to be broadcast here, and whatever is broadcast all the same is too large."""
+    rng = random.Random(5)
+    base = prose(rng, 300)
+    rows = [(i, " ".join(w if (k + 7 * i) % 60 else f"x{i}y{k}" for k, w in enumerate(base))) for i in range(8)]
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.autoBroadcastJoinThreshold": "0",
+              "spark.sql.maxBroadcastTableSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        assert 0 < P.without_repeats(spark.createDataFrame(rows, SCHEMA)).count() < len(rows)
+        assert {k: spark.conf.get(k) for k in limits} == limits
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
