@@ -363,3 +363,35 @@ def test_no_table_is_broadcast_by_an_estimate(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_nodes_are_paired_once_however_many_shingles_they_share(spark, monkeypatch):
+    """Against brute force, in small parts, and without a join by shingle."""
+    rng = random.Random(2)
+    monkeypatch.setattr(P, "MET_ROWS", 40)
+    monkeypatch.setattr(P, "PAIRS", 30)
+    met = []
+    for key, doc, place in sorted({(rng.randrange(6), rng.randrange(9), rng.randrange(3)) for _ in range(120)}):
+        twin, is_open = place if rng.random() < 0.8 else 7, rng.random() < 0.7
+        met += [(100 * key + at, key, doc, place, twin, is_open) for at in rng.sample(range(8), 5)]
+    want = {(a[2], a[3], b[2], b[3], a[1]) for a in met for b in met
+            if a[0] == b[0] and b[3] == b[4] and a[2] > b[2] and (a[5] or b[5])}
+    pairs = P.node_pairs(spark.createDataFrame(met, "at long, key long, doc long, place long, twin long, open boolean"))
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(w[:4] for w in want)  # a pair as often as it has hashes
+    assert "Join" not in pairs._jdf.queryExecution().toString()
+
+
+def test_shingles_go_to_each_tile_once_and_links_are_compared_as_alone(spark):
+    rng = random.Random(8)
+    base = prose(rng, 300)
+    texts = [" ".join(w if rng.random() > 0.02 else f"x{i}y{k}" for k, w in enumerate(base)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    sizes, codes = P.Shingler().shingles([P.normal(t) for t in texts])
+    codes = np.split(codes.astype(np.uint32), np.cumsum(sizes)[:-1])
+    rows = [(i, j, i % 5, j % 7, 200, 210) for i in range(40) for j in range(i)]
+    links = spark.createDataFrame(rows, "doc long, lead long, start long, lead_start long, size long, lead_size long")
+    fetched = P.fetch(P.tiled(links), docs)
+    assert fetched.count() == 40
+    want = sorted((*r, *v[:4]) for r in rows for v in P.verify(codes[r[0]][r[2]:r[2] + r[4]], codes[r[1]][r[3]:r[3] + r[5]], P.SIMILARITY, 46))
+    got = P.compare(links, docs, P.SIMILARITY, 46, P.Tables(spark)).drop("similarity").collect()
+    assert want and sorted(tuple(r) for r in got) == want
