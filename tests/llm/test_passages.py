@@ -395,3 +395,14 @@ def test_shingles_go_to_each_tile_once_and_links_are_compared_as_alone(spark):
     want = sorted((*r, *v[:4]) for r in rows for v in P.verify(codes[r[0]][r[2]:r[2] + r[4]], codes[r[1]][r[3]:r[3] + r[5]], P.SIMILARITY, 46))
     got = P.compare(links, docs, P.SIMILARITY, 46, P.Tables(spark)).drop("similarity").collect()
     assert want and sorted(tuple(r) for r in got) == want
+
+
+def test_stretches_of_met_nodes_are_joined_after_one_shuffle_in_turns(spark):
+    rng = random.Random(4)
+    rows = sorted({(doc, rng.randrange(400) << 24 | 45 << 12 | 45, rng.randrange(doc), rng.randrange(400) << 24 | 30 << 12 | 45)
+                   for doc in range(1, 30) for _ in range(20)})
+    met = spark.createDataFrame(rows, "doc long, place long, lead long, lead_place long")
+    turns = [P.stretches(P.meeting_pairs(P.brought_together(met, k), P.SLACK), P.SLACK) for k in range(P.ROUNDS)]
+    assert all(t._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1 for t in turns)
+    got = [tuple(r) for t in turns for r in t.collect()]
+    assert sorted(got) == sorted(tuple(r) for r in P.stretches(P.meeting_pairs(met, P.SLACK), P.SLACK).collect())
